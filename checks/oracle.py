@@ -363,5 +363,26 @@ def _scoring():
     return q
 
 
+def _models():
+    q = {}
+    q["m06_standard_scaling"] = _q(CLEAN, _union([
+        f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM cleaned" for c in NUMERIC_COLS]))
+    drivers = {"CreditScore": -0.5, "InterestRate": 0.8, "LoanAmount": 0.1}
+    phis = ", ".join(f"{w} * ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS phi_{c}" for c, w in drivers.items())
+    explained = CLEAN + f", explained AS (SELECT LoanID, {', '.join(drivers)}, {phis} FROM cleaned)"
+    q["v17_linear_attributions"] = _q(explained, "SELECT LoanID, -2.0::DOUBLE AS base, " + ", ".join(
+        f"round(phi_{c}, 6) AS phi_{c}" for c in drivers) + " FROM explained")
+    q["v19_global_importance"] = _q(explained, _union([
+        f"SELECT '{c}' AS Feature, round(avg(abs(phi_{c})), 6) AS Mean_Abs_SHAP FROM explained" for c in drivers]))
+    parts = _union([f"SELECT LoanID, '{c}' AS feature, {c} AS value, phi_{c} AS phi FROM explained" for c in drivers])
+    q["v20_waterfall"] = _q(explained + f""", parts AS ({parts})""", """SELECT LoanID, CAST(row_number() OVER w - 1 AS INTEGER) AS step,
+      feature, value, round(phi, 6) AS phi, round(-2.0::DOUBLE + sum(phi) OVER w, 6) AS running
+      FROM parts WINDOW w AS (PARTITION BY LoanID ORDER BY abs(phi) DESC, feature ROWS UNBOUNDED PRECEDING)""")
+    q["p09_stream_decisions"] = _q(RAW, """SELECT LoanID, RowSeq, CASE WHEN p < 0.3 THEN 'Low Risk' WHEN p < 0.6 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_tier,
+      round((1 - p) * 100, 6) AS approval_pct, CASE WHEN p >= 0.3 THEN 1 ELSE 0 END AS Predicted_Default, 0.3::DOUBLE AS Threshold
+      FROM (SELECT *, round((850 - CreditScore) * (InterestRate * 100)) / 1375000 AS p FROM loans_raw)""")
+    return q
+
+
 def oracle_sql():
-    return {**_cleaning(), **_relational(), **_features(), **_evaluation(), **_scoring()}
+    return {**_cleaning(), **_relational(), **_features(), **_evaluation(), **_scoring(), **_models()}

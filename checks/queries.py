@@ -318,5 +318,253 @@ SCORING = {
 }
 
 
+def p09(spark, sf):
+    """Applications arrive as files; the stream writes the decisions."""
+    arrived, out = scratch(spark, "arrived"), scratch(spark, "decided")
+    rows = loans_raw(spark, sf).select("LoanID", "RowSeq", "CreditScore", "InterestRate")
+    sinks.write_table(rows, arrived)
+    stream = streams.read_applications(spark, arrived, rows.schema)
+    query = streams.start_scoring(
+        stream, lambda df: scoring.decide(scoring.underwriting(proxy_score(df)), "p", 0.3),
+        out, scratch(spark, "stream"))
+    query.awaitTermination()
+    done = spark.read.parquet(out).select("LoanID", "RowSeq", "risk_tier", "approval_pct", "Predicted_Default", "Threshold")
+    return rounded(done, 6, "approval_pct")
+
+
+SCORING["p09_stream_decisions"] = p09
+
+
+# --- Models ----------------------------------------------------------------
+
+DRIVERS = ["CreditScore", "InterestRate", "LoanAmount"]
+DRIVER_WEIGHTS, DRIVER_INTERCEPT = [-0.5, 0.8, 0.1], -2.0
+
+# One point of each family's search space.
+POINTS = {
+    "Logistic Regression": {"C": 1.0},
+    "Decision Tree": {"max_depth": 5, "min_samples_leaf": 5, "criterion": "gini"},
+    "Random Forest": {"n_estimators": 50, "max_depth": 8, "min_samples_leaf": 2, "max_features": "sqrt"},
+    "XGBoost": {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0},
+    "LightGBM": {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1},
+}
+
+
+def fitted(spark, sf, name):
+    def make():
+        train = train_test(spark, sf)[0]
+        return training.build(name, POINTS[name], train.count()).fit(train)
+
+    return _once(spark, sf, f"model {name}", make)
+
+
+def calibrated(spark, sf):
+    def make():
+        name = "Decision Tree"
+        train = train_test(spark, sf)[0]
+        pipeline = training.build(name, POINTS[name], train.count())
+        return calibration.calibrate(name, pipeline, fitted(spark, sf, name), train, FEATURE_COLS)
+
+    return _once(spark, sf, "calibrated", make)
+
+
+def predictions(spark, sf):
+    def make():
+        return stage(calibration.prediction_table(calibrated(spark, sf), train_test(spark, sf)[2]), "predictions")
+
+    return _once(spark, sf, "predictions", make)
+
+
+def model_scores(name):
+    def query(spark, sf):
+        scored_test = training.probability(fitted(spark, sf, name), train_test(spark, sf)[1])
+        return scored_test.select("LoanID", "label", F.round("p", 6).alias("p"))
+
+    return query
+
+
+def m06(spark, sf):
+    vectors = training.assemble(cleaned(spark, sf), NUMERIC_COLS)
+    scaler = training.linear_stages(training.LogisticRegression()).getStages()[0].fit(vectors)
+    rows = [(c, float(m), float(v)) for c, m, v in zip(NUMERIC_COLS, scaler.mean, scaler.std)]
+    return rounded(spark.createDataFrame(rows, "feature string, mean double, std double"), 6, "mean", "std")
+
+
+def search_rows(spark, found):
+    return spark.createDataFrame([(str(p), float(m)) for p, m in found], "params string, mean_auc double")
+
+
+def m13(spark, sf):
+    return search_rows(spark, training.tune("Logistic Regression", train_test(spark, sf)[0])[2])
+
+
+def m15(spark, sf):
+    train = train_test(spark, sf)[0]
+    name = "Decision Tree"
+    mean, std = training.cross_validate(training.build(name, POINTS[name], train.count()), train)
+    return spark.createDataFrame([(name, mean, std)], "model string, cv_mean double, cv_std double")
+
+
+def m20(spark, sf):
+    train, test, _ = train_test(spark, sf)
+
+    def make():
+        names = ["Logistic Regression", "Decision Tree"]
+        return training.fit_candidates(train, test, names, draws=2, spaces={n: {k: [v] for k, v in POINTS[n].items()} for n in names})[0]
+
+    return _once(spark, sf, "comparison", make)
+
+
+def m23(spark, sf):
+    """Hold-out AUC of the tuned and of the calibrated model."""
+    before = training.probability(fitted(spark, sf, "Decision Tree"), train_test(spark, sf)[1])
+    after = predictions(spark, sf)
+    pair = [evaluation.roc_auc(before), evaluation.roc_auc(after, "Actual_Default", "Predicted_Probability")]
+    return pair[0].select(F.lit("tuned").alias("model"), "roc_auc").unionByName(
+        pair[1].select(F.lit("calibrated").alias("model"), "roc_auc"))
+
+
+def m21(spark, sf):
+    return spark.createDataFrame([(training.best_model(m20(spark, sf)),)], "best_model string")
+
+
+def drivers_explained(spark, sf):
+    vectors = training.assemble(cleaned(spark, sf), DRIVERS, ["LoanID"])
+    scaler = training.linear_stages(training.LogisticRegression()).getStages()[0].fit(vectors)
+    means = explain.vector_means(vectors, len(DRIVERS))
+    return explain.linear_attributions(
+        vectors, DRIVER_INTERCEPT, DRIVER_WEIGHTS, scaler.mean.toArray(), scaler.std.toArray(), means)
+
+
+def v17(spark, sf):
+    rows = drivers_explained(spark, sf).select("LoanID", "base", *[F.col("phi")[i].alias(f"phi_{c}") for i, c in enumerate(DRIVERS)])
+    return rounded(rows, 6, "base", *[f"phi_{c}" for c in DRIVERS])
+
+
+def sampled_vectors(spark, sf):
+    rows = sampling.sample_rows(train_test(spark, sf)[2])
+    return training.assemble(rows, FEATURE_COLS, ["LoanID"])
+
+
+def tree_explained(spark, sf):
+    """Attributions of the hold-out sample, and what they must add up to."""
+    model = fitted(spark, sf, "Decision Tree")
+    explained = explain.attributions(sampled_vectors(spark, sf), model)
+    outputs = training.probability(model, sampled_vectors(spark, sf)).select("LoanID", F.col("p").alias("output"))
+    return explained.join(outputs, "LoanID")
+
+
+def v18(spark, sf):
+    total = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
+    return tree_explained(spark, sf).select("LoanID", "base", "output", F.round(total - F.col("output"), 9).alias("gap"))
+
+
+def s10(spark, sf):
+    folder = scratch(spark, "comparison")
+    sinks.write_comparison(m20(spark, sf), folder)
+    return readers.read_table(spark, f"{folder}/model_comparison", "csv")
+
+
+def stored_model(spark, sf):
+    def make():
+        folder = scratch(spark, "model")
+        calibration.save_model(calibrated(spark, sf), folder, spark)
+        rows = predictions(spark, sf)
+        info = evaluation.threshold_info(rows, "Actual_Default", "Predicted_Probability").first().asDict()
+        calibration.save_thresholds(info, folder, spark)
+        return folder
+
+    return _once(spark, sf, "stored model", make)
+
+
+def loaded(spark, sf):
+    return calibration.load_model(stored_model(spark, sf), spark)
+
+
+def s11(spark, sf):
+    model = loaded(spark, sf)
+    return spark.createDataFrame([(model.name, len(model.features), len(model.members))], "name string, features int, members int")
+
+
+def s16(spark, sf):
+    folder = scratch(spark, "exports")
+    importance = explain.feature_importance(spark, fitted(spark, sf, "Decision Tree"), FEATURE_COLS)
+    return readers.read_table(spark, sinks.export_mart(importance, folder, "feature_importance"), "csv")
+
+
+def s17(spark, sf):
+    csv_in, csv_out = scratch(spark, "in"), scratch(spark, "out")
+    sinks.write_table(loans_raw(spark, sf).drop("RowSeq", TARGET), csv_in, "csv")
+    credit_risk.score_file(spark, stored_model(spark, sf), csv_in, csv_out)
+    return readers.read_table(spark, csv_out, "csv")
+
+
+def p03(spark, sf):
+    features = scoring.align(scoring.scoring_features(cleaned(spark, sf)), FEATURE_COLS, ["LoanID"])
+    return loaded(spark, sf).score(features, "p").select("LoanID", "p")
+
+
+def p07(spark, sf):
+    return scoring.score_applicants(s18(spark, sf), loaded(spark, sf)).select(
+        "LoanID", "RowSeq", "default_probability", "predicted_class", "threshold_used", "risk_tier")
+
+
+def p09_model(spark, sf):
+    """The stored model over a stream of JSON texts."""
+    arrived, out = scratch(spark, "json"), scratch(spark, "scored")
+    fields = [f.name for f in APPLICANT_SCHEMA]
+    loans_raw(spark, sf).select(F.to_json(F.struct(*fields)).alias("value")).write.text(arrived)
+    stream = streams.read_json_applications(spark, arrived)
+    streams.start_model_scoring(stream, loaded(spark, sf), out, scratch(spark, "stream")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def p10(spark, sf):
+    """All six steps with one candidate family; the scorecard they end in."""
+    root = scratch(spark, "job")
+    credit_risk.run(spark, loans_raw(spark, sf), root, names=["Decision Tree"], draws=2)
+    return readers.read_table(spark, f"{root}/dashboard/risk_scorecard_summary", "csv")
+
+
+MODELS = {
+    "m06_standard_scaling": m06,
+    "m08_logistic_regression": model_scores("Logistic Regression"),
+    "m09_decision_tree": model_scores("Decision Tree"),
+    "m10_random_forest": model_scores("Random Forest"),
+    "m11_boosted_depthwise": model_scores("XGBoost"),
+    "m12_boosted_balanced": model_scores("LightGBM"),
+    "m13_random_search": m13,
+    "m15_cross_validation": m15,
+    "m16_predictions": lambda s, d: fitted(s, d, "Decision Tree").transform(train_test(s, d)[1]).select(
+        "LoanID", F.col("prediction").alias("predicted"), vector_to_array("probability")[1].alias("p")),
+    "m20_model_comparison": m20,
+    "m21_best_model": m21,
+    "m22_calibrated": lambda s, d: calibrated(s, d).score_vectors(train_test(s, d)[1]).select("LoanID", "label", "p"),
+    "m23_auc_before_after": m23,
+    "m24_prediction_table": predictions,
+    "v12_tree_importance": lambda s, d: explain.feature_importance(s, fitted(s, d, "Decision Tree"), FEATURE_COLS),
+    "v13_linear_importance": lambda s, d: explain.feature_importance(s, fitted(s, d, "Logistic Regression"), FEATURE_COLS),
+    "v15_top_features": lambda s, d: explain.top_features(
+        explain.feature_importance(s, fitted(s, d, "Decision Tree"), FEATURE_COLS)),
+    "v17_linear_attributions": v17,
+    "v18_tree_attributions": v18,
+    "v19_global_importance": lambda s, d: rounded(
+        explain.global_importance(drivers_explained(s, d), DRIVERS), 6, "Mean_Abs_SHAP"),
+    "v19_tree_global_importance": lambda s, d: explain.global_importance(tree_explained(s, d), FEATURE_COLS),
+    "v20_waterfall": lambda s, d: rounded(
+        explain.waterfall(drivers_explained(s, d), DRIVERS), 6, "phi", "running"),
+    "s10_comparison_files": s10,
+    "s11_s12_stored_model": s11,
+    "s13_prediction_files": lambda s, d: round_trip(s, predictions(s, d), "predictions"),
+    "s16_importance_export": s16,
+    "s17_csv_scoring": s17,
+    "p03_probability": p03,
+    "p06_batch_scoring": lambda s, d: scoring.score_batch(loans_raw(s, d), loaded(s, d)),
+    "p07_applicant_scoring": p07,
+    "p09_stream_model": p09_model,
+    "p10_end_to_end": p10,
+}
+
+
 def queries():
-    return {**SOURCES, **CLEANING, **RELATIONAL, **FEATURES, **EVALUATION, **SCORING}
+    return {**SOURCES, **CLEANING, **RELATIONAL, **FEATURES, **EVALUATION, **SCORING, **MODELS}

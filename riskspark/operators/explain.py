@@ -103,7 +103,7 @@ def model_leaves(spark, model: PipelineModel):
     split = F.col("split")
     rows = nodes.select(
         "treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild",
-        split["featureIndex"].alias("feature"), split["leftCategoriesOrThreshold"][0].alias("threshold"),
+        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
     ).collect()
     trees = {}
     for r in rows:
@@ -167,9 +167,11 @@ def leaf_attributions(x: np.ndarray, groups) -> np.ndarray:
             for t, w in zip((nodes + 1) / 2, weights / 2):
                 terms = share * (1 - t) + met * t
                 total += w * terms.prod(axis=2, keepdims=True) / terms
-            each = g.value[part][:, None] * (met - share) * total
-            for k in range(depth):
-                np.add.at(phi.T, g.feature[part][:, k], each[:, :, k].T)
+            each = (g.value[part][:, None] * (met - share) * total).reshape(len(x), -1)
+            owner = g.feature[part].ravel()
+            order = np.argsort(owner, kind="stable")
+            features, starts = np.unique(owner[order], return_index=True)
+            phi[:, features] += np.add.reduceat(each[:, order], starts, axis=1)
     return phi
 
 
@@ -180,6 +182,10 @@ def tree_attributions(df: DataFrame, model: PipelineModel, vector="features") ->
     sent = spark.sparkContext.broadcast(groups)
     keep = [c for c in df.columns if c != vector]
     rows = df.select(*keep, vector_to_array(vector).alias("x"))
+    # A small file is one partition, but every row is much work.
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
     schema = rows.select("*", F.col("x").alias("phi")).schema
 
     def explain(batches):
