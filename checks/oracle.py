@@ -384,5 +384,18 @@ def _models():
     return q
 
 
+def _exports():
+    sizes = {"sql_kpi_summary": "1", "sql_default_by_education": "count(DISTINCT Education)",
+             "sql_default_by_employment": "count(DISTINCT EmploymentType)",
+             "sql_default_by_purpose": "count(DISTINCT LoanPurpose)", "sql_financial_profiles": f"count(DISTINCT {TARGET})"}
+    return _q(CLEAN, _union([f"SELECT '{m}' AS mart, {_int(n if n != '1' else 'least(count(*), 1)')} AS rows FROM cleaned" for m, n in sizes.items()]))
+
+
 def oracle_sql():
-    return {**_cleaning(), **_relational(), **_features(), **_evaluation(), **_scoring(), **_models()}
+    q = {**_cleaning(), **_relational(), **_features(), **_evaluation(), **_scoring(), **_models()}
+    # Files written and read back hold the same rows.
+    q["s04_cleaned_table"] = q["c11_impute"]
+    q["s05_encoded_table"] = q["c17_encoded"]
+    q["s06_ml_ready_table"] = q["f10_ml_ready"]
+    q["s09_exported_marts"] = _exports()
+    return q

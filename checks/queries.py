@@ -13,7 +13,7 @@ from riskspark.operators import (
 from riskspark.plans import credit_risk
 from riskspark.schema import (
     AGE_GROUP_EDGES, AGE_GROUP_LABELS, APPLICANT_SCHEMA, BINARY_COLS, CATEGORICAL_COLS, ENGINEERED_COLS,
-    FEATURE_COLS, INCOME_BRACKET_LABELS, LOAN_SCHEMA, NOMINAL_COLS, NOMINAL_VALUES, NUMERIC_COLS, TARGET,
+    FEATURE_COLS, INCOME_BRACKET_LABELS, NOMINAL_COLS, NOMINAL_VALUES, NUMERIC_COLS, TARGET,
 )
 from riskspark.session import shared_dir, stage
 from riskspark.sources import loans as readers, sinks
@@ -22,6 +22,9 @@ from riskspark.streaming import scoring as streams
 
 _staged = {}
 
+# Feature columns that engines agree on to four decimals only.
+ROUNDED = ["EMI", "EMIToIncomeRatio", "TotalInterestCost"]
+
 
 def _once(spark, sf_dir, name, make):
     """A table one step hands to the next, staged once per session and input."""
@@ -90,6 +93,12 @@ def round_trip(spark, df, name, fmt="parquet"):
     return readers.read_table(spark, path, fmt)
 
 
+def s04(spark, sf):
+    path = scratch(spark, "cleaned-csv")
+    sinks.write_table(cleaned(spark, sf), path, "csv")
+    return readers.read_loans(spark, path)
+
+
 def s08(spark, sf):
     sinks.publish_tables(tables(spark, sf))
     return relational.table_counts({t: spark.table(t) for t in ("customers", "loan_applications", "loan_details")})
@@ -125,9 +134,9 @@ def s18(spark, sf):
 
 SOURCES = {
     "s01_read_loans_csv": s01,
-    "s04_cleaned_table": lambda s, d: round_trip(s, cleaned(s, d), "cleaned", "csv"),
+    "s04_cleaned_table": s04,
     "s05_encoded_table": lambda s, d: round_trip(s, cleaning.encode(cleaned(s, d), NOMINAL_VALUES), "encoded"),
-    "s06_ml_ready_table": lambda s, d: round_trip(s, ml_ready(s, d), "ml"),
+    "s06_ml_ready_table": lambda s, d: rounded(round_trip(s, ml_ready(s, d), "ml"), 4, *ROUNDED),
     "s08_published_views": s08,
     "s09_exported_marts": s09,
     "s14_threshold_info": lambda s, d: evaluation.threshold_info(scored(s, d)),
@@ -216,9 +225,6 @@ def feature(name, digits=None):
     return query
 
 
-ROUNDED = ["EMI", "EMIToIncomeRatio", "TotalInterestCost"]
-
-
 def f11(policy):
     def query(spark, sf):
         out = feat.add_engineered(loans_raw(spark, sf), policy).select("LoanID", "RowSeq", *ENGINEERED_COLS)
@@ -449,7 +455,7 @@ def sampled_vectors(spark, sf):
 def tree_explained(spark, sf):
     """Attributions of the hold-out sample, and what they must add up to."""
     model = fitted(spark, sf, "Decision Tree")
-    explained = explain.attributions(sampled_vectors(spark, sf), model)
+    explained = explain.attributions(sampled_vectors(spark, sf), model, partitions=spark.sparkContext.defaultParallelism)
     outputs = training.probability(model, sampled_vectors(spark, sf)).select("LoanID", F.col("p").alias("output"))
     return explained.join(outputs, "LoanID")
 

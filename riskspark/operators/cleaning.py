@@ -122,10 +122,10 @@ def missing_total(df: DataFrame) -> DataFrame:
     return missing_profile(df).agg(F.sum("n_missing").alias("total_missing"))
 
 
-def medians(df: DataFrame, cols=None) -> DataFrame:
+def medians(df: DataFrame, cols=None, sizes=None) -> DataFrame:
     """(column, value): exact medians, mean of the two middle values."""
     cols = numeric_columns(df) if cols is None else present(df, cols)
-    return column_quantiles(df, cols, [0.5]).select("column", "value")
+    return column_quantiles(df, cols, [0.5], sizes=sizes).select("column", "value")
 
 
 def approx_medians(df: DataFrame, cols=None, accuracy=10_000) -> DataFrame:
@@ -152,28 +152,41 @@ def fill(df: DataFrame, values: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()}) if fills else df
 
 
-def columns_with_nulls(df: DataFrame, cols) -> list:
-    """Those of the columns that need a fill at all; one scan, one row."""
+def gap_profile(df: DataFrame, numeric=(), text=()):
+    """(columns with nulls, value-map sizes of numeric columns); one scan, one row."""
+    cols = [*numeric, *text]
     if not cols:
-        return []
-    row = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c]]
+        return [], {}
+    row = df.withColumn("_task", F.spark_partition_id()).agg(
+        *[F.max(F.col(c).isNull()).alias(f"gap_{c}") for c in cols],
+        *[F.approx_count_distinct(c).alias(f"size_{c}") for c in numeric],
+        F.approx_count_distinct("_task").alias("tasks"),
+    ).first()
+    sizes = {c: row[f"size_{c}"] * max(row["tasks"], 1) for c in numeric}
+    return [c for c in cols if row[f"gap_{c}"]], sizes
 
 
 def impute_median(df: DataFrame, cols=None, fit_on: DataFrame = None, method="exact") -> DataFrame:
     """Numeric columns as doubles, nulls replaced by the column median."""
     cols = numeric_columns(df) if cols is None else present(df, cols)
-    find = {"exact": medians, "approx": approx_medians}[method]
-    gaps = columns_with_nulls(df, cols)
-    df = df.withColumns({c: F.col(c).cast("double") for c in cols}) if cols else df
-    return fill(df, find(df if fit_on is None else fit_on, gaps)) if gaps else df
+    return _impute(df, cols, [], fit_on, method)
 
 
 def impute_mode(df: DataFrame, cols=None, fit_on: DataFrame = None) -> DataFrame:
     """Text columns, nulls replaced by the most frequent value."""
-    cols = present(df, CATEGORICAL_COLS if cols is None else cols)
-    gaps = columns_with_nulls(df, cols)
-    return fill(df, modes(df if fit_on is None else fit_on, gaps)) if gaps else df
+    return _impute(df, [], present(df, CATEGORICAL_COLS if cols is None else cols), fit_on)
+
+
+def _impute(df, numeric, text, fit_on=None, method="exact"):
+    """Fill both kinds; columns without nulls are not fitted at all."""
+    gaps, sizes = gap_profile(df, numeric, text)
+    fit_on = df if fit_on is None else fit_on
+    numeric_gaps, text_gaps = [c for c in numeric if c in gaps], [c for c in text if c in gaps]
+    doubles = {c: F.col(c).cast("double") for c in numeric}
+    df = df.withColumns(doubles) if doubles else df
+    if numeric_gaps:
+        df = fill(df, medians(fit_on, numeric_gaps, sizes) if method == "exact" else approx_medians(fit_on, numeric_gaps))
+    return fill(df, modes(fit_on, text_gaps)) if text_gaps else df
 
 
 # --- Composites ------------------------------------------------------------
@@ -184,9 +197,8 @@ def repair(df: DataFrame, null_policy="reference") -> DataFrame:
 
 
 def impute(df: DataFrame, fit_on: DataFrame = None) -> DataFrame:
-    """Both imputations, each fitted on the frame before imputation."""
-    fit_on = df if fit_on is None else fit_on
-    return impute_mode(impute_median(df, fit_on=fit_on), fit_on=fit_on)
+    """Both imputations, fitted on the frame before imputation."""
+    return _impute(df, numeric_columns(df), present(df, CATEGORICAL_COLS), fit_on)
 
 
 def encode(df: DataFrame, vocab: dict = None) -> DataFrame:
@@ -218,7 +230,8 @@ def clean(df: DataFrame, null_policy="reference", vocab: dict = None):
 
 def cleaning_report(df: DataFrame) -> DataFrame:
     """One row: how many rows each rule removed or changed."""
-    unique = stage(dedup(df), "unique")
+    needed = present(df, ["LoanID", ORDER_COL, "Age", "Income", "LoanAmount"])
+    unique = stage(dedup(df.select(*needed) if "LoanID" in df.columns else df), "unique")
     found = count_invalid(unique)
     income, amount, age = F.col("Income"), F.col("LoanAmount"), F.col("Age")
     keep_income = _valid(income, income >= INCOME_MIN, found.income == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark.functions.binning import bucketize, cut, linspace
 from riskspark.functions.numeric import ratio
-from riskspark.operators.ranks import column_quantiles, value_counts
+from riskspark.operators.ranks import column_quantiles, unpivoted, value_counts
 from riskspark.schema import (
     AGE_GROUP_EDGES, AGE_GROUP_LABELS, INCOME_BRACKET_LABELS, NUMERIC_COLS, TARGET,
 )
@@ -133,13 +133,13 @@ def class_boxes(df: DataFrame, cols=BOX_COLS) -> DataFrame:
         .withColumn("fence_lo", q1 - 1.5 * (q3 - q1)).withColumn("fence_hi", q3 + 1.5 * (q3 - q1))
     )
     value, inside = F.col("value"), F.col("value").between(F.col("fence_lo"), F.col("fence_hi"))
-    # One box per column and class is broadcast.
+    # One box per column and class is broadcast; the rows fold into it map-side.
     return (
-        value_counts(df, cols, [TARGET]).join(F.broadcast(boxes), by)
+        unpivoted(df, cols, [TARGET]).join(F.broadcast(boxes), by)
         .groupBy("column", TARGET, "q1", "median", "q3").agg(
             F.min(F.when(inside, value)).alias("whisker_lo"),
             F.max(F.when(inside, value)).alias("whisker_hi"),
-            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
+            F.count_if(~inside).alias("n_outliers"),
         )
     )
 

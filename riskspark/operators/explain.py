@@ -175,17 +175,18 @@ def leaf_attributions(x: np.ndarray, groups) -> np.ndarray:
     return phi
 
 
-def tree_attributions(df: DataFrame, model: PipelineModel, vector="features") -> DataFrame:
-    """Add base, x, phi to every row; Arrow batches, no shuffle."""
+def tree_attributions(df: DataFrame, model: PipelineModel, vector="features", partitions=None) -> DataFrame:
+    """Add base, x, phi to every row; Arrow batches, no shuffle.
+
+    Every row is much work: `partitions` spreads a small frame over the cores.
+    """
     spark = df.sparkSession
     groups, base = model_leaves(spark, model)
     sent = spark.sparkContext.broadcast(groups)
     keep = [c for c in df.columns if c != vector]
     rows = df.select(*keep, vector_to_array(vector).alias("x"))
-    # A small file is one partition, but every row is much work.
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
+    if partitions:
+        rows = rows.repartition(partitions)
     schema = rows.select("*", F.col("x").alias("phi")).schema
 
     def explain(batches):
@@ -197,11 +198,11 @@ def tree_attributions(df: DataFrame, model: PipelineModel, vector="features") ->
     return rows.mapInPandas(explain, schema).withColumn("base", F.lit(base))
 
 
-def attributions(df: DataFrame, model: PipelineModel, background: DataFrame = None) -> DataFrame:
+def attributions(df: DataFrame, model: PipelineModel, background: DataFrame = None, partitions=None) -> DataFrame:
     """Attributions by the kind of model."""
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
-        return tree_attributions(df, model)
+        return tree_attributions(df, model, partitions=partitions)
     intercept, weights, centres, scales = linear_coefficients(model)
     means = vector_means(df if background is None else background, len(weights))
     return linear_attributions(df, intercept, weights, centres, scales, means)

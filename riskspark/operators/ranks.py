@@ -1,9 +1,9 @@
 """Exact ranks, quantiles and running totals over any number of rows.
 
-Rows are first combined to one row per distinct value, then range-partitioned
-by value and staged. What is broadcast afterwards is one row per group and
-range partition, so it is bounded by spark.sql.shuffle.partitions and never
-grows with the data. No task ever holds more than one range.
+Nothing here sorts all rows in one task. Rows are combined to one row per
+distinct value, range-partitioned by value and staged; what is broadcast
+afterwards is one row per group and range, so it is bounded by
+spark.sql.shuffle.partitions and does not grow with the data.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,19 +12,24 @@ from riskspark.session import stage
 
 PART = "range_part"
 
-# Most distinct values of one column that a single value map may hold.
-NARROW_LIMIT = 200_000
+# Most entries that one task may merge from the value maps of all tasks.
+MERGE_LIMIT = 20_000_000
 
+# Rank error of the sketches that bracket a quantile is one in this many rows.
+SKETCH_ACCURACY = 10_000
 
-def value_counts(df: DataFrame, cols, by=()) -> DataFrame:
-    """(by..., column, value, n) of the non-missing numeric values."""
+
+def unpivoted(df: DataFrame, cols, by=()) -> DataFrame:
+    """(by..., column, value) of the non-missing numeric values."""
     by = list(by)
     doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    return (
-        doubles.unpivot(by, list(cols), "column", "value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = doubles.unpivot(by, list(cols), "column", "value")
+    return rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def value_counts(df: DataFrame, cols, by=()) -> DataFrame:
+    """(by..., column, value, n), combined map-side."""
+    return unpivoted(df, cols, by).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def range_staged(df: DataFrame, *keys) -> DataFrame:
@@ -32,82 +37,149 @@ def range_staged(df: DataFrame, *keys) -> DataFrame:
     return stage(df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id()), "ranges")
 
 
-def quantiles(counts: DataFrame, probs, by=("column",)) -> DataFrame:
-    """(by..., q, value): exact linearly interpolated quantiles.
+def _position(rows, prob):
+    """Target ranks of a quantile: the two neighbours and the way between."""
+    at = (rows - 1) * prob
+    return F.floor(at).alias("lo"), F.ceil(at).alias("hi"), (at - F.floor(at)).alias("frac")
+
 
-    `counts` is a frame from value_counts that range_staged has ordered by
-    (by..., value). Only the ranges that hold a wanted rank are sorted.
+def values_at(counts: DataFrame, targets: DataFrame, by) -> DataFrame:
+    """(by..., p, value) at 0-based target ranks.
+
+    `counts` is range_staged by (by..., value); `targets` has a few rows
+    (by..., p, lo, hi, frac). Only the ranges that hold a target are sorted.
     """
     by = list(by)
-    key = Window.partitionBy(*by)
     totals = (
         counts.groupBy(*by, PART).agg(F.sum("n").alias("size"))
-        .withColumn("before", F.sum("size").over(key.orderBy(PART)) - F.col("size"))
-        .withColumn("rows", F.sum("size").over(key))
+        .withColumn("before", F.sum("size").over(Window.partitionBy(*by).orderBy(PART)) - F.col("size"))
     )
-    position = (F.col("rows") - 1) * F.col("q")
+    # At most two rows per group and probability.
     wanted = (
-        totals.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("lo", F.floor(position)).withColumn("hi", F.ceil(position))
-        .withColumn("frac", position - F.floor(position))
+        totals.join(F.broadcast(targets), by)
         .withColumn("rank", F.explode(F.array_distinct(F.array("lo", "hi"))))
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
-        .select(*by, PART, "before", "q", "lo", "hi", "frac", "rank")
+        .select(*by, PART, "p", "lo", "hi", "frac", "rank", (F.col("rank") - F.col("before")).alias("local"))
     )
-    # `wanted` has at most two rows per group and probability.
     in_range = Window.partitionBy(*by, PART).orderBy("value")
     ranked = (
         counts.join(F.broadcast(wanted.select(*by, PART).distinct()), [*by, PART], "left_semi")
         .withColumn("upto", F.sum("n").over(in_range))
     )
-    hit = (F.col("rank") - F.col("before") >= F.col("upto") - F.col("n")) & (F.col("rank") - F.col("before") < F.col("upto"))
+    hit = (F.col("local") >= F.col("upto") - F.col("n")) & (F.col("local") < F.col("upto"))
     picked = (
         ranked.join(F.broadcast(wanted), [*by, PART]).where(hit)
-        .groupBy(*by, "q", "frac").agg(
+        .groupBy(*by, "p", "frac").agg(
             F.max(F.when(F.col("rank") == F.col("lo"), F.col("value"))).alias("a"),
             F.max(F.when(F.col("rank") == F.col("hi"), F.col("value"))).alias("b"),
         )
     )
     a, b, t = F.col("a"), F.col("b"), F.col("frac")
     between = (
-        F.when(t == 0.5, (a + b) / 2).when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (1 - t))
+        F.when(a == b, a).when(t == 0.5, (a + b) / 2)
+        .when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (1 - t))
+    )
+    return picked.select(*by, "p", between.alias("value"))
+
+
+def quantiles(counts: DataFrame, probs, by=("column",)) -> DataFrame:
+    """(by..., q, value): exact linearly interpolated quantiles of staged value_counts."""
+    by = list(by)
+    targets = (
+        counts.groupBy(*by).agg(F.sum("n").alias("rows"))
+        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .select(*by, "p", *_position(F.col("rows"), F.col("p")))
     )
-    return picked.select(*by, "q", between.alias("value"))
+    return values_at(counts, targets, by).withColumnRenamed("p", "q")
 
 
-def distinct_counts(df: DataFrame, cols) -> dict:
-    """Estimated distinct values per column: one scan, one row."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    return row.asDict()
+def bracketed_quantiles(df: DataFrame, cols, probs, by=(), accuracy=SKETCH_ACCURACY) -> DataFrame:
+    """(by..., column, q, value): exact quantiles without shuffling all values.
 
+    Sketches first bracket every quantile; then only the values inside a
+    bracket are combined and ranked, and the rows below it are one count.
+    A rank that a bracket should miss is missing from the result.
+    """
+    by, cols, slack = list(by), list(cols), 2.0 / accuracy
+    around = [p for q in probs for p in (max(q - slack, 0.0), min(q + slack, 1.0))]
+    known = [F.when(~F.isnan(c), F.col(c)) for c in cols]
+    sketches = df.groupBy(*by).agg(
+        *[F.percentile_approx(v, around, accuracy).alias(f"edges_{c}") for c, v in zip(cols, known)],
+        *[F.count(v).alias(f"rows_{c}") for c, v in zip(cols, known)],
+    ).collect()
+    brackets = []
+    for r in sketches:
+        for c in cols:
+            if not r[f"rows_{c}"]:
+                continue
+            for i, q in enumerate(probs):
+                lo, hi = r[f"edges_{c}"][2 * i], r[f"edges_{c}"][2 * i + 1]
+                lo = float("-inf") if q - slack <= 0 else float(lo)
+                hi = float("inf") if q + slack >= 1 else float(hi)
+                brackets.append((*[r[k] for k in by], c, float(q), lo, hi, r[f"rows_{c}"]))
+    keys = [*by, "column", "q"]
+    kinds = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by],
+                       "column string, q double, edge_lo double, edge_hi double, rows bigint"])
+    # One row per group, column and probability.
+    brackets = df.sparkSession.createDataFrame(brackets, kinds)
+    inside = (
+        unpivoted(df, cols, by).join(F.broadcast(brackets.drop("rows")), [*by, "column"])
+        .where(F.col("value") <= F.col("edge_hi"))
+        .select(*keys, F.when(F.col("value") >= F.col("edge_lo"), F.col("value")).alias("value"))
+        .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    targets = brackets.select(*keys, F.col("q").alias("p"), *_position(F.col("rows"), F.col("q")))
+    found = values_at(range_staged(inside, *keys, "value"), targets, keys)
+    return found.where(F.col("value").isNotNull()).select(*keys, "value")
 
-def column_quantiles(df: DataFrame, cols, probs, by=(), narrow_limit=NARROW_LIMIT) -> DataFrame:
+
+def merge_sizes(df: DataFrame, cols) -> dict:
+    """Per column, about how many value-map entries all tasks produce together."""
+    row = df.withColumn("_task", F.spark_partition_id()).agg(
+        *[F.approx_count_distinct(c).alias(c) for c in cols],
+        F.approx_count_distinct("_task").alias("_tasks"),
+    ).first()
+    return {c: row[c] * max(row["_tasks"], 1) for c in cols}
+
+
+def column_quantiles(df: DataFrame, cols, probs, by=(), merge_limit=MERGE_LIMIT, sizes=None) -> DataFrame:
     """(by..., column, q, value): exact quantiles straight from the rows.
 
-    `by` columns are low-cardinality classes. A column with few distinct
-    values (checked first) is merged map-side into one small value map; any
-    other one goes through range-partitioned ranks.
+    `by` columns are low-cardinality classes without nulls. A column with few
+    distinct values (checked, or given as `sizes`) is merged into one small
+    value map per class; any other one is bracketed and ranked.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    distinct = distinct_counts(doubles, cols)
-    narrow = [c for c in cols if distinct[c] <= narrow_limit]
+    sizes = merge_sizes(doubles, cols) if sizes is None else sizes
+    narrow = [c for c in cols if sizes[c] <= merge_limit]
     wide = [c for c in cols if c not in narrow]
     parts = []
     if narrow:
         at = F.array(*[F.lit(p) for p in probs])
-        known = [F.percentile(F.when(~F.isnan(c), F.col(c)), at).alias(c) for c in narrow]
+        maps = [F.percentile(F.when(~F.isnan(c), F.col(c)), at).alias(c) for c in narrow]
         parts.append(
-            doubles.groupBy(*by).agg(*known).unpivot(by, narrow, "column", "values")
+            doubles.groupBy(*by).agg(*maps).unpivot(by, narrow, "column", "values")
             .select(*by, "column", F.posexplode("values").alias("i", "value"))
             .select(*by, "column", F.element_at(at, F.col("i") + 1).alias("q"), "value")
         )
     if wide:
-        keys = [*by, "column"]
-        parts.append(quantiles(range_staged(value_counts(doubles, wide, by), *keys, "value"), probs, keys))
+        parts.append(_wide_quantiles(doubles, wide, probs, by))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _wide_quantiles(df, cols, probs, by):
+    found = bracketed_quantiles(df, cols, probs, by)
+    # A few numbers per class and column: check that no rank was missed.
+    groups = df.groupBy(*by).agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in cols]).collect()
+    expected = sum(len(probs) for r in groups for c in cols if r[c])
+    found = stage(found, "quantiles")
+    if found.count() == expected:
+        return found
+    keys = [*by, "column"]
+    return quantiles(range_staged(value_counts(df, cols, by), *keys, "value"), probs, keys)
+
+
 def running_totals(ranges: DataFrame, value: str, sums: dict, descending=False) -> DataFrame:
     """Add inclusive running sums, overall totals and the next row's values.
 

@@ -115,7 +115,8 @@ def evaluate_step(spark: SparkSession, root: str, seed=SEED) -> None:
     export_mart(evaluation.scorecard(scored), f"{root}/dashboard", "risk_scorecard_summary")
     sample = sampling.sample_rows(predictions, seed=seed)
     vectors = training.assemble(sample, model.features, ["LoanID"])
-    explained = stage(explain.attributions(vectors, model.base), "explained")
+    cores = spark.sparkContext.defaultParallelism
+    explained = stage(explain.attributions(vectors, model.base, partitions=cores), "explained")
     write_table(explained, f"{root}/reports/attributions")
     write_table(explain.global_importance(explained, model.features), f"{root}/reports/global_importance")
 
