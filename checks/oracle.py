@@ -365,6 +365,9 @@ def _scoring():
 
 def _models():
     q = {}
+    coded = ", ".join(f"CAST({_code(c, _YES_NO)} AS DOUBLE) AS {c}" for c in BINARY_COLS)
+    q["m01_feature_vectors"] = _q(CLEAN, f"""SELECT LoanID, CAST({TARGET} AS DOUBLE) AS label, {_NUM}, {coded},
+      CAST({_code('Education', EDUCATION_LEVELS)} AS DOUBLE) AS Education FROM cleaned""")
     q["m06_standard_scaling"] = _q(CLEAN, _union([
         f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM cleaned" for c in NUMERIC_COLS]))
     drivers = {"CreditScore": -0.5, "InterestRate": 0.8, "LoanAmount": 0.1}

@@ -68,7 +68,7 @@ def train_test(spark, sf_dir):
 
 
 def tables(spark, sf_dir):
-    return relational.normalise(cleaned(spark, sf_dir))
+    return relational.normalise(cleaned(spark, sf_dir), unique_ids=True)
 
 
 def rounded(df, digits, *cols):
@@ -447,17 +447,19 @@ def v17(spark, sf):
     return rounded(rows, 6, "base", *[f"phi_{c}" for c in DRIVERS])
 
 
-def sampled_vectors(spark, sf):
-    rows = sampling.sample_rows(train_test(spark, sf)[2])
-    return training.assemble(rows, FEATURE_COLS, ["LoanID"])
-
-
 def tree_explained(spark, sf):
-    """Attributions of the hold-out sample, and what they must add up to."""
+    """Attributions of all hold-out rows, and what they must add up to."""
     model = fitted(spark, sf, "Decision Tree")
-    explained = explain.attributions(sampled_vectors(spark, sf), model, partitions=spark.sparkContext.defaultParallelism)
-    outputs = training.probability(model, sampled_vectors(spark, sf)).select("LoanID", F.col("p").alias("output"))
-    return explained.join(outputs, "LoanID")
+    scored_test = training.probability(model, train_test(spark, sf)[1], "output")
+    return explain.attributions(scored_test.drop("label"), model)
+
+
+def m01(spark, sf):
+    """Feature vectors and target, the vector's plain part as columns."""
+    x = vector_to_array("features")
+    plain = [*NUMERIC_COLS, *BINARY_COLS, "Education"]
+    frame = training.training_frame(ml_ready(spark, sf), FEATURE_COLS)
+    return frame.select("LoanID", "label", *[x[FEATURE_COLS.index(c)].alias(c) for c in plain])
 
 
 def v18(spark, sf):
@@ -533,6 +535,7 @@ def p10(spark, sf):
 
 
 MODELS = {
+    "m01_feature_vectors": m01,
     "m06_standard_scaling": m06,
     "m08_logistic_regression": model_scores("Logistic Regression"),
     "m09_decision_tree": model_scores("Decision Tree"),

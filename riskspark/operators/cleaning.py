@@ -122,10 +122,10 @@ def missing_total(df: DataFrame) -> DataFrame:
     return missing_profile(df).agg(F.sum("n_missing").alias("total_missing"))
 
 
-def medians(df: DataFrame, cols=None, sizes=None) -> DataFrame:
+def medians(df: DataFrame, cols=None) -> DataFrame:
     """(column, value): exact medians, mean of the two middle values."""
     cols = numeric_columns(df) if cols is None else present(df, cols)
-    return column_quantiles(df, cols, [0.5], sizes=sizes).select("column", "value")
+    return column_quantiles(df, cols, [0.5]).select("column", "value")
 
 
 def approx_medians(df: DataFrame, cols=None, accuracy=10_000) -> DataFrame:
@@ -152,18 +152,12 @@ def fill(df: DataFrame, values: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()}) if fills else df
 
 
-def gap_profile(df: DataFrame, numeric=(), text=()):
-    """(columns with nulls, value-map sizes of numeric columns); one scan, one row."""
-    cols = [*numeric, *text]
+def columns_with_nulls(df: DataFrame, cols) -> list:
+    """Those of the columns that need a fill at all; one scan, one row."""
     if not cols:
-        return [], {}
-    row = df.withColumn("_task", F.spark_partition_id()).agg(
-        *[F.max(F.col(c).isNull()).alias(f"gap_{c}") for c in cols],
-        *[F.approx_count_distinct(c).alias(f"size_{c}") for c in numeric],
-        F.approx_count_distinct("_task").alias("tasks"),
-    ).first()
-    sizes = {c: row[f"size_{c}"] * max(row["tasks"], 1) for c in numeric}
-    return [c for c in cols if row[f"gap_{c}"]], sizes
+        return []
+    row = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
 
 
 def impute_median(df: DataFrame, cols=None, fit_on: DataFrame = None, method="exact") -> DataFrame:
@@ -179,13 +173,13 @@ def impute_mode(df: DataFrame, cols=None, fit_on: DataFrame = None) -> DataFrame
 
 def _impute(df, numeric, text, fit_on=None, method="exact"):
     """Fill both kinds; columns without nulls are not fitted at all."""
-    gaps, sizes = gap_profile(df, numeric, text)
+    gaps = columns_with_nulls(df, [*numeric, *text])
     fit_on = df if fit_on is None else fit_on
     numeric_gaps, text_gaps = [c for c in numeric if c in gaps], [c for c in text if c in gaps]
     doubles = {c: F.col(c).cast("double") for c in numeric}
     df = df.withColumns(doubles) if doubles else df
     if numeric_gaps:
-        df = fill(df, medians(fit_on, numeric_gaps, sizes) if method == "exact" else approx_medians(fit_on, numeric_gaps))
+        df = fill(df, (medians if method == "exact" else approx_medians)(fit_on, numeric_gaps))
     return fill(df, modes(fit_on, text_gaps)) if text_gaps else df
 
 

@@ -142,16 +142,16 @@ def merge_sizes(df: DataFrame, cols) -> dict:
     return {c: row[c] * max(row["_tasks"], 1) for c in cols}
 
 
-def column_quantiles(df: DataFrame, cols, probs, by=(), merge_limit=MERGE_LIMIT, sizes=None) -> DataFrame:
+def column_quantiles(df: DataFrame, cols, probs, by=(), merge_limit=MERGE_LIMIT) -> DataFrame:
     """(by..., column, q, value): exact quantiles straight from the rows.
 
     `by` columns are low-cardinality classes without nulls. A column with few
-    distinct values (checked, or given as `sizes`) is merged into one small
-    value map per class; any other one is bracketed and ranked.
+    distinct values (checked first) is merged into one small value map per
+    class; any other one is bracketed and ranked.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    sizes = merge_sizes(doubles, cols) if sizes is None else sizes
+    sizes = merge_sizes(doubles, cols)
     narrow = [c for c in cols if sizes[c] <= merge_limit]
     wide = [c for c in cols if c not in narrow]
     parts = []

@@ -58,7 +58,7 @@ def eda_step(spark: SparkSession, root: str) -> None:
 
 def sql_step(spark: SparkSession, root: str) -> None:
     cleaned = read_table(spark, f"{root}/cleaned")
-    tables = relational.normalise(cleaned)
+    tables = relational.normalise(cleaned, unique_ids=True)
     for name, table in tables.items():
         write_table(table, f"{root}/tables/{name}")
     stored = {name: read_table(spark, f"{root}/tables/{name}") for name in tables}
