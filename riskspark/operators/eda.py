@@ -5,7 +5,6 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark.functions.binning import bucketize, cut, linspace
-from riskspark.functions.numeric import ratio
 from riskspark.operators.ranks import column_quantiles, unpivoted, value_counts
 from riskspark.schema import (
     AGE_GROUP_EDGES, AGE_GROUP_LABELS, INCOME_BRACKET_LABELS, NUMERIC_COLS, TARGET,
@@ -84,33 +83,22 @@ def class_density(df: DataFrame, cols=HISTOGRAM_COLS, points=DENSITY_POINTS, bin
     first combined per distinct value, and every value's kernel is folded into
     the grid sums before the shuffle.
     """
-    counts = value_counts(df.where(F.col(TARGET).isNotNull()), cols, [TARGET])
-    moments = counts.groupBy("column", TARGET).agg(
-        F.sum("n").alias("rows"),
-        ratio(F.sum(F.col("n") * F.col("value")), F.sum("n")).alias("mean"),
-    )
-    # One row per column and class.
-    spread = (
-        counts.join(F.broadcast(moments), ["column", TARGET])
-        .groupBy("column", TARGET, "rows")
-        .agg(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("ss"),
-             F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .collect()
-    )
-    grids = {
-        c: linspace(min(r["lo"] for r in spread if r["column"] == c), max(r["hi"] for r in spread if r["column"] == c), points)
-        for c in {r["column"] for r in spread}
-    }
+    df = df.where(F.col(TARGET).isNotNull())
+    x = {c: F.col(c).cast("double") for c in cols}
+    # One row per class.
+    moments = df.groupBy(TARGET).agg(*[
+        f(x[c]).alias(f"{name}_{c}") for c in cols
+        for name, f in (("n", F.count), ("sd", F.stddev_samp), ("lo", F.min), ("hi", F.max))
+    ]).collect()
+    spread = [
+        (c, r[TARGET], r[f"n_{c}"], r[f"sd_{c}"] * r[f"n_{c}"] ** -0.2, _grid(moments, c, points))
+        for c in cols for r in moments if r[f"n_{c}"] > 1 and r[f"sd_{c}"]
+    ]
     kernels = df.sparkSession.createDataFrame(
-        [
-            (r["column"], r[TARGET], r["rows"], sqrt(r["ss"] / (r["rows"] - 1)) * r["rows"] ** -0.2, grids[r["column"]])
-            for r in spread if r["rows"] > 1 and r["ss"] > 0
-        ],
-        f"column string, {TARGET} int, rows bigint, width double, grid array<double>",
-    )
+        spread, f"column string, {TARGET} int, rows bigint, width double, grid array<double>")
     scaled = (F.col("x") - F.col("value")) / F.col("width")
     return (
-        counts.join(F.broadcast(kernels), ["column", TARGET])
+        value_counts(df, cols, [TARGET]).join(F.broadcast(kernels), ["column", TARGET])
         .select("column", TARGET, "rows", "width", "value", "n",
                 F.element_at("grid", 1).alias("lo"), F.element_at("grid", -1).alias("hi"),
                 F.posexplode("grid").alias("point", "x"))
@@ -122,6 +110,11 @@ def class_density(df: DataFrame, cols=HISTOGRAM_COLS, points=DENSITY_POINTS, bin
     )
 
 
+def _grid(moments, col, points) -> list:
+    known = [r for r in moments if r[f"n_{col}"]]
+    return linspace(min(r[f"lo_{col}"] for r in known), max(r[f"hi_{col}"] for r in known), points)
+
+
 def class_boxes(df: DataFrame, cols=BOX_COLS) -> DataFrame:
     """(column, DefaultFlag, q1, median, q3, whisker_lo, whisker_hi, n_outliers)."""
     by = [TARGET, "column"]

@@ -16,7 +16,10 @@ PART = "range_part"
 MERGE_LIMIT = 20_000_000
 
 # Rank error of the sketches that bracket a quantile is one in this many rows.
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 500
+
+# Sketches are merged in this many slices of the tasks, not in one place.
+SLICES = 256
 
 
 def unpivoted(df: DataFrame, cols, by=()) -> DataFrame:
@@ -93,6 +96,34 @@ def quantiles(counts: DataFrame, probs, by=("column",)) -> DataFrame:
     return values_at(counts, targets, by).withColumnRenamed("p", "q")
 
 
+def _brackets(df: DataFrame, cols, probs, by, accuracy):
+    """Rows (by..., column, q, lo, hi, rows): bounds that hold each quantile.
+
+    Every slice of the tasks gives its own bounds; the outermost of them hold
+    for all rows together.
+    """
+    slack = 2.0 / accuracy
+    around = [p for q in probs for p in (max(q - slack, 0.0), min(q + slack, 1.0))]
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
+    slices = (
+        df.withColumn("_slice", F.spark_partition_id() % SLICES).groupBy(*by, "_slice")
+        .agg(*[F.percentile_approx(v, around, accuracy).alias(f"edges_{c}") for c, v in known.items()],
+             *[F.count(v).alias(f"rows_{c}") for c, v in known.items()])
+    )
+    outermost = [
+        f(F.col(f"edges_{c}")[2 * i + j]).alias(f"edge_{c}_{i}_{j}")
+        for c in cols for i in range(len(probs)) for j, f in ((0, F.min), (1, F.max))
+    ]
+    found = []
+    for r in slices.groupBy(*by).agg(*outermost, *[F.sum(f"rows_{c}").alias(f"rows_{c}") for c in cols]).collect():
+        for c in cols:
+            for i, q in enumerate(probs if r[f"rows_{c}"] else []):
+                lo = float("-inf") if q - slack <= 0 else float(r[f"edge_{c}_{i}_0"])
+                hi = float("inf") if q + slack >= 1 else float(r[f"edge_{c}_{i}_1"])
+                found.append((*[r[k] for k in by], c, float(q), lo, hi, r[f"rows_{c}"]))
+    return found
+
+
 def bracketed_quantiles(df: DataFrame, cols, probs, by=(), accuracy=SKETCH_ACCURACY) -> DataFrame:
     """(by..., column, q, value): exact quantiles without shuffling all values.
 
@@ -100,23 +131,8 @@ def bracketed_quantiles(df: DataFrame, cols, probs, by=(), accuracy=SKETCH_ACCUR
     bracket are combined and ranked, and the rows below it are one count.
     A rank that a bracket should miss is missing from the result.
     """
-    by, cols, slack = list(by), list(cols), 2.0 / accuracy
-    around = [p for q in probs for p in (max(q - slack, 0.0), min(q + slack, 1.0))]
-    known = [F.when(~F.isnan(c), F.col(c)) for c in cols]
-    sketches = df.groupBy(*by).agg(
-        *[F.percentile_approx(v, around, accuracy).alias(f"edges_{c}") for c, v in zip(cols, known)],
-        *[F.count(v).alias(f"rows_{c}") for c, v in zip(cols, known)],
-    ).collect()
-    brackets = []
-    for r in sketches:
-        for c in cols:
-            if not r[f"rows_{c}"]:
-                continue
-            for i, q in enumerate(probs):
-                lo, hi = r[f"edges_{c}"][2 * i], r[f"edges_{c}"][2 * i + 1]
-                lo = float("-inf") if q - slack <= 0 else float(lo)
-                hi = float("inf") if q + slack >= 1 else float(hi)
-                brackets.append((*[r[k] for k in by], c, float(q), lo, hi, r[f"rows_{c}"]))
+    by, cols = list(by), list(cols)
+    brackets = _brackets(df, cols, probs, by, accuracy)
     keys = [*by, "column", "q"]
     kinds = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by],
                        "column string, q double, edge_lo double, edge_hi double, rows bigint"])

@@ -5,6 +5,8 @@ a range of that order, so all it takes is one cut-off hash per class and part;
 assigning rows is then a projection that any task can repeat alone.
 """
 
+import functools
+import operator
 from dataclasses import dataclass
 from math import ceil
 
@@ -12,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark.schema import CV_FOLDS, SEED, TARGET, TEST_SIZE
 
-PREFIX = 4  # hex digits: 65,536 buckets per class
+HASH_DIGITS = 32
+STEP_DIGITS = 2
+SORT_LIMIT = 100_000  # rows of one prefix that one task may sort
 
 
 def hash_key(seed, key="LoanID") -> Column:
@@ -27,40 +31,47 @@ def class_counts(df: DataFrame, label=TARGET) -> dict:
 def cutoffs(df: DataFrame, ranks: dict, seed, key="LoanID", label=TARGET) -> dict:
     """{(class, rank): hash of the row with that 1-based rank in its class}.
 
-    Counts per hash prefix locate each rank; only the rows of the prefixes
-    found are sorted, one 65,536th of a class each.
+    Counts per hash prefix narrow every rank down, two digits a round: a task
+    then has few groups, and what reaches the driver is 256 counts per rank.
+    Only a prefix with few rows left is sorted.
     """
-    hashed = df.select(F.col(label).alias("c"), hash_key(seed, key).alias("h")).withColumn("b", F.substring("h", 1, PREFIX))
-    in_class = Window.partitionBy("c").orderBy("b")
-    # At most 65,536 rows per class reach this window.
-    counts = hashed.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(in_class))
-    hits = []
-    for c, wanted in ranks.items():
-        for r in wanted:
-            hits.append((F.col("c") == c) & (F.col("upto") >= r) & (F.col("upto") - F.col("n") < r))
-    if not hits:
+    hashed = df.select(F.col(label).alias("c"), hash_key(seed, key).alias("h"))
+    # (class, rank) -> prefix, rank inside it, rows in it
+    places = {(c, r): ("", r, None) for c, wanted in ranks.items() for r in wanted}
+    while any(n is None or (n > SORT_LIMIT and len(p) < HASH_DIGITS) for p, _, n in places.values()):
+        digits = len(next(iter(places.values()))[0]) + STEP_DIGITS
+        prefix = F.substring("h", 1, digits).alias("prefix")
+        counts = _within(hashed, places).groupBy("c", prefix).agg(F.count(F.lit(1)).alias("n")).collect()
+        places = {at: _descend(counts, at[0], *place[:2]) for at, place in places.items()}
+    if not places:
         return {}
-    test = hits[0]
-    for h in hits[1:]:
-        test = test | h
-    buckets = upto.where(test).collect()
-    at = {}
-    for row in buckets:
-        for r in ranks[row["c"]]:
-            if row["upto"] - row["n"] < r <= row["upto"]:
-                at[row["c"], r] = (row["b"], r - (row["upto"] - row["n"]))
-    pick = None
-    for (c, _), (b, _) in at.items():
-        here = (F.col("c") == c) & (F.col("b") == b)
-        pick = here if pick is None else pick | here
-    ranked = hashed.where(pick).withColumn("k", F.row_number().over(Window.partitionBy("c", "b").orderBy("h")))
-    wanted = None
-    for (c, _), (b, k) in at.items():
-        here = (F.col("c") == c) & (F.col("b") == b) & (F.col("k") == k)
-        wanted = here if wanted is None else wanted | here
-    found = {(r["c"], r["b"], r["k"]): r["h"] for r in ranked.where(wanted).collect()}
-    return {(c, r): found[c, b, k] for (c, r), (b, k) in at.items()}
+    digits = len(next(iter(places.values()))[0])
+    rows = _within(hashed, places).withColumn("prefix", F.substring("h", 1, digits))
+    in_prefix = Window.partitionBy("c", "prefix").orderBy("h")
+    ranked = rows.withColumn("k", F.row_number().over(in_prefix))
+    wanted = _any((F.col("c") == c) & (F.col("prefix") == p) & (F.col("k") == k) for (c, _), (p, k, _) in places.items())
+    found = {(r["c"], r["prefix"], r["k"]): r["h"] for r in ranked.where(wanted).collect()}
+    return {at: found[at[0], p, k] for at, (p, k, _) in places.items()}
+
+
+def _within(hashed: DataFrame, places: dict) -> DataFrame:
+    """Rows of the classes and prefixes that hold a wanted rank."""
+    tests = {(c, p) for (c, _), (p, _, _) in places.items()}
+    return hashed.where(_any((F.col("c") == c) & F.col("h").startswith(p) for c, p in sorted(tests)))
+
+
+def _descend(counts, c, prefix, rank):
+    """The longer prefix that holds the rank, the rank inside it, its rows."""
+    before = 0
+    for row in sorted((r for r in counts if r["c"] == c and r["prefix"].startswith(prefix)), key=lambda r: r["prefix"]):
+        if before + row["n"] >= rank:
+            return row["prefix"], rank - before, row["n"]
+        before += row["n"]
+    raise ValueError(f"class {c} has fewer than {rank} rows")
+
+
+def _any(tests) -> Column:
+    return functools.reduce(operator.or_, tests)
 
 
 def train_sizes(counts: dict, test_size=TEST_SIZE) -> dict:

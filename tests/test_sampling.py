@@ -63,3 +63,12 @@ def test_weights(rows):
 def test_sample_is_all_rows_when_few(rows):
     assert sampling.sample_rows(rows, 10_000).count() == 1003
     assert sampling.sample_rows(rows, 10).count() == 10
+
+
+def test_ranks_through_several_rounds(rows, monkeypatch):
+    ids = {c: sorted(r["h"] for r in rows.where(F.col("DefaultFlag") == c).select(sampling.hash_key(42).alias("h")).collect()) for c in (0, 1)}
+    ranks = {0: [1, 300, 891], 1: [112]}
+    for limit in (100_000, 2, 0):
+        monkeypatch.setattr(sampling, "SORT_LIMIT", limit)
+        found = sampling.cutoffs(rows, ranks, 42)
+        assert found == {(c, r): ids[c][r - 1] for c, rs in ranks.items() for r in rs}
