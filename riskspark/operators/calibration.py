@@ -119,7 +119,7 @@ def load_model(directory: str, spark: SparkSession) -> CalibratedModel:
     root = directory.rstrip("/")
     meta = _read(spark, f"{root}/metadata")
     if meta is None:
-        raise FileNotFoundError(f"Required artifact not found: {root}/metadata. Train a model first.")
+        raise FileNotFoundError(f"no model is stored in {root}")
     row = meta.first()
     try:
         members = [
@@ -128,7 +128,7 @@ def load_model(directory: str, spark: SparkSession) -> CalibratedModel:
         ]
         base = PipelineModel.load(f"{root}/base")
     except Exception as error:
-        raise FileNotFoundError(f"Required artifact not found below {root}") from error
+        raise FileNotFoundError(f"the model in {root} is incomplete") from error
     stored = _read(spark, f"{root}/thresholds")
     thresholds = stored.first().asDict() if stored is not None else {}
     return CalibratedModel(row["name"], list(row["features"]), members, base, thresholds)

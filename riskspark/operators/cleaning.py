@@ -14,32 +14,52 @@ from riskspark.session import stage
 
 NULL_POLICIES = ("reference", "keep", "drop")
 
+# Most repeated ids that are broadcast: about 100 MB.
+FEW_IDS = 1_000_000
+
 
 def require_columns(df: DataFrame, cols=REQUIRED_COLS) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"Required columns missing from dataset: {missing}")
+        raise ValueError(f"missing columns: {missing}")
 
 
-def require_rows(df: DataFrame, message="Dataset is empty.") -> None:
+def require_rows(df: DataFrame, message="the table has no rows") -> None:
     if df.isEmpty():
         raise RuntimeError(message)
 
 
 # --- Duplicates ------------------------------------------------------------
 
-def dedup(df: DataFrame, key="LoanID", order=ORDER_COL) -> DataFrame:
+def dedup(df: DataFrame, key="LoanID", order=ORDER_COL, broadcast_limit=FEW_IDS) -> DataFrame:
     """First row per key in input order; full-row distinct without a key.
 
+    `order` is unique. First the repeated keys are found, which shuffles
+    nothing but keys. When they are few (counted), they are broadcast and the
+    wide rows stay where they are; otherwise every row is ranked by key.
+    """
+    if not key or key not in df.columns:
+        if order in df.columns:
+            return df.groupBy(*[c for c in df.columns if c != order]).agg(F.min(order).alias(order))
+        return df.distinct()
+    repeated = stage(
+        df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1").select("_key", "_first"), "repeated")
+    if repeated.count() > broadcast_limit:
+        return first_by_rank(df, key, order)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    marked = df.join(F.broadcast(repeated), same, "left")
+    return marked.where(F.col("_first").isNull() | (F.col(order) == F.col("_first"))).select(*df.columns)
+
+
+def first_by_rank(df: DataFrame, key, order) -> DataFrame:
+    """First row per key by rank.
+
     The rank filter runs before the shuffle too (window group limit), so a key
     that holds much of the data shrinks to one row per task first.
     """
-    if key and key in df.columns:
-        first = Window.partitionBy(key).orderBy(order)
-        return df.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
-    if order in df.columns:
-        return df.groupBy(*[c for c in df.columns if c != order]).agg(F.min(order).alias(order))
-    return df.distinct()
+    first = Window.partitionBy(key).orderBy(order)
+    return df.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
 
 
 def duplicate_count(df: DataFrame, key="LoanID", order=ORDER_COL) -> DataFrame:
@@ -205,19 +225,19 @@ def clean_rows(df: DataFrame, null_policy="reference", staged=True) -> DataFrame
     """Deduplicated, repaired and imputed rows.
 
     The deduplicated rows are staged: the fits below read a few columns of
-    them each and the full-width shuffle happens once.
+    them each.
     """
     require_columns(df)
     unique = dedup(df)
     unique = stage(unique, "unique") if staged else unique
     valid = repair(unique, null_policy)
-    require_rows(valid, "Dataset is empty after removing invalid rows.")
+    require_rows(valid, "no row is left after removing invalid ones")
     return impute(valid)
 
 
 def clean(df: DataFrame, null_policy="reference", vocab: dict = None):
     """(cleaned, encoded) forms of a raw loan table."""
-    require_rows(df, "Loaded dataset is empty.")
+    require_rows(df)
     cleaned = clean_rows(df, null_policy)
     return cleaned, encode(cleaned, vocab)
 

@@ -23,6 +23,13 @@ def hash_key(seed, key="LoanID") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
+def with_row_id(df: DataFrame, key="LoanID") -> DataFrame:
+    """Rows without an id get the hash of their values; they are distinct rows."""
+    if key in df.columns:
+        return df
+    return df.withColumn(key, F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))
+
+
 def class_counts(df: DataFrame, label=TARGET) -> dict:
     """Rows per class; a class label has few values."""
     return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -68,14 +68,16 @@ def sql_step(spark: SparkSession, root: str) -> None:
 
 
 def features_step(spark: SparkSession, root: str) -> None:
-    features, ml_ready = engineer_features(read_table(spark, f"{root}/cleaned"))
+    cleaned = read_table(spark, f"{root}/cleaned")
+    require_rows(cleaned)
+    features, ml_ready = engineer_features(cleaned)
     write_table(features, f"{root}/features")
     write_table(ml_ready, f"{root}/ml_ready")
 
 
 def train_step(spark: SparkSession, root: str, seed=SEED, **tuning) -> None:
     """Fit every candidate, calibrate the best, store it and its predictions."""
-    ml_ready = read_table(spark, f"{root}/ml_ready")
+    ml_ready = sampling.with_row_id(read_table(spark, f"{root}/ml_ready"))
     require_rows(ml_ready)
     features = training.feature_columns(ml_ready)
     train_rows, test_rows = sampling.train_test(ml_ready, seed=seed)

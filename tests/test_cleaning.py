@@ -37,12 +37,33 @@ def test_dedup_without_key_drops_equal_rows(spark):
     assert cleaning.duplicate_count(df).first()["duplicate_rows"] == 1
 
 
-def test_dedup_shrinks_a_hot_key_before_the_shuffle(spark):
-    df = spark.range(10_000).select(
+def hot_ids(spark):
+    """One id holds a third of the rows."""
+    return spark.range(10_000).select(
         F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("L"), "id")).alias("LoanID"), F.col("id").alias("RowSeq"))
-    plan = cleaning.dedup(df)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [cleaning.FEW_IDS, 0])
+def test_dedup_of_a_hot_id(spark, limit):
+    out = cleaning.dedup(hot_ids(spark), broadcast_limit=limit)
+    assert out.count() == 6667
+    assert out.where("LoanID = 'HOT'").first()["RowSeq"] == 0
+
+
+def test_few_repeated_ids_leave_wide_rows_in_place(spark):
+    plan = cleaning.dedup(hot_ids(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_ranking_shrinks_a_hot_id_before_the_shuffle(spark):
+    plan = cleaning.first_by_rank(hot_ids(spark), "LoanID", "RowSeq")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
-    assert cleaning.dedup(df).where("LoanID = 'HOT'").first()["RowSeq"] == 0
+
+
+@pytest.mark.parametrize("limit", [cleaning.FEW_IDS, 0])
+def test_repeated_null_ids_are_one_id(spark, limit):
+    df = frame(spark, "LoanID string, RowSeq long", [(None, 4), (None, 2), ("a", 3), (None, 9)])
+    assert sorted(r["RowSeq"] for r in cleaning.dedup(df, broadcast_limit=limit).collect()) == [2, 3]
 
 
 def test_impossible_ages_become_null(spark):

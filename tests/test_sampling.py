@@ -72,3 +72,10 @@ def test_ranks_through_several_rounds(rows, monkeypatch):
         monkeypatch.setattr(sampling, "SORT_LIMIT", limit)
         found = sampling.cutoffs(rows, ranks, 42)
         assert found == {(c, r): ids[c][r - 1] for c, rs in ranks.items() for r in rs}
+
+
+def test_rows_without_id_get_one(spark):
+    df = spark.createDataFrame([(1, None), (1, "a"), (None, "a")], "x int, y string")
+    out = sampling.with_row_id(df)
+    assert out.select("LoanID").distinct().count() == 3
+    assert sampling.with_row_id(out) is out
