@@ -168,7 +168,7 @@ def _relational():
         orphan("loan_applications", "CustomerID", "customers"), orphan("loan_details", "LoanID", "loan_applications")]))
     q["n05_integrity_raw"] = _q(RAW + """,
       t AS (SELECT LoanID, concat('CUST_', LoanID) AS CustomerID, Income, RowSeq FROM loans_raw),
-      customers AS (SELECT DISTINCT CustomerID, Income FROM t), loan_applications AS (SELECT LoanID, CustomerID FROM t),
+      customers AS (SELECT DISTINCT CustomerID, Income FROM t WHERE RowSeq % 6 <> 0), loan_applications AS (SELECT LoanID, CustomerID FROM t),
       loan_details AS (SELECT LoanID FROM t)""", _union([
         broken("customers", "CustomerID"), broken("loan_applications", "LoanID"), broken("loan_details", "LoanID"),
         orphan("loan_applications", "CustomerID", "customers"), orphan("loan_details", "LoanID", "loan_applications")]))
@@ -387,6 +387,28 @@ def _models():
     return q
 
 
+def _proxies():
+    q = {}
+    p = "round((850 - CreditScore) * (InterestRate * 100)) / 1375000"
+    shown = "(round_even(p * 10000.0, 0) / 10000.0)::DOUBLE"
+    rows = f"(SELECT *, {p} AS p FROM loans_raw)"
+    decided = "CASE WHEN p >= 0.3 THEN 1 ELSE 0 END"
+    q["p06_batch_proxy"] = _q(RAW, f"""SELECT * EXCLUDE (p), {shown} AS Default_Probability, {decided} AS Predicted_Default,
+      0.3::DOUBLE AS Threshold FROM {rows}""")
+    q["p07_applicant_proxy"] = _q(RAW, f"""SELECT LoanID, RowSeq, {shown} AS default_probability, {decided} AS predicted_class,
+      0.3::DOUBLE AS threshold_used, CASE WHEN p <= 0.3 THEN 'Low Risk (<30%)' WHEN p <= 0.6 THEN 'Medium Risk (30-60%)'
+      ELSE 'High Risk (>60%)' END AS risk_tier FROM {rows}""")
+    scores = {"proxy": p, "score_only": "(850 - CreditScore) / 550", "rate_only": "InterestRate / 25"}
+    each = _union([f"SELECT '{m}' AS model, {TARGET} AS y, {expr} AS s FROM cleaned JOIN split USING (LoanID, {TARGET}) WHERE is_test" for m, expr in scores.items()])
+    q["m21_best_candidate"] = _q(SPLIT + f""", scores AS ({each}),
+      g AS (SELECT model, s, sum(y) AS pos, sum(1 - y) AS neg FROM scores GROUP BY 1, 2),
+      c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY s DESC) AS tp, sum(pos) OVER (PARTITION BY model) AS np,
+        sum(neg) OVER (PARTITION BY model) AS nn FROM g),
+      auc AS (SELECT model, round_even(sum(neg * (tp - pos / 2.0)) / max(np * CAST(nn AS DOUBLE)) * 10000.0, 0) AS a FROM c GROUP BY 1)""",
+      "SELECT model AS best_model FROM auc ORDER BY a DESC, model LIMIT 1")
+    return q
+
+
 def _exports():
     sizes = {"sql_kpi_summary": "1", "sql_default_by_education": "count(DISTINCT Education)",
              "sql_default_by_employment": "count(DISTINCT EmploymentType)",
@@ -395,7 +417,7 @@ def _exports():
 
 
 def oracle_sql():
-    q = {**_cleaning(), **_relational(), **_features(), **_evaluation(), **_scoring(), **_models()}
+    q = {**_cleaning(), **_relational(), **_features(), **_evaluation(), **_scoring(), **_models(), **_proxies()}
     # Files written and read back hold the same rows.
     q["s04_cleaned_table"] = q["c11_impute"]
     q["s05_encoded_table"] = q["c17_encoded"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import encoding, features as feat
 from riskspark.functions.binning import cut
+from riskspark.functions.numeric import round_even
 from riskspark.operators import (
     calibration, cleaning, eda, evaluation, explain, marts, relational, sampling, scoring, training,
 )
@@ -186,10 +187,10 @@ CLEANING = {
 # --- Relational tables and marts -------------------------------------------
 
 def n05_raw(spark, sf):
-    """The checks on rows that still hold duplicate ids."""
+    """The checks on rows with duplicate ids and applications without customer."""
     raw = relational.with_customer_id(loans_raw(spark, sf))
     return relational.integrity_violations({
-        "customers": raw.select("CustomerID", "Income").distinct(),
+        "customers": raw.select("CustomerID", "Income").where("RowSeq % 6 <> 0").distinct(),
         "loan_applications": raw.select("LoanID", "CustomerID"),
         "loan_details": raw.select("LoanID"),
     })
@@ -338,7 +339,41 @@ def p09(spark, sf):
     return rounded(done, 6, "approval_pct")
 
 
+class ProxyModel:
+    """A model with a known formula, so that SQL can state what scoring gives."""
+
+    features = ["CreditScore", "InterestRate"]
+    thresholds = {"best_cost_threshold": 0.3}
+
+    def score(self, df, out="p"):
+        return proxy_score(df, out)
+
+
+def candidate_scores(spark, sf):
+    """Three candidate scores of the hold-out rows."""
+    test = sampling.train_test(cleaned(spark, sf))[1]
+    return proxy_score(test).select(
+        F.col(TARGET).alias("label"), F.col("p").alias("proxy"),
+        ((850 - F.col("CreditScore")) / 550).alias("score_only"), (F.col("InterestRate") / 25).alias("rate_only"))
+
+
+def m21_candidates(spark, sf):
+    rows = candidate_scores(spark, sf)
+    table = training.compare([
+        evaluation.roc_auc(rows, "label", name).select(F.lit(name).alias("Model"), round_even(F.col("roc_auc"), 4).alias("ROC-AUC"))
+        for name in ("proxy", "score_only", "rate_only")])
+    return spark.createDataFrame([(training.best_model(table),)], "best_model string")
+
+
+def p07_proxy(spark, sf):
+    return scoring.score_applicants(s18(spark, sf), ProxyModel()).select(
+        "LoanID", "RowSeq", "default_probability", "predicted_class", "threshold_used", "risk_tier")
+
+
 SCORING["p09_stream_decisions"] = p09
+SCORING["p06_batch_proxy"] = lambda s, d: scoring.score_batch(loans_raw(s, d), ProxyModel())
+SCORING["p07_applicant_proxy"] = p07_proxy
+EVALUATION["m21_best_candidate"] = m21_candidates
 
 
 # --- Models ----------------------------------------------------------------
