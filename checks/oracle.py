@@ -144,6 +144,9 @@ def _cleaning():
     q["c13_encode_binary"] = _q(RAW, f"SELECT LoanID, RowSeq, {binary} FROM loans_raw")
     q["c14_encode_ordinal"] = _q(RAW, f"SELECT LoanID, RowSeq, Education, {_code('Education', EDUCATION_LEVELS)} AS Education_Encoded FROM loans_raw")
     q["c15_one_hot"] = _q(RAW, f"SELECT LoanID, RowSeq, {', '.join(_ONE_HOT)} FROM loans_raw")
+    q["c15_unknown_categories"] = _q(RAW, """SELECT 'LoanPurpose' AS "column", LoanPurpose AS value, count(*) AS n FROM loans_raw
+      WHERE LoanPurpose NOT IN ('Auto', 'Business', 'Education') GROUP BY 2 UNION ALL
+      SELECT 'MaritalStatus', MaritalStatus, count(*) FROM loans_raw WHERE MaritalStatus NOT IN ('Divorced', 'Married') GROUP BY 2""")
     q["c16_bools_to_int"] = _q(RAW, "SELECT LoanID, RowSeq, CAST(Income < 0 AS INTEGER) AS bad_income, CAST(LoanAmount <= 0 AS INTEGER) AS bad_amount FROM loans_raw")
     q["c17_encoded"] = _q(CLEAN, f"""SELECT LoanID, RowSeq, {_NUM}, Education, {binary},
       {_code('Education', EDUCATION_LEVELS)} AS Education_Encoded, {', '.join(_ONE_HOT)}, {TARGET} FROM cleaned""")
@@ -208,6 +211,8 @@ def _features():
     q["f04_emi_to_income"] = _q(FEATURES, "SELECT LoanID, round(emi_ratio, 4) AS EMIToIncomeRatio FROM fe")
     q["f05_employment_ratio"] = _q(FEATURES, "SELECT LoanID, emp_ratio AS EmploymentRatio FROM fe")
     q["f06_score_band"] = _q(FEATURES, "SELECT LoanID, band AS CreditScoreBand FROM fe")
+    q["f06_undefined_features"] = _q(RAW, """SELECT count(*) FILTER (CreditScore IS NULL OR CreditScore <= 0 OR CreditScore > 1000) AS no_score_band,
+      count(*) FILTER (Income IS NULL OR Income = 0 OR LoanAmount IS NULL) AS no_income_ratio FROM loans_raw""")
     q["f07_composite_risk"] = _q(FEATURES, "SELECT LoanID, cri AS CompositeRiskIndex FROM fe")
     q["f08_high_risk_flag"] = _q(FEATURES, "SELECT LoanID, high_risk AS HighRiskFlag FROM fe")
     q["f09_total_interest"] = _q(FEATURES, "SELECT LoanID, round(interest, 4) AS TotalInterestCost FROM fe")

@@ -179,6 +179,8 @@ CLEANING = {
     "c14_encode_ordinal": lambda s, d: encoding.encode_ordinal(loans_raw(s, d), out="Education_Encoded").select(
         "LoanID", "RowSeq", "Education", "Education_Encoded"),
     "c15_one_hot": lambda s, d: encoding.one_hot(loans_raw(s, d).select("LoanID", "RowSeq", *NOMINAL_COLS)),
+    "c15_unknown_categories": lambda s, d: encoding.unknown_categories(
+        loans_raw(s, d), {"LoanPurpose": ["Auto", "Business", "Education"], "MaritalStatus": ["Divorced", "Married"]}),
     "c16_bools_to_int": c16,
     "c17_encoded": lambda s, d: cleaning.clean(loans_raw(s, d))[1],
 }
@@ -241,6 +243,7 @@ FEATURES = {
     "f04_emi_to_income": feature("EMIToIncomeRatio", 4),
     "f05_employment_ratio": feature("EmploymentRatio"),
     "f06_score_band": feature("CreditScoreBand"),
+    "f06_undefined_features": lambda s, d: credit_risk.undefined_features(feat.add_engineered(loans_raw(s, d))),
     "f07_composite_risk": feature("CompositeRiskIndex"),
     "f08_high_risk_flag": feature("HighRiskFlag"),
     "f09_total_interest": feature("TotalInterestCost", 4),

@@ -1,5 +1,8 @@
 """Categorical encodings, for training and for scoring."""
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.schema import (
@@ -45,6 +48,18 @@ def category_values(df: DataFrame, cols) -> dict:
     return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in cols}
 
 
+def unknown_categories(df: DataFrame, vocab: dict = None) -> DataFrame:
+    """(column, value, n) of category values outside the known ones; one scan."""
+    vocab = {ORDINAL_COL: list(EDUCATION_LEVELS), **NOMINAL_VALUES} if vocab is None else vocab
+    cols = present(df, vocab)
+    known = functools.reduce(
+        operator.or_, [(F.col("column") == c) & F.col("value").isin(vocab[c]) for c in cols])
+    return (
+        df.select(*cols).unpivot([], cols, "column", "value").where(F.col("value").isNotNull() & ~known)
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def one_hot(df: DataFrame, cols=NOMINAL_COLS, vocab: dict = None) -> DataFrame:
     """One 0/1 column per category, in sorted order; the source is dropped.
 

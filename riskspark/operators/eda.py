@@ -95,7 +95,7 @@ def class_density(df: DataFrame, cols=HISTOGRAM_COLS, points=DENSITY_POINTS, bin
         for c in cols for r in moments if r[f"n_{c}"] > 1 and r[f"sd_{c}"]
     ]
     kernels = df.sparkSession.createDataFrame(
-        spread, f"column string, {TARGET} int, rows bigint, width double, grid array<double>")
+        spread, f"column string, {TARGET} {dict(df.dtypes)[TARGET]}, rows bigint, width double, grid array<double>")
     scaled = (F.col("x") - F.col("value")) / F.col("width")
     return (
         value_counts(df, cols, [TARGET]).join(F.broadcast(kernels), ["column", TARGET])

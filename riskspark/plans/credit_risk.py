@@ -10,16 +10,17 @@ from riskspark.operators.calibration import (
 )
 from riskspark.operators.cleaning import clean, require_rows
 from riskspark.operators.scoring import score_batch
-from riskspark.schema import NOMINAL_VALUES, ORDER_COL, SEED
+from riskspark.schema import ORDER_COL, SEED
 from riskspark.session import stage
 from riskspark.sources.loans import read_loans, read_table
 from riskspark.sources.sinks import export_mart, publish_tables, write_comparison, write_document, write_table
 
 
-def engineer_features(cleaned: DataFrame, vocab=NOMINAL_VALUES):
+def engineer_features(cleaned: DataFrame, vocab=None):
     """(features, ml_ready): engineered columns, then encoded for models.
 
-    Without a vocabulary the categories that occur are used.
+    Without a vocabulary the categories that occur are used; scoring aligns
+    its own columns to those the model was fitted on.
     """
     features = add_engineered(cleaned)
     coded = encode_ordinal(encode_binary(features))
