@@ -16,7 +16,7 @@ from riskspark.schema import (
     AGE_GROUP_EDGES, AGE_GROUP_LABELS, APPLICANT_SCHEMA, BINARY_COLS, CATEGORICAL_COLS, ENGINEERED_COLS,
     FEATURE_COLS, INCOME_BRACKET_LABELS, NOMINAL_COLS, NOMINAL_VALUES, NUMERIC_COLS, TARGET,
 )
-from riskspark.session import shared_dir, stage
+from riskspark.session import shared_dir, spread, stage
 from riskspark.sources import loans as readers, sinks
 from riskspark.sources.fixture import loans_raw, proxy_score
 from riskspark.streaming import scoring as streams
@@ -36,7 +36,7 @@ def _once(spark, sf_dir, name, make):
 
 
 def cleaned(spark, sf_dir):
-    return _once(spark, sf_dir, "cleaned", lambda: stage(cleaning.clean_rows(loans_raw(spark, sf_dir)), "cleaned"))
+    return _once(spark, sf_dir, "cleaned", lambda: stage(spread(cleaning.clean_rows(loans_raw(spark, sf_dir))), "cleaned"))
 
 
 def deduplicated(spark, sf_dir):
@@ -63,7 +63,7 @@ def train_test(spark, sf_dir):
     def make():
         train, test = sampling.train_test(ml_ready(spark, sf_dir))
         train = training.with_weights(training.training_frame(train, FEATURE_COLS))
-        return stage(train, "train"), stage(training.training_frame(test, FEATURE_COLS), "test"), test
+        return stage(spread(train), "train"), stage(training.training_frame(test, FEATURE_COLS), "test"), test
 
     return _once(spark, sf_dir, "split", make)
 

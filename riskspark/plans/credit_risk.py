@@ -11,7 +11,7 @@ from riskspark.operators.calibration import (
 from riskspark.operators.cleaning import clean, require_rows
 from riskspark.operators.scoring import score_batch
 from riskspark.schema import ORDER_COL, SEED
-from riskspark.session import stage
+from riskspark.session import spread, stage
 from riskspark.sources.loans import read_loans, read_table
 from riskspark.sources.sinks import export_mart, publish_tables, write_comparison, write_document, write_table
 
@@ -37,7 +37,7 @@ def undefined_features(features: DataFrame) -> DataFrame:
 
 def clean_step(raw: DataFrame, root: str) -> None:
     cleaned, encoded = clean(raw)
-    write_table(cleaned, f"{root}/cleaned")
+    write_table(spread(cleaned), f"{root}/cleaned")
     write_table(encoded, f"{root}/encoded")
 
 
@@ -82,7 +82,7 @@ def train_step(spark: SparkSession, root: str, seed=SEED, **tuning) -> None:
     require_rows(ml_ready)
     features = training.feature_columns(ml_ready)
     train_rows, test_rows = sampling.train_test(ml_ready, seed=seed)
-    train = stage(training.with_weights(training.training_frame(train_rows, features)), "train")
+    train = stage(spread(training.with_weights(training.training_frame(train_rows, features))), "train")
     test = stage(training.training_frame(test_rows, features), "test")
     comparison, fitted = training.fit_candidates(train, test, seed=seed, **tuning)
     write_comparison(comparison, f"{root}/reports", f"{root}/dashboard")

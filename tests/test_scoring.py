@@ -109,3 +109,12 @@ def test_published_bucketed_tables_join_without_shuffle(spark, sf):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_spread_moves_small_data_only(spark, tmp_path):
+    from riskspark.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    small = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and small.count() == 100
+    assert spread(small) is small
