@@ -66,9 +66,12 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words `[^\\x20\\x09-\\x0D]+` begin and end, and each one's row."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words `[^\\x20\\x09-\\x0D]+` begin and end, and each one's row.
+
+    `space` marks the bytes that stand between words.
+    """
+    solid = ~space[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]

@@ -59,11 +59,11 @@ def _shouts(counts, texts, rows):
     return out
 
 
-#: The rules of this library: more than one symbol to two words, repeated
+#: The rules of this library: more than one symbol to five words, repeated
 #: lines for a third of the words, words far from any usual length, text that
 #: compresses to an eighth, capitals for most letters.
 RULES = (
-    Rule("symbols", lambda c, t, r: 2 * c["n_symbols"][r] > c["n_words"][r]),
+    Rule("symbols", lambda c, t, r: 5 * c["n_symbols"][r] > c["n_words"][r]),
     Rule("dup_lines", lambda c, t, r: 3 * c["n_dup_lines"][r] > c["n_words"][r]),
     Rule("word_length", lambda c, t, r: (c["word_chars"][r] < 2 * c["n_words"][r]) | (c["word_chars"][r] > 25 * c["n_words"][r])),
     Rule("compresses", _compresses),
