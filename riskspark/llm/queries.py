@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import bpe, chat, packing, quality, secrets, toxicity, warc
+from riskspark.llm import bpe, chat, embeddings, langid, packing, quality, secrets, toxicity, warc
 from riskspark.session import shared_dir
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,13 @@ def op3_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    remainder = toxicity.remainder("doc_id", 5)
+    found = langid.identify(docs, langid.train(docs, learn=remainder != 0))
+    return found.select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents"), BYTE_RANKS))
 
@@ -62,9 +69,13 @@ def op9_toxicity(spark, sf_dir):
     )
 
 
+def op10_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op5_secrets, op6_bpe, op7_warc, op9_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op4_language, op5_secrets, op6_bpe, op7_warc, op9_toxicity, op10_embeddings)}

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.llm import arrow
 
-#: Labelled documents used for training, per class: those with the smallest hashes of their ids.
-TRAIN_DOCS = 2500
-#: Features kept for training: those that tell the classes apart best.
-FEATURES = 6000
+#: Labelled documents used for training, of class 0 and 1: those with the smallest hashes of their ids.
+TRAIN_DOCS = (6000, 2500)
+#: Features kept for training: those that tell the classes apart best, by so many standard errors at least.
+FEATURES, LEAST_GAP = 4000, 5.0
 PREFIXES = (4, 5, 6)
-STEPS, RATE, DECAY = 300, 0.1, 2e-4
+STEPS, RATE, SPARSE = 300, 0.1, 2e-4
 #: A document is toxic from this score on.
 TOXIC = 0.7
 #: A sentence offends from this score on.
@@ -97,42 +97,93 @@ def _or(z: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row, np.logaddexp(0, z), minlength=rows)
 
 
+def _distinct(texts: list[bytes]) -> list[int]:
+    """Places of texts, one of those that share their smallest window of eight words."""
+    seen, out = set(), []
+    for k, text in enumerate(texts):
+        data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        first, last, row = arrow.words(data, offsets)
+        _, value = arrow.windows(arrow.word_hashes(data, first, last, lower=True), row, 8)
+        least = int(value.min()) if len(value) else -1 - k
+        if least not in seen:
+            seen.add(least)
+            out.append(k)
+    return out
+
+
+def _instances(texts: list[bytes]):
+    """For slices of the texts: distinct (value, sentence), each sentence's row, and the first row."""
+    offsets = np.cumsum([0, *map(len, texts)])
+    for i, j in arrow.slices(offsets, 4_000_000):
+        data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
+        value, sentence, (row, _, _) = features(data, offsets[i:j + 1] - offsets[i])
+        order = np.lexsort((sentence, value))
+        value, sentence = value[order], sentence[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (sentence[1:] != sentence[:-1])
+        yield value[new], sentence[new], row + i
+
+
+def _telling(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
+    """The features whose shares of documents differ most between the classes."""
+    names, counts = np.zeros(0, np.uint64), np.zeros((0, 2))
+    for value, sentence, row in _instances(texts):
+        doc = row[sentence]
+        order = np.lexsort((doc, value))
+        value, doc = value[order], doc[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+        value, toxic = value[new], labels[doc[new]] == 1
+        names, place = np.unique(np.concatenate((names, value)), return_inverse=True)
+        old, counts = counts, np.zeros((len(names), 2))
+        counts[place[:len(old)]] = old
+        counts += np.column_stack([np.bincount(place[len(old):], toxic == y, minlength=len(names)) for y in (False, True)])
+    totals = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    share = (counts.sum(1) + 1) / (totals.sum() + 2)
+    gap = np.abs(counts[:, 1] / totals[1] - counts[:, 0] / totals[0]) / np.sqrt(share * (1 - share) * (1 / totals).sum())
+    best = np.argsort(-gap, kind="stable")[:FEATURES]
+    return np.sort(names[best[gap[best] >= LEAST_GAP]])
+
+
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
-    """Weights from documents and their labels."""
+    """Weights from documents and their labels.
+
+    Copies are left out first, else what they share passes for a sign of
+    their label.
+    """
+    none = np.zeros(0, np.uint64)
     if not len(texts) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0 if not len(texts) or not labels.max() else 3.0)
-    offsets = np.cumsum([0, *map(len, texts)])
-    value, sentence, (row, _, _) = features(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    # One entry for a feature in a sentence; documents per class that have it.
-    order = np.lexsort((sentence, value))
-    value, sentence = value[order], sentence[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (sentence[1:] != sentence[:-1])
-    value, sentence = value[new], sentence[new]
-    names, index = np.unique(value, return_inverse=True)
-    doc = row[sentence]
-    pair = np.unique(index.astype(np.int64) * len(texts) + doc)
-    of, positive = pair // len(texts), labels[pair % len(texts)] == 1
-    with_pos, with_neg = (np.bincount(of[m], minlength=len(names)) for m in (positive, ~positive))
-    n_pos, n_neg = (labels == 1).sum(), (labels == 0).sum()
-    gap = np.abs(with_pos / n_pos - with_neg / n_neg) / np.sqrt((with_pos + with_neg + 2) / len(texts))
-    kept = np.sort(np.argsort(-gap, kind="stable")[:FEATURES])
-    to = np.full(len(names), -1)
-    to[kept] = np.arange(len(kept))
-    use = to[index] >= 0
-    index, sentence, names = to[index][use], sentence[use], names[kept]
-    weights, bias, rows = np.zeros(len(names)), -4.0, len(texts)
+        return Model(none, np.zeros(0), 3.0 if len(texts) and labels.max() else -30.0)
+    own = _distinct(texts)
+    texts, labels = [texts[k] for k in own], labels[own]
+    if labels.min() == labels.max():
+        return Model(none, np.zeros(0), 3.0 if labels.max() else -30.0)
+    names = _telling(texts, labels)
+    parts, rows_of, before = [], [], 0
+    for value, sentence, row in _instances(texts):
+        place = np.minimum(np.searchsorted(names, value), max(len(names) - 1, 0))
+        known = names[place] == value if len(names) else np.zeros(len(value), bool)
+        parts.append((place[known], sentence[known] + before))
+        rows_of.append(row)
+        before += len(row)
+    index, sentence = (np.concatenate(p) for p in zip(*parts))
+    row, rows = np.concatenate(rows_of), len(texts)
+    weights, bias = np.zeros(len(names)), -4.0
     moments = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
+    weight_of = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(sentence, weights[index], minlength=len(row))
-        none = _or(z, row, rows)
-        back = np.where(labels == 1, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-6), 1.0)
-        at = back[row] / (1 + np.exp(-z)) / rows
-        slope = np.append(np.bincount(index, at[sentence], minlength=len(names)) + DECAY * weights / 10, at.sum())
+        survives = _or(z, row, rows)
+        back = weight_of * np.where(labels == 1, -1 / np.maximum(np.expm1(np.minimum(survives, 50)), 1e-6), 1.0)
+        at = back[row] / (1 + np.exp(-z))
+        slope = np.append(np.bincount(index, at[sentence], minlength=len(names)), at.sum())
         moments = [0.9 * moments[0] + 0.1 * slope, 0.99 * moments[1] + 0.01 * slope**2]
-        change = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
+        size = np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-6
+        change = RATE * (moments[0] / (1 - 0.9**step)) / size
         weights, bias = weights - change[:-1], bias - change[-1]
-    return Model(names, weights, float(bias))
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - RATE * SPARSE / size[:-1], 0)
+    used = np.flatnonzero(weights)
+    return Model(names[used], weights[used], float(bias))
 
 
 def remainder(id_col, modulus: int) -> Column:
@@ -140,8 +191,8 @@ def remainder(id_col, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxic", per_class: int = TRAIN_DOCS) -> Model:
-    """Fits on at most `per_class` labelled documents of each class.
+def train(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxic", per_class: tuple[int, int] = TRAIN_DOCS) -> Model:
+    """Fits on at most `per_class` labelled documents of class 0 and 1.
 
     `learn` says of a label's doc_id whether it may be learnt from. Labels that
     are null are left out; of several for a document, the largest holds.
@@ -152,8 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxi
         .groupBy("doc_id").agg(F.max(target).alias("y"))
     )
     ids = []
-    for y in (0, 1):  # bounded: per_class rows each
-        ids += known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+    for y in (0, 1):  # bounded: per_class rows
+        ids += known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y]).collect()
     if not ids:
         return fit([], np.zeros(0))
     chosen = F.broadcast(spark.createDataFrame(ids, known.schema))
