@@ -234,6 +234,36 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     return fit(texts, labels)
 
 
+def _judged(model: Identifier, column):
+    """For slices of a text column: (first row, last row, languages, scores, letters labelled)."""
+    ascii_letter = np.zeros(256, bool)
+    ascii_letter[[*range(65, 91), *range(97, 123)]] = True
+    data, offsets = arrow.utf8(column)
+    for i, j in arrow.slices(offsets):
+        part, own = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+        letters = arrow.per_row(ascii_letter[part], own) > 0
+        for k in np.flatnonzero(~letters):
+            letters[k] = any(map(str.isalpha, part[own[k]:own[k + 1]].tobytes().decode()))
+        if not model.languages:
+            yield i, j, np.full(j - i, UNKNOWN, object), np.zeros(j - i), np.zeros((j - i, 0), np.int64)
+            continue
+        chance, labelled = model.chances(part, own)
+        best = chance.argmax(1)
+        score = np.where(letters, np.clip(chance[np.arange(len(best)), best], 0, 1), 0.0)
+        yield i, j, np.where(letters, np.array(model.languages, object)[best], UNKNOWN), score, labelled
+
+
+def _sent(docs: DataFrame, model: Identifier):
+    """The model, to be loaded in tasks; its size does not depend on the data."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.network.w if model.network else None))
+
+    def load() -> Identifier:
+        languages, weights = sent.value
+        return Identifier(languages, Network(weights) if weights else None)
+
+    return load
+
+
 def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score, labelled (letters labelled with each language).
 
@@ -243,32 +273,30 @@ def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_co
     are kept, each row on its own. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.network.w if model.network else None))  # fixed size
-    kind = source.schema["doc_id"].dataType.simpleString()
-    ascii_letter = np.zeros(256, bool)
-    ascii_letter[[*range(65, 91), *range(97, 123)]] = True
+    load, kind = _sent(docs, model), source.schema["doc_id"].dataType.simpleString()
+    counted = pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))
 
     def scan(batches):
-        languages, weights = sent.value
-        own_model = Identifier(languages, Network(weights) if weights else None)
+        own = load()
         for batch in batches:
-            data, offsets = arrow.utf8(batch.column(1))
-            for i, j in arrow.slices(offsets):
-                part, own = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-                letters = arrow.per_row(ascii_letter[part], own) > 0
-                for k in np.flatnonzero(~letters):
-                    letters[k] = any(map(str.isalpha, part[own[k]:own[k + 1]].tobytes().decode()))
-                if languages:
-                    chance, labelled = own_model.chances(part, own)
-                    best = chance.argmax(1)
-                    pred = np.where(letters, np.array(languages, object)[best], UNKNOWN)
-                    score = np.where(letters, np.clip(chance[np.arange(len(best)), best], 0, 1), 0.0)
-                    counts = [[{"lang": v, "n": int(n)} for v, n in zip(languages, r) if n] for r in labelled]
-                else:
-                    pred, score, counts = np.full(j - i, UNKNOWN, object), np.zeros(j - i), [[]] * (j - i)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(score),
-                    pa.array(counts, pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))),
-                ], names=["doc_id", "lang_pred", "score", "labelled"])
+            for i, j, pred, score, labelled in _judged(own, batch.column(1)):
+                counts = [[{"lang": v, "n": int(n)} for v, n in zip(own.languages, r) if n] for r in labelled]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(score), pa.array(counts, counted)],
+                    names=["doc_id", "lang_pred", "score", "labelled"],
+                )
 
     return source.mapInArrow(scan, f"doc_id {kind}, lang_pred string, score double, labelled array<struct<lang:string,n:long>>")
+
+
+def accepted(docs: DataFrame, model: Identifier, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known with `least_score` or more; all columns stay."""
+    at, load = docs.columns.index(text_col), _sent(docs, model)
+
+    def scan(batches):
+        own = load()
+        for batch in batches:
+            for i, j, pred, score, _ in _judged(own, batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array((pred != UNKNOWN) & (score >= least_score)))
+
+    return docs.mapInArrow(scan, docs.schema)

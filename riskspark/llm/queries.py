@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import bpe, chat, embeddings, langid, packing, quality, secrets, toxicity, warc
+from riskspark.llm import bpe, chat, embeddings, langid, ngram_join, packing, quality, secrets, toxicity, warc
 from riskspark.session import shared_dir
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,10 @@ def op7_warc(spark, sf_dir):
     return warc.digests(warc.read(packages))
 
 
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     remainder = toxicity.remainder("doc_id", 3)
@@ -78,4 +82,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op4_language, op5_secrets, op6_bpe, op7_warc, op9_toxicity, op10_embeddings)}
+    return {f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op4_language, op5_secrets, op6_bpe, op7_warc, op8_ngram_join, op9_toxicity, op10_embeddings)}

@@ -219,6 +219,29 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxi
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
+def _scored(model: Model, column):
+    """For slices of a text column: (first row, last row, scores, offending sentences of each row)."""
+    data, offsets = arrow.utf8(column)
+    for i, j in arrow.slices(offsets):
+        part, own = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+        value, sentence, (row, begin, end) = features(part, own)
+        z = model.logits(value, sentence, len(row))
+        chance, points = 1 / (1 + np.exp(-z)), None
+        spans = [[] for _ in range(j - i)]
+        for s in np.flatnonzero(chance >= OFFENDS):
+            if points is None:
+                points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+            at = points[own[row[s]]]
+            spans[row[s]].append({"start": int(points[begin[s]] - at), "end": int(points[end[s]] - at), "score": float(chance[s])})
+        yield i, j, np.clip(-np.expm1(-_or(z, row, j - i)), 0, 1), spans
+
+
+def _sent(docs: DataFrame, model: Model):
+    """The model, to be loaded in tasks; it has FEATURES rows at most."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.values, model.weights, model.bias))
+    return lambda: Model(*sent.value)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score, sentences (offending ones: start, end, score).
 
@@ -227,28 +250,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ids are kept, each row on its own. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((model.values, model.weights, model.bias))  # FEATURES rows at most
-    kind = source.schema["doc_id"].dataType.simpleString()
+    load, kind = _sent(docs, model), source.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        own_model = Model(*sent.value)
+        own = load()
         for batch in batches:
-            data, offsets = arrow.utf8(batch.column(1))
-            for i, j in arrow.slices(offsets):
-                part, own = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-                value, sentence, (row, begin, end) = features(part, own)
-                z = own_model.logits(value, sentence, len(row))
-                scores = -np.expm1(-_or(z, row, j - i)) if len(row) else np.zeros(j - i)
-                spans = [[] for _ in range(j - i)]
-                chance = 1 / (1 + np.exp(-z))
-                points = None
-                for s in np.flatnonzero(chance >= OFFENDS):
-                    if points is None:
-                        points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-                    at = points[own[row[s]]]
-                    spans[row[s]].append({"start": int(points[begin[s]] - at), "end": int(points[end[s]] - at), "score": float(chance[s])})
+            for i, j, scores, spans in _scored(own, batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.clip(scores, 0, 1)), pa.array(spans, SPANS)], names=["doc_id", "score", "sentences"],
+                    [batch.column(0).slice(i, j - i), pa.array(scores), pa.array(spans, SPANS)], names=["doc_id", "score", "sentences"],
                 )
 
     return source.mapInArrow(scan, f"doc_id {kind}, score double, sentences array<struct<start:long,end:long,score:double>>")
+
+
+def clean(docs: DataFrame, model: Model, toxic: float = TOXIC, text_col: str = "text") -> DataFrame:
+    """The rows with a score under `toxic`; all columns stay."""
+    at, load = docs.columns.index(text_col), _sent(docs, model)
+
+    def scan(batches):
+        own = load()
+        for batch in batches:
+            for i, j, scores, _ in _scored(own, batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(scores < toxic))
+
+    return docs.mapInArrow(scan, docs.schema)
