@@ -436,8 +436,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat an id, one stays; rows without an id all do.
     """
     found = stage(near_duplicates(docs, id_col, text_col), "components")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min("component_id").alias("_first")).where("doc_id = _first")
-    ids = stage(ids.select(F.col("doc_id").alias("_id"), "_rows"), "kept")
-    kept = docs.join(ids, F.col(id_col) == F.col("_id"))
-    again = kept.where("_rows > 1").drop("_id", "_rows").dropDuplicates([id_col])
-    return kept.where("_rows = 1").drop("_id", "_rows").unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("first")).where("doc_id = first")
+    own, rows = (_free(docs, name) for name in ("id", "rows"))
+    ids = stage(ids.select(F.col("doc_id").alias(own), F.col("rows").alias(rows)), "kept")
+    kept = docs.join(ids, F.col(id_col) == F.col(own))
+    once = kept.where(F.col(rows) == 1).drop(own, rows)
+    again = kept.where(F.col(rows) > 1).drop(own, rows).dropDuplicates([id_col])
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

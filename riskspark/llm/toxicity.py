@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 Only documents carry labels. A sentence's score is a logistic function of the
-words and word beginnings in it; a document is toxic if any of its sentences
+telling words and word beginnings in it; a document is toxic if any of its sentences
 is, so its score is the noisy-or of theirs. Training sends the documents' error
 back through the noisy-or to the sentences, and scoring then also tells which
 sentences offend.
@@ -17,8 +17,8 @@ from riskspark.llm import arrow
 
 #: Labelled documents used for training, of class 0 and 1: those with the smallest hashes of their ids.
 TRAIN_DOCS = (6000, 2500)
-#: Features kept for training: those that tell the classes apart best, by so many standard errors at least.
-FEATURES, LEAST_GAP = 4000, 5.0
+#: Features kept for training: those that tell the classes apart best, by so many standard errors at least, in so many documents at least.
+FEATURES, LEAST_GAP, LEAST_DOCS = 4000, 5.0, 6
 PREFIXES = (4, 5, 6)
 STEPS, RATE, SPARSE = 300, 0.1, 2e-4
 #: A document is toxic from this score on.
@@ -32,6 +32,8 @@ _BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?\n")] = True
 _HIT_BITS = 20
+#: The logit of a sentence without any telling feature: it can't offend, so a long text is not toxic for its length.
+SILENT = -1e9
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -89,7 +91,10 @@ class Model:
         place = np.searchsorted(self.values, value[near])
         place[place == len(self.values)] = 0
         known = self.values[place] == value[near] if len(self.values) else np.zeros(0, bool)
-        return self.bias + np.bincount(sentence[near][known], self.weights[place[known]], minlength=sentences)
+        where = sentence[near][known]
+        z = self.bias + np.bincount(where, self.weights[place[known]], minlength=sentences)
+        z[np.bincount(where, minlength=sentences) == 0] = SILENT
+        return z
 
 
 def _or(z: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -142,7 +147,7 @@ def _telling(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     share = (counts.sum(1) + 1) / (totals.sum() + 2)
     gap = np.abs(counts[:, 1] / totals[1] - counts[:, 0] / totals[0]) / np.sqrt(share * (1 - share) * (1 / totals).sum())
     best = np.argsort(-gap, kind="stable")[:FEATURES]
-    return np.sort(names[best[gap[best] >= LEAST_GAP]])
+    return np.sort(names[best[(gap[best] >= LEAST_GAP) & (counts[best].sum(1) >= LEAST_DOCS)]])
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -167,7 +172,8 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
         rows_of.append(row)
         before += len(row)
     index, sentence = (np.concatenate(p) for p in zip(*parts))
-    row, rows = np.concatenate(rows_of), len(texts)
+    speaks, sentence = np.unique(sentence, return_inverse=True)
+    row, rows = np.concatenate(rows_of)[speaks], len(texts)
     weights, bias = np.zeros(len(names)), -4.0
     moments = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
     weight_of = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
@@ -175,7 +181,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
         z = bias + np.bincount(sentence, weights[index], minlength=len(row))
         survives = _or(z, row, rows)
         back = weight_of * np.where(labels == 1, -1 / np.maximum(np.expm1(np.minimum(survives, 50)), 1e-6), 1.0)
-        at = back[row] / (1 + np.exp(-z))
+        at = back[row] / (1 + np.exp(np.minimum(-z, 500)))
         slope = np.append(np.bincount(index, at[sentence], minlength=len(names)), at.sum())
         moments = [0.9 * moments[0] + 0.1 * slope, 0.99 * moments[1] + 0.01 * slope**2]
         size = np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-6
@@ -226,7 +232,7 @@ def _scored(model: Model, column):
         part, own = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         value, sentence, (row, begin, end) = features(part, own)
         z = model.logits(value, sentence, len(row))
-        chance, points = 1 / (1 + np.exp(-z)), None
+        chance, points = 1 / (1 + np.exp(np.minimum(-z, 500))), None
         spans = [[] for _ in range(j - i)]
         for s in np.flatnonzero(chance >= OFFENDS):
             if points is None:
