@@ -20,6 +20,8 @@ Links between sets of one connected group may be left out, links that connect
 two groups never are.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -31,21 +33,29 @@ from riskspark.session import stage
 WORDS = 5
 #: A link needs PERCENT * (size of the union) <= 100 * (size of the intersection).
 PERCENT = 80
-#: An n-gram of more texts than this is ordered last.
-FREQUENT = 64
-#: Slots of each map, as a power of two: 16 MB each, whatever the input.
-MAP_BITS = 27
 #: Values that a task packs together.
 PACK = 3_000_000
 #: Bits of a signature; sets in a leaf, and children of a node, of a tree.
 SIGNATURE, FANOUT = 2048, 8
-#: Sets in a block.
-BLOCK = 768
-#: Rounds of comparing with hubs, at most.
-HUB_ROUNDS = 3
 #: Pairs that one numpy pass compares.
 PAIRS = 16_384
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Settings that change the work, not the result.
+
+    frequent: an n-gram of more texts is ordered last. map_bits: slots of each
+    map, as a power of two, 16 MB each whatever the input. hub_rounds: rounds of
+    comparing with hubs, at most. block: sets in a block.
+    """
+
+    frequent: int = 64
+    map_bits: int = 27
+    hub_rounds: int = 3
+    block: int = 768
+
+
 _SALTS = np.array([0x8C6F_3D2A_91B7_E045, 0x51F3_ABCD_0E77_9A13], np.uint64)
 
 
@@ -101,12 +111,12 @@ def _counted(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.n
     return values[first], np.add.reduceat(count.astype(np.int64), first)
 
 
-def occurrence_maps(docs: DataFrame, text_col: str = "text") -> tuple[bytes, bytes]:
-    """Bit maps over the first MAP_BITS bits of a hash: in two or more texts; in more than FREQUENT."""
+def occurrence_maps(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> tuple[bytes, bytes]:
+    """Bit maps over the first bits of a hash: in two or more texts; in more than `limits.frequent`."""
     spark = docs.sparkSession
     texts = docs.select(text_col)
     parts = 8 * max(8, texts.rdd.getNumPartitions())
-    bits = min(14, max(6, (parts - 1).bit_length()))
+    bits, map_bits, frequent_from = min(14, max(6, (parts - 1).bit_length())), limits.map_bits, limits.frequent + 1
 
     def pack(batches):
         held, size = [], 0
@@ -129,10 +139,10 @@ def occurrence_maps(docs: DataFrame, text_col: str = "text") -> tuple[bytes, byt
 
     def count(table: pa.Table) -> pa.Table:
         value, texts_with = _counted(table.column("packed").to_pylist(), table.column("counts").to_pylist())
-        slot = (value >> np.uint64(32 - (MAP_BITS - bits))).astype(np.int64)
+        slot = (value >> np.uint64(32 - (map_bits - bits))).astype(np.int64)
         maps = []
-        for least in (2, FREQUENT + 1):
-            flags = np.zeros(1 << (MAP_BITS - bits), bool)
+        for least in (2, frequent_from):
+            flags = np.zeros(1 << (map_bits - bits), bool)
             flags[slot[texts_with >= least]] = True
             maps.append(np.packbits(flags, bitorder="little").tobytes())
         return pa.table({"part": table.column("part").slice(0, 1), "shared": pa.array([maps[0]], pa.binary()), "frequent": pa.array([maps[1]], pa.binary())})
@@ -141,8 +151,8 @@ def occurrence_maps(docs: DataFrame, text_col: str = "text") -> tuple[bytes, byt
         texts.mapInArrow(pack, "part int, packed binary, counts binary").groupBy("part")
         .applyInArrow(count, "part int, shared binary, frequent binary")
     )
-    shared, frequent = bytearray(1 << (MAP_BITS - 3)), bytearray(1 << (MAP_BITS - 3))
-    width = 1 << (MAP_BITS - bits - 3)
+    shared, frequent = bytearray(1 << (map_bits - 3)), bytearray(1 << (map_bits - 3))
+    width = 1 << (map_bits - bits - 3)
     for r in slices.toLocalIterator():  # slices of the two maps: a fixed size in all
         shared[r["part"] * width:(r["part"] + 1) * width] = r["shared"]
         frequent[r["part"] * width:(r["part"] + 1) * width] = r["frequent"]
@@ -150,7 +160,7 @@ def occurrence_maps(docs: DataFrame, text_col: str = "text") -> tuple[bytes, byt
 
 
 def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = (values >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    slot = (values >> np.uint64(64 - (8 * len(bits) - 1).bit_length())).astype(np.int64)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -179,7 +189,7 @@ def _digest(values: np.ndarray) -> bytes:
 def profiles(docs: DataFrame, maps: tuple[bytes, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its n, and, where a link is possible, its set, the set's digest, keys and signature."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(maps)  # 2 ** (MAP_BITS - 2) bytes
+    sent = docs.sparkSession.sparkContext.broadcast(maps)  # 2 ** (map_bits - 2) bytes
 
     def scan(batches):
         shared, frequent = (np.frombuffer(m, np.uint8) for m in sent.value)
@@ -331,11 +341,11 @@ def _opened(node: np.ndarray, other: np.ndarray, below: int) -> tuple[np.ndarray
     return child[child < below], other[child < below]
 
 
-def tree_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
+def tree_pairs(keys: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """(a, b): pairs of sets of different groups that share a key and may link by their signatures."""
     spread = stage(
         keys.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size"))
-        .where("first < last").select(F.col("key").alias("_key"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "apart",
+        .where("first < last").select(F.col("key").alias("_key"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "apart",
     )
     marks = sets.select(F.col("node").alias("_node"), "signature")
     rows = (
@@ -371,22 +381,22 @@ def _grouped(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
     return keys.join(to, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
 
 
-def set_links(sets: DataFrame) -> DataFrame:
+def set_links(sets: DataFrame, limits: Limits) -> DataFrame:
     """(node, component) of all sets that link, from node, n, keys, signature, values."""
     keys = stage(_keys(sets), "keys")
     links, parts = None, None
-    for _ in range(HUB_ROUNDS):
+    for _ in range(limits.hub_rounds):
         apart = _grouped(keys, parts)
         new = stage(verified(hub_pairs(apart if parts is None else stage(apart, "grouped")), sets), "links")
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
         parts = stage(components(links), "parts")
-    new = verified(tree_pairs(stage(_grouped(keys, parts), "grouped"), sets), sets)
+    new = verified(tree_pairs(stage(_grouped(keys, parts), "grouped"), sets, limits.block), sets)
     return components(new if links is None else links.unionByName(new))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Words are runs of characters other than space and the controls 9 to 13,
@@ -397,7 +407,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing, nor does a row without a doc_id. Rows that share a doc_id are one
     document to the links. Other columns are ignored.
     """
-    found = stage(profiles(docs, occurrence_maps(docs.select(F.col(text_col).alias("text"))), id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    maps = occurrence_maps(docs, text_col, limits)
+    found = stage(profiles(docs, maps, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
     possible = found.where("digest is not null and doc_id is not null")
     first = stage(
         possible.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"))
@@ -407,7 +418,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         possible.join(first.select("_row"), F.col("row") == F.col("_row"))
         .select(F.col("row").alias("node"), "n", "keys", "signature", "values"), "sets",
     )
-    parts = set_links(sets)
+    parts = set_links(sets, limits)
     # From sets to documents: links between the first documents, and of a doc_id with several sets.
     to = first.select("_row", "first_id")
     ends = parts.join(to, F.col("node") == F.col("_row")).select("first_id", "component")

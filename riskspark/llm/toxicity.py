@@ -56,7 +56,7 @@ def features(data: np.ndarray, offsets: np.ndarray):
     edge = offsets[1:][offsets[1:] > offsets[:-1]] - 1
     ends[edge] = True
     end = np.flatnonzero(ends) + 1
-    begin = np.concatenate(([0], end[:-1]))
+    begin = np.concatenate(([0], end))[:-1].astype(np.int64)
     row = np.searchsorted(offsets, begin, "right") - 1
     low = fold(data)
     first, last, _ = arrow.words(low, offsets, _BETWEEN)

@@ -110,7 +110,7 @@ def directory(ranges) -> tuple[int, int, int]:
     """(offset, size, entries) of the central directory; ZIP64 where the end record says so."""
     tail_size = min(ranges.size, END_SIZE + FULL16 + LOCATOR_SIZE)
     tail = ranges.read(ranges.size - tail_size, tail_size)
-    at = tail.rfind(END_MARK)
+    at = tail.rfind(END_MARK, 0, max(0, len(tail) - END_SIZE + len(END_MARK)))
     while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(END_MARK, 0, at)
     if at < 0:
@@ -207,7 +207,7 @@ def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, member_bytes: int = MEMBER_BYTES) -> DataFrame:
     """Writes ZIP packages under `folder`, a URI all executors reach; returns one row per package: uri, records.
 
     Takes page_id, url, html; other columns are ignored. Package names are
@@ -221,7 +221,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Data
         package = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                package = package or _Package(folder)
+                package = package or _Package(folder, member_bytes)
                 package.add(row[0], record(row[0], row[1], bytes(row[2]), row[3], row[4], row[5]))
                 if package.members >= PACKAGE_MEMBERS:
                     yield package.close()
@@ -235,7 +235,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Data
 class _Package:
     """A package while it is written."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, member_bytes: int):
+        self.member_bytes = member_bytes
         self.uri = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.zip"
         system, path = fs.FileSystem.from_uri(self.uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -248,7 +249,7 @@ class _Package:
         self.lines.append(json.dumps({"page": _shown(page_id), "offset": self.data.tell(), "length": len(data)}))
         self.data.write(data)
         self.records += 1
-        if self.data.tell() >= MEMBER_BYTES:
+        if self.data.tell() >= self.member_bytes:
             self.flush()
 
     def flush(self):
