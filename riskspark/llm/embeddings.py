@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskspark.llm.components import components
+from riskspark.llm.sample import drawn
 from riskspark.session import stage
 
 COSINE = 0.98
 #: Vectors that centroids are fitted on: those with the smallest hashes.
 SAMPLE = 8192
-#: Vectors in a cell on average, most cells, rounds of k-means.
-CELL, CELLS, ROUNDS = 400, 8192, 8
+#: Numbers of cells to choose from, and rounds of k-means.
+CELLS, ROUNDS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 6
+#: Seconds for a row in a cell, and for a pair compared there.
+ROW_COST, PAIR_COST = 2e-5, 1e-8
 #: Vectors in a block.
 BLOCK = 1024
 
@@ -44,6 +47,29 @@ def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     return centers
 
 
+def choose(sample: np.ndarray, own: float, reach: float) -> np.ndarray:
+    """Centroids, as many as make the work least for vectors with `own` others of their label.
+
+    More cells mean fewer pairs, but also more guests: where vectors lie close
+    to many borders, cells are few.
+    """
+    best, least = None, math.inf
+    for cells in CELLS:
+        if best is not None and cells > len(sample) // 4:
+            break
+        centers = fit(sample, cells)
+        some = sample[:: max(1, len(sample) // 1024)]
+        home, row, cell = cells_of(some, centers, reach)
+        size = np.bincount(cells_of(sample, centers, -1.0)[0], minlength=len(centers)) / len(sample)
+        places = np.concatenate((home, cell))
+        cost = len(places) / len(some) * ROW_COST + own * size[places].sum() / len(some) * PAIR_COST
+        if cost > 1.5 * least:
+            break
+        if cost < least:
+            best, least = centers, cost
+    return best
+
+
 def cells_of(x: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home of each unit vector, row and cell of each guest place)."""
     near = x @ centers.T
@@ -92,7 +118,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     it is the row's own. Rows that share an id are one node of the components.
     Other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(
@@ -119,18 +144,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
 def _compared(copies: DataFrame, cosine: float) -> DataFrame:
     """(vec_id, links, root) from every block; `copies` holds distinct vectors."""
-    spark = copies.sparkSession
-    n = copies.count()
+    spark, reach = copies.sparkSession, math.sqrt(max(0.0, 2 - 2 * cosine))
+    sizes = copies.groupBy("label").count().agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count").cast("double")).alias("pairs")).first()
+    n = sizes["n"] or 0
     names = ["vec_id", "label", "size", "copies", "cell", "home", "v"]
     raw = copies.select(F.col("first_id").alias("vec_id"), "label", F.size("v").alias("size"), "copies", "v")
     width, centers = 0, np.zeros((0, 0))
     if n:
-        drawn = raw.select("v", F.xxhash64("label", "v").alias("h")).orderBy("h").limit(SAMPLE).collect()
-        width = max((len(r["v"]) for r in drawn), key=[len(r["v"]) for r in drawn].count)
-        sample = _unit([np.array(r["v"], "<f4").tobytes() for r in drawn if len(r["v"]) == width])
-        centers = fit(sample, min(CELLS, max(1, math.ceil(n / CELL))))
-    sent = spark.sparkContext.broadcast((width, centers))  # CELLS centroids at most
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+        rows = drawn(raw.select("label", "v"), SAMPLE, "label", "v", total=n)
+        width = max((len(r["v"]) for r in rows), key=[len(r["v"]) for r in rows].count)
+        sample = _unit([np.array(r["v"], "<f4").tobytes() for r in rows if len(r["v"]) == width])
+        centers = choose(sample, sizes["pairs"] / n, reach)
+    sent = spark.sparkContext.broadcast((width, centers))  # as many as the last of CELLS at most
 
     def place(batches):
         own_width, own_centers = sent.value

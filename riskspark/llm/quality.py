@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskspark.llm import arrow
+from riskspark.llm.sample import drawn
 
 #: Documents on which costs and rejections are estimated.
 SAMPLE = 256
@@ -137,11 +138,9 @@ def ordered(rules, sample: list[bytes]) -> list[tuple[Rule, float, float]]:
 
 
 def plan(docs: DataFrame, rules=RULES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Rule, float, float]]:
-    """The cascade's order, from `sample` documents with the smallest hashes of their ids."""
-    taken = (
-        docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-        .orderBy("h").limit(sample).collect()
-    )
+    """The cascade's order, from at most `sample` documents, those with the smallest hashes of their ids."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    taken = drawn(rows, sample, "id")
     return ordered(rules, [bytes(r["text"]) for r in taken])
 
 

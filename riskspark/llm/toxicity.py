@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.llm import arrow
+from riskspark.llm.sample import drawn
 
 #: Labelled documents used for training, of class 0 and 1: those with the smallest hashes of their ids.
 TRAIN_DOCS = (6000, 2500)
@@ -208,9 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxi
         labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
         .groupBy("doc_id").agg(F.max(target).alias("y"))
     )
-    ids = []
+    sizes, ids = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}, []
     for y in (0, 1):  # bounded: per_class rows
-        ids += known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y]).collect()
+        ids += drawn(known.where(F.col("y") == y), per_class[y], "doc_id", total=sizes.get(y, 0))
     if not ids:
         return fit([], np.zeros(0))
     chosen = F.broadcast(spark.createDataFrame(ids, known.schema))

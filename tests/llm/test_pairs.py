@@ -147,9 +147,9 @@ def brute_vectors(rows):
     return sorted(((r[0], n, union.find(r[0]) if r[0] is not None else None) for r, n in zip(rows, links)), key=str)
 
 
-@pytest.mark.parametrize("cell,block", [(400, 1024), (8, 16)])
-def test_vectors_equal_brute_force(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(embeddings, "CELL", cell)
+@pytest.mark.parametrize("cells,block", [(embeddings.CELLS, 1024), ((50,), 16)])
+def test_vectors_equal_brute_force(spark, monkeypatch, cells, block):
+    monkeypatch.setattr(embeddings, "CELLS", cells)
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rng, rows = np.random.default_rng(3), []
     centers = rng.standard_normal((12, 6))
