@@ -16,7 +16,7 @@ from riskspark.schema import (
     AGE_GROUP_EDGES, AGE_GROUP_LABELS, APPLICANT_SCHEMA, BINARY_COLS, CATEGORICAL_COLS, ENGINEERED_COLS,
     FEATURE_COLS, INCOME_BRACKET_LABELS, NOMINAL_COLS, NOMINAL_VALUES, NUMERIC_COLS, TARGET,
 )
-from riskspark.session import shared_dir, spread, stage
+from riskspark.session import arranged, shared_dir, spread, stage
 from riskspark.sources import loans as readers, sinks
 from riskspark.sources.fixture import loans_raw, proxy_score
 from riskspark.streaming import scoring as streams
@@ -63,7 +63,7 @@ def train_test(spark, sf_dir):
     def make():
         train, test = sampling.train_test(ml_ready(spark, sf_dir))
         train = training.with_weights(training.training_frame(train, FEATURE_COLS))
-        return stage(spread(train), "train"), stage(training.training_frame(test, FEATURE_COLS), "test"), test
+        return arranged(stage(train, "train")), stage(training.training_frame(test, FEATURE_COLS), "test"), test
 
     return _once(spark, sf_dir, "split", make)
 
@@ -389,8 +389,8 @@ POINTS = {
     "Logistic Regression": {"C": 1.0},
     "Decision Tree": {"max_depth": 5, "min_samples_leaf": 5, "criterion": "gini"},
     "Random Forest": {"n_estimators": 50, "max_depth": 8, "min_samples_leaf": 2, "max_features": "sqrt"},
-    "XGBoost": {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0},
-    "LightGBM": {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1},
+    "Boosted Trees": {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0},
+    "Leaf-limited Boosted Trees": {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1},
 }
 
 
@@ -578,8 +578,8 @@ MODELS = {
     "m08_logistic_regression": model_scores("Logistic Regression"),
     "m09_decision_tree": model_scores("Decision Tree"),
     "m10_random_forest": model_scores("Random Forest"),
-    "m11_boosted_depthwise": model_scores("XGBoost"),
-    "m12_boosted_balanced": model_scores("LightGBM"),
+    "m11_boosted_depthwise": model_scores("Boosted Trees"),
+    "m12_boosted_balanced": model_scores("Leaf-limited Boosted Trees"),
     "m13_random_search": m13,
     "m15_cross_validation": m15,
     "m16_predictions": lambda s, d: fitted(s, d, "Decision Tree").transform(train_test(s, d)[1]).select(

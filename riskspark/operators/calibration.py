@@ -3,6 +3,7 @@
 import functools
 import operator
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,6 +14,9 @@ from riskspark.operators.sampling import stratified_folds
 from riskspark.operators.training import LINEAR, assemble, margin, probability
 from riskspark.schema import CV_FOLDS, SEED, TARGET
 
+# Decimals of a score that calibration tells apart.
+SCORE_DIGITS = 4
+
 
 def raw_score(name, model: PipelineModel, df: DataFrame, out) -> DataFrame:
     """What calibration maps: the margin of a linear model, else P(1)."""
@@ -60,24 +64,29 @@ class CalibratedModel:
 def fit_isotonic(df: DataFrame, score="p") -> IsotonicRegressionModel:
     """Isotonic fit of label on score.
 
-    Equal scores are first combined into one weighted point, which leaves the
-    fit unchanged and keeps a score shared by many rows small.
+    Equal scores are first combined into one weighted point, which keeps a
+    score shared by many rows small. Scores count as equal at SCORE_DIGITS
+    decimals, so a continuous score too gives a bounded number of points to the
+    merge of pools on the driver, however many rows there are.
     """
-    points = df.groupBy(F.col(score).alias("score")).agg(
+    shown = F.round(score, SCORE_DIGITS)
+    points = df.groupBy(shown.alias("score")).agg(
         F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
 
 
 def calibrate(name, pipeline: Pipeline, base: PipelineModel, train: DataFrame, features,
-              folds=CV_FOLDS, seed=SEED) -> CalibratedModel:
+              folds=CV_FOLDS, seed=SEED, parallelism=2) -> CalibratedModel:
     """Fit one model per fold on the other folds, isotonic on the fold itself."""
     frame = stratified_folds(train, folds, f"{seed}/calibration", label="label").persist()
+
+    def one(f):
+        model = pipeline.fit(frame.where(F.col("fold") != f))
+        return model, fit_isotonic(raw_score(name, model, frame.where(F.col("fold") == f), "p"))
+
     try:
-        members = []
-        for f in range(folds):
-            model = pipeline.fit(frame.where(F.col("fold") != f))
-            held = raw_score(name, model, frame.where(F.col("fold") == f), "p")
-            members.append((model, fit_isotonic(held)))
+        with ThreadPool(min(parallelism, folds)) as pool:
+            members = pool.map(one, range(folds))
     finally:
         frame.unpersist()
     return CalibratedModel(name, list(features), members, base)

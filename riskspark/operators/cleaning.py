@@ -34,22 +34,24 @@ def require_rows(df: DataFrame, message="the table has no rows") -> None:
 def dedup(df: DataFrame, key="LoanID", order=ORDER_COL, broadcast_limit=FEW_IDS) -> DataFrame:
     """First row per key in input order; full-row distinct without a key.
 
-    `order` is unique. First the repeated keys are found, which shuffles
-    nothing but keys. When they are few (counted), they are broadcast and the
-    wide rows stay where they are; otherwise every row is ranked by key.
+    Rows of a key are ordered by `order`, nulls first, and then by a hash of
+    the row, so ties have one answer too; a table without `order` is ordered by
+    the hash alone. First the repeated keys are found, which shuffles nothing
+    but keys. When they are few (counted), they are broadcast, and only their
+    rows are ranked while all others stay where they are; otherwise every row
+    is ranked. Both give the same rows.
     """
     if not key or key not in df.columns:
         if order in df.columns:
             return df.groupBy(*[c for c in df.columns if c != order]).agg(F.min(order).alias(order))
         return df.distinct()
     repeated = stage(
-        df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1").select("_key", "_first"), "repeated")
+        df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "repeated")
     if repeated.count() > broadcast_limit:
         return first_by_rank(df, key, order)
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    marked = df.join(F.broadcast(repeated), same, "left")
-    return marked.where(F.col("_first").isNull() | (F.col(order) == F.col("_first"))).select(*df.columns)
+    marked = df.join(F.broadcast(repeated), F.col(key).eqNullSafe(F.col("_key")), "left")
+    once, copies = marked.where("_n IS NULL"), marked.where("_n IS NOT NULL")
+    return once.select(*df.columns).unionByName(first_by_rank(copies.select(*df.columns), key, order))
 
 
 def first_by_rank(df: DataFrame, key, order) -> DataFrame:
@@ -58,7 +60,8 @@ def first_by_rank(df: DataFrame, key, order) -> DataFrame:
     The rank filter runs before the shuffle too (window group limit), so a key
     that holds much of the data shrinks to one row per task first.
     """
-    first = Window.partitionBy(key).orderBy(order)
+    by = [F.col(order).asc_nulls_first()] if order in df.columns else []
+    first = Window.partitionBy(key).orderBy(*by, F.xxhash64(*df.columns))
     return df.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
 
 
@@ -235,9 +238,18 @@ def clean_rows(df: DataFrame, null_policy="reference", staged=True) -> DataFrame
     return impute(valid)
 
 
+def require_target(df: DataFrame, target=TARGET) -> None:
+    """Rows without a target are refused: it is neither imputed nor dropped."""
+    n = df.where(F.col(target).isNull()).count()
+    if n:
+        raise ValueError(f"{n} rows have no {target}")
+
+
 def clean(df: DataFrame, null_policy="reference", vocab: dict = None):
     """(cleaned, encoded) forms of a raw loan table."""
     require_rows(df)
+    require_columns(df)
+    require_target(df)
     cleaned = clean_rows(df, null_policy)
     return cleaned, encode(cleaned, vocab)
 

@@ -18,10 +18,23 @@ THRESHOLDS = [0.01 + i * 0.01 for i in range(99)]
 CALIBRATION_BINS = 10
 
 
+def has_score(score="p") -> Column:
+    """Rows whose score is neither null nor NaN; all measures leave the others out."""
+    return F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+
+
+def unscored(df: DataFrame, label="label", score="p") -> DataFrame:
+    """One row: the rows left out, in all and per class."""
+    out, y = ~has_score(score), F.col(label)
+    return df.agg(
+        F.count_if(out).alias("unscored"), F.count_if(out & (y == 1)).alias("positives"), F.count_if(out & (y == 0)).alias("negatives"),
+    )
+
+
 def score_counts(df: DataFrame, label="label", score="p") -> DataFrame:
     """(p, pos, neg) per distinct score."""
     y = F.col(label)
-    return df.groupBy(F.col(score).alias("p")).agg(
+    return df.where(has_score(score)).groupBy(F.col(score).alias("p")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
 
@@ -112,10 +125,10 @@ def average_precision(df: DataFrame, label="label", score="p") -> DataFrame:
     return cumulative(df, label, score).agg(_average_precision().alias("average_precision"))
 
 
-def ks_chart(df: DataFrame, label="label", score="p") -> DataFrame:
+def ks_chart(df: DataFrame, label="label", score="p", curve: DataFrame = None) -> DataFrame:
     """(threshold, tpr, fpr, gap, is_max): the KS curve and its first maximum."""
     gap = _tpr() - _fpr()
-    curve = cumulative(df, label, score).select(
+    curve = (cumulative(df, label, score) if curve is None else curve).select(
         F.col("p").alias("threshold"), _tpr().alias("tpr"), _fpr().alias("fpr"), gap.alias("gap"))
     best = ks_peak(curve)
     return curve.withColumn("is_max", F.col("threshold") == F.lit(best.first()["ks_threshold"]))
@@ -190,10 +203,10 @@ def cohens_kappa(df: DataFrame, label="label", predicted="predicted") -> DataFra
     return confusion(df, label, predicted).select(kappa().alias("kappa"))
 
 
-def metric_bundle(df: DataFrame, label="label", score="p", threshold=0.5) -> DataFrame:
+def metric_bundle(df: DataFrame, label="label", score="p", threshold=0.5, curve: DataFrame = None) -> DataFrame:
     """One row with every scalar metric, from one cumulative table."""
     flagged = F.col("p") >= threshold
-    row = cumulative(df, label, score).agg(
+    row = (cumulative(df, label, score) if curve is None else curve).agg(
         _auc().alias("ROC_AUC"), _average_precision().alias("ap"), _ks().alias("ks"),
         F.coalesce(F.sum(F.when(flagged, F.col("pos"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(flagged, F.col("neg"))), F.lit(0)).alias("fp"),
@@ -218,7 +231,7 @@ def threshold_sweep(df: DataFrame, label="label", score="p",
     """
     edges = [float("-inf"), *THRESHOLDS, float("inf")]
     y = F.col(label)
-    between = bucketize(df.select(y.alias("y"), F.col(score).cast("double").alias("p")), "p", edges, "step")
+    between = bucketize(df.where(has_score(score)).select(y.alias("y"), F.col(score).cast("double").alias("p")), "p", edges, "step")
     counts = between.groupBy("step").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     steps = label_table(df.sparkSession, [edges[0], *THRESHOLDS], "threshold").withColumnRenamed("position", "step")
     filled = steps.join(counts, "step", "left").fillna(0, ["pos", "neg"])
@@ -255,10 +268,11 @@ def min_cost_threshold(sweep: DataFrame) -> DataFrame:
     )
 
 
-def threshold_info(df: DataFrame, label="label", score="p",
-                   cost_fn=COST_FALSE_NEGATIVE, cost_fp=COST_FALSE_POSITIVE) -> DataFrame:
+def threshold_info(df: DataFrame, label="label", score="p", cost_fn=COST_FALSE_NEGATIVE,
+                   cost_fp=COST_FALSE_POSITIVE, sweep: DataFrame = None) -> DataFrame:
     """One row with the six stored threshold fields."""
-    best = threshold_sweep(df, label, score, cost_fn, cost_fp).agg(
+    sweep = threshold_sweep(df, label, score, cost_fn, cost_fp) if sweep is None else sweep
+    best = sweep.agg(
         F.max(F.struct("f1", (-F.col("step")).alias("low"), "threshold")).alias("b"),
         F.min(F.struct("cost", "step", "threshold")).alias("c"),
     )
@@ -272,10 +286,11 @@ def threshold_info(df: DataFrame, label="label", score="p",
     )
 
 
-def metrics_document(df: DataFrame, model="best", label="label", score="p", threshold=0.5) -> DataFrame:
+def metrics_document(df: DataFrame, model="best", label="label", score="p", threshold=0.5,
+                     curve: DataFrame = None, sweep: DataFrame = None) -> DataFrame:
     """One nested row: model, scalar metrics, confusion matrix, thresholds."""
-    metrics = metric_bundle(df, label, score, threshold).withColumn("k", F.lit(1))
-    info = threshold_info(df, label, score)
+    metrics = metric_bundle(df, label, score, threshold, curve).withColumn("k", F.lit(1))
+    info = threshold_info(df, label, score, sweep=sweep)
     names = info.columns
     # Both sides are one row.
     return metrics.join(info.withColumn("k", F.lit(1)), "k").select(
@@ -292,7 +307,7 @@ def calibration_curve(df: DataFrame, label="label", score="p", bins=CALIBRATION_
     step = 1.0 / bins
     edges = [float("-inf"), *[i * step for i in range(1, bins)], float("inf")]
     which = cut(F.col(score), edges, list(range(bins)), include_lowest=True).cast("int")
-    return df.groupBy(which.alias("bin")).agg(
+    return df.where(has_score(score)).groupBy(which.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_p"), F.avg(label).alias("positive_rate"))
 
 
@@ -305,7 +320,7 @@ def risk_tier(score="p") -> Column:
 def scorecard(df: DataFrame, label="label", score="p") -> DataFrame:
     """Volume, defaults and default rate per risk tier; empty tiers stay."""
     tier = cut(F.col(score), RISK_EDGES, RISK_LABELS).alias("RiskCategory")
-    found = df.select(tier, F.col(label).alias("y")).groupBy("RiskCategory").agg(
+    found = df.where(has_score(score)).select(tier, F.col(label).alias("y")).groupBy("RiskCategory").agg(
         F.count("y").alias("n"), F.sum("y").alias("d"), F.avg("y").alias("rate"))
     return label_table(df.sparkSession, RISK_LABELS, "RiskCategory").join(found, "RiskCategory", "left").orderBy("position").select(
         "RiskCategory", F.coalesce("n", F.lit(0)).alias("Total_Applicants"),

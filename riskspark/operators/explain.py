@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.session import shared_dir
 
-# Upper bound on the leaves sent to the tasks: the model's own size.
-MAX_LEAVES = 2_000_000
+# Nodes that the driver holds and a broadcast carries at once.
+SLICE_NODES = 500_000
 CELLS = 2_000_000  # numbers per numpy block
 
 
@@ -80,11 +80,12 @@ class Leaves:
     value: np.ndarray
 
 
-def model_leaves(spark, model: PipelineModel):
-    """(groups of Leaves, base) of a tree, forest or boosted model.
+def model_leaves(spark, model: PipelineModel, slice_nodes=SLICE_NODES):
+    """Yields (groups of Leaves, base) of some trees of a model after the other.
 
     Reads the nodes of the saved model; values are P(1) contributions, or
-    log-odds contributions for a boosted model.
+    log-odds contributions for a boosted model. Attributions and bases add up
+    over trees, so a model of any size is taken in slices of whole trees.
     """
     last = model.stages[-1]
     path = f"{shared_dir(spark)}/nodes-{last.uid}"
@@ -97,26 +98,30 @@ def model_leaves(spark, model: PipelineModel):
     else:
         nodes = nodes.withColumn("treeID", F.lit(0))
         weights = [1.0]
-    size = nodes.count()
-    if size > MAX_LEAVES:
-        raise ValueError(f"{size} nodes are too many to send to every task")
+    sizes = {r["treeID"]: r["n"] for r in nodes.groupBy("treeID").agg(F.count(F.lit(1)).alias("n")).collect()}
+    slices = [[]]
+    for t in sorted(sizes):
+        if slices[-1] and sum(sizes[u] for u in slices[-1]) + sizes[t] > slice_nodes:
+            slices.append([])
+        slices[-1].append(t)
     split = F.col("split")
-    rows = nodes.select(
-        "treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild",
-        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
-    ).collect()
-    trees = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    paths = []
-    for t, tree in trees.items():
-        scale = 2.0 * weights[t] if boosted else weights[t]
-        paths += _paths(tree, scale, boosted)
-    base = sum(value * np.prod([s for *_, s in conditions]) for value, conditions in paths)
-    groups = {}
-    for value, conditions in paths:
-        groups.setdefault(len(conditions), []).append((value, conditions))
-    return [_pack(g) for d, g in sorted(groups.items()) if d > 0], float(base)
+    for own in slices:
+        rows = nodes.where(F.col("treeID").between(own[0], own[-1])).select(
+            "treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild",
+            split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
+        ).collect()
+        trees = {}
+        for r in rows:
+            trees.setdefault(r["treeID"], {})[r["id"]] = r
+        paths = []
+        for t, tree in trees.items():
+            scale = 2.0 * weights[t] if boosted else weights[t]
+            paths += _paths(tree, scale, boosted)
+        groups = {}
+        for value, conditions in paths:
+            groups.setdefault(len(conditions), []).append((value, conditions))
+        base = sum(value * np.prod([c[3] for c in conditions]) for value, conditions in paths)
+        yield [_pack(g) for d, g in sorted(groups.items()) if d > 0], float(base)
 
 
 def _paths(tree, scale, boosted):
@@ -181,8 +186,10 @@ def tree_attributions(df: DataFrame, model: PipelineModel, vector="features", pa
     Every row is much work: `partitions` spreads a small frame over the cores.
     """
     spark = df.sparkSession
-    groups, base = model_leaves(spark, model)
-    sent = spark.sparkContext.broadcast(groups)
+    sent, base = [], 0.0
+    for groups, part in model_leaves(spark, model):
+        sent.append(spark.sparkContext.broadcast(groups))
+        base += part
     keep = [c for c in df.columns if c != vector]
     rows = df.select(*keep, vector_to_array(vector).alias("x"))
     if partitions:
@@ -193,7 +200,7 @@ def tree_attributions(df: DataFrame, model: PipelineModel, vector="features", pa
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["x"].to_numpy()).astype(float)
-                yield batch.assign(phi=list(leaf_attributions(x, sent.value)))
+                yield batch.assign(phi=list(sum(leaf_attributions(x, groups.value) for groups in sent)))
 
     return rows.mapInPandas(explain, schema).withColumn("base", F.lit(base))
 

@@ -1,7 +1,10 @@
 """Candidate classifiers: building, tuning, cross-validation, comparison."""
 
+import functools
 import itertools
+import operator
 import random
+from math import ceil, floor, log2
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,15 +26,17 @@ from riskspark.schema import (
 
 MAX_BINS = 64
 MODEL_NAMES = list(SEARCH_SPACES)
-LINEAR = "Logistic Regression"
+LINEAR, BOOSTED, LEAF_LIMITED = "Logistic Regression", "Boosted Trees", "Leaf-limited Boosted Trees"
+# Bins and least rows per leaf of the leaf-limited family.
+COARSE_BINS, LEAF_ROWS = 32, 20
 
 # Settings of each family before tuning.
 DEFAULTS = {
     "Logistic Regression": {"C": 1.0},
     "Decision Tree": {"max_depth": 10},
     "Random Forest": {"n_estimators": 100, "max_depth": 12},
-    "XGBoost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3},
-    "LightGBM": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1},
+    BOOSTED: {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3},
+    LEAF_LIMITED: {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1},
 }
 
 
@@ -48,8 +53,32 @@ def assemble(df: DataFrame, features, keep=(), handle_invalid="error") -> DataFr
     return vector.transform(df).select(*keep, "features")
 
 
+def undefined_counts(df: DataFrame, features=None) -> DataFrame:
+    """One row: rows in all, rows with any undefined feature, and those per feature."""
+    features = feature_columns(df) if features is None else features
+    gaps = {f: _undefined(df, f) for f in features}
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(functools.reduce(operator.or_, gaps.values())).alias("undefined"),
+        *[F.count_if(g).alias(f"undefined_{f}") for f, g in gaps.items()])
+
+
+def _undefined(df, name):
+    col = F.col(f"`{name}`")
+    return col.isNull() | F.isnan(col) if dict(df.dtypes)[name] in ("double", "float") else col.isNull()
+
+
+def defined_rows(df: DataFrame, features=None) -> DataFrame:
+    """Rows that can be learnt from: no feature is null or NaN.
+
+    A zero income has no ratio to it, and a missing score no band; such rows are
+    left out of training and testing, and `undefined_counts` reports them.
+    """
+    features = feature_columns(df) if features is None else features
+    return df.where(~functools.reduce(operator.or_, [_undefined(df, f) for f in features]))
+
+
 def training_frame(df: DataFrame, features=None) -> DataFrame:
-    """(LoanID, label, features) of an ML-ready table."""
+    """(LoanID, label, features) of an ML-ready table whose features are defined."""
     features = feature_columns(df) if features is None else features
     return assemble(df.withColumn("label", F.col(TARGET).cast("double")), features, ["LoanID", "label"])
 
@@ -76,8 +105,10 @@ def tree_stages(model) -> Pipeline:
 def build(name, params=None, rows=1, seed=SEED) -> Pipeline:
     """Untrained pipeline of a family; `rows` is the total training weight.
 
-    There is no least number of rows to split a node here; least rows per leaf
-    implies twice that. A leaf count limit is expressed by depth alone.
+    A node that needs n rows to be split has leaves of n / 2 rows at least here.
+    Both boosted families grow by levels. One is plain, with many bins; the
+    other has coarse bins, leaves of twenty rows at least, balanced weights and
+    as many levels as its number of leaves fills.
     """
     p = {**DEFAULTS[name], **(params or {})}
     common = {"labelCol": "label"}
@@ -88,7 +119,7 @@ def build(name, params=None, rows=1, seed=SEED) -> Pipeline:
             standardization=False, **common))
     common.update(maxBins=MAX_BINS, seed=seed)
     if name == "Decision Tree":
-        leaf = max(p.get("min_samples_leaf", 1), 1)
+        leaf = max(p.get("min_samples_leaf", 1), ceil(p.get("min_samples_split", 2) / 2))
         return tree_stages(DecisionTreeClassifier(
             weightCol="balanced", maxDepth=p["max_depth"], minInstancesPerNode=leaf,
             impurity=p.get("criterion", "gini"), **common))
@@ -97,16 +128,30 @@ def build(name, params=None, rows=1, seed=SEED) -> Pipeline:
             weightCol="balanced", numTrees=p["n_estimators"], maxDepth=p["max_depth"],
             minInstancesPerNode=p.get("min_samples_leaf", 1),
             featureSubsetStrategy=str(p.get("max_features", "sqrt")), **common))
-    if name in ("XGBoost", "LightGBM"):
+    if name == BOOSTED:
         return tree_stages(GBTClassifier(
-            weightCol="boosted" if name == "XGBoost" else "balanced", maxIter=p["n_estimators"],
-            maxDepth=p["max_depth"], stepSize=p["learning_rate"], subsamplingRate=p.get("subsample", 1.0), **common))
+            weightCol="boosted", maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"],
+            subsamplingRate=p.get("subsample", 1.0), **{**common, "maxBins": 256}))
+    if name == LEAF_LIMITED:
+        depth = min(p["max_depth"], max(1, floor(log2(p.get("num_leaves", 31)))))
+        return tree_stages(GBTClassifier(
+            weightCol="balanced", maxIter=p["n_estimators"], maxDepth=depth, stepSize=p["learning_rate"],
+            minInstancesPerNode=LEAF_ROWS, **{**common, "maxBins": COARSE_BINS}))
     raise ValueError(f"unknown model {name}")
 
 
-def draw_params(space: dict, draws=TUNING_DRAWS, seed=SEED) -> list:
-    """Distinct random points of the grid, all of them when it is small."""
+def draw_params(space: dict, draws=TUNING_DRAWS, seed=SEED, name=None) -> list:
+    """Distinct random points of the grid, all of them when it is small.
+
+    Of points that make the same model of family `name`, the first stands for all.
+    """
     grid = [dict(zip(space, point)) for point in itertools.product(*space.values())]
+    if name:
+        seen = {}
+        for point in grid:
+            model = build(name, point).getStages()[-1]
+            seen.setdefault(tuple(sorted((p.name, str(v)) for p, v in model.extractParamMap().items())), point)
+        grid = list(seen.values())
     return grid if len(grid) <= draws else random.Random(seed).sample(grid, draws)
 
 
@@ -136,20 +181,22 @@ def tune(name, train: DataFrame, draws=TUNING_DRAWS, folds=TUNING_FOLDS, paralle
 
     `train` has LoanID, label, features and both weights.
     """
-    points = draw_params(SEARCH_SPACES[name] if space is None else space, draws, seed)
+    points = draw_params(SEARCH_SPACES[name] if space is None else space, draws, seed, name)
     frame = stratified_folds(train, folds, seed, label="label").persist()
     try:
         rows = frame.count()
-        base = build(name, rows=rows, seed=seed)
-        maps = [_param_map(base, build(name, p, rows, seed)) for p in points]
+        learnt = rows * (folds - 1) / folds  # the penalty is one of the rows that a fit sees
+        base = build(name, rows=learnt, seed=seed)
+        maps = [_param_map(base, build(name, p, learnt, seed)) for p in points]
         search = CrossValidator(
             estimator=base, estimatorParamMaps=maps, evaluator=auc_evaluator(),
             numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed)
         found = search.fit(frame)
+        best = max(range(len(points)), key=lambda i: found.avgMetrics[i])
+        model = build(name, points[best], rows, seed).fit(frame) if name == LINEAR else found.bestModel
     finally:
         frame.unpersist()
-    best = max(range(len(points)), key=lambda i: found.avgMetrics[i])
-    return points[best], found.bestModel, list(zip(points, found.avgMetrics))
+    return points[best], model, list(zip(points, found.avgMetrics))
 
 
 def _param_map(base: Pipeline, variant: Pipeline) -> dict:
@@ -227,7 +274,7 @@ def fit_candidates(train: DataFrame, test: DataFrame, names=MODEL_NAMES, draws=T
     for name in names:
         space = (spaces or {}).get(name)
         params, model, _ = tune(name, train, draws, tuning_folds, parallelism, seed, space)
-        mean, std = cross_validate(build(name, params, n, seed), train, cv_folds, parallelism, seed)
+        mean, std = cross_validate(build(name, params, n * (cv_folds - 1) / cv_folds, seed), train, cv_folds, parallelism, seed)
         rows.append(comparison_row(holdout_metrics(model, test, name), mean, std))
         fitted[name] = (params, model)
     return compare(rows), fitted

@@ -8,10 +8,10 @@ from riskspark.operators import eda, evaluation, explain, marts, relational, sam
 from riskspark.operators.calibration import (
     calibrate, load_model, prediction_table, save_model, save_thresholds,
 )
-from riskspark.operators.cleaning import clean, require_rows
+from riskspark.operators.cleaning import clean, cleaning_report, require_rows
 from riskspark.operators.scoring import score_batch
 from riskspark.schema import ORDER_COL, SEED
-from riskspark.session import spread, stage
+from riskspark.session import arranged, spread, stage, staged_tables
 from riskspark.sources.loans import read_loans, read_table
 from riskspark.sources.sinks import export_mart, publish_tables, write_comparison, write_document, write_table
 
@@ -39,6 +39,7 @@ def clean_step(raw: DataFrame, root: str) -> None:
     cleaned, encoded = clean(raw)
     write_table(spread(cleaned), f"{root}/cleaned")
     write_table(encoded, f"{root}/encoded")
+    write_table(cleaning_report(raw), f"{root}/reports/cleaning")
 
 
 def eda_step(spark: SparkSession, root: str) -> None:
@@ -64,8 +65,9 @@ def sql_step(spark: SparkSession, root: str) -> None:
         write_table(table, f"{root}/tables/{name}")
     stored = {name: read_table(spark, f"{root}/tables/{name}") for name in tables}
     publish_tables(stored)
+    # The three tables share their keys 1:1, so the marts need no join here.
     for name, mart in marts.EXPORTS.items():
-        export_mart(mart(stored), f"{root}/dashboard", name)
+        export_mart(mart(marts.wide(cleaned)), f"{root}/dashboard", name)
 
 
 def features_step(spark: SparkSession, root: str) -> None:
@@ -77,12 +79,17 @@ def features_step(spark: SparkSession, root: str) -> None:
 
 
 def train_step(spark: SparkSession, root: str, seed=SEED, **tuning) -> None:
-    """Fit every candidate, calibrate the best, store it and its predictions."""
+    """Fit every candidate, calibrate the best, store it and its predictions.
+
+    Rows with an undefined feature are left out and counted in the reports.
+    """
     ml_ready = sampling.with_row_id(read_table(spark, f"{root}/ml_ready"))
-    require_rows(ml_ready)
     features = training.feature_columns(ml_ready)
+    write_table(training.undefined_counts(ml_ready, features), f"{root}/reports/undefined_features")
+    ml_ready = training.defined_rows(ml_ready, features)
+    require_rows(ml_ready)
     train_rows, test_rows = sampling.train_test(ml_ready, seed=seed)
-    train = stage(spread(training.with_weights(training.training_frame(train_rows, features))), "train")
+    train = arranged(stage(training.with_weights(training.training_frame(train_rows, features)), "train"))
     test = stage(training.training_frame(test_rows, features), "test")
     comparison, fitted = training.fit_candidates(train, test, seed=seed, **tuning)
     write_comparison(comparison, f"{root}/reports", f"{root}/dashboard")
@@ -101,27 +108,35 @@ def evaluate_step(spark: SparkSession, root: str, seed=SEED) -> None:
     model = load_model(f"{root}/models/best", spark)
     predictions = read_table(spark, f"{root}/reports/test_predictions")
     scored = predictions.select(F.col("Actual_Default").alias("label"), F.col("Predicted_Probability").alias("p"))
-    info = evaluation.threshold_info(scored)
+    # One curve and one sweep serve all that is made of them.
+    curve = stage(evaluation.cumulative(scored), "curve")
+    sweep = stage(evaluation.threshold_sweep(scored), "sweep")
+    info = evaluation.threshold_info(scored, sweep=sweep)
     save_thresholds(info.first().asDict(), f"{root}/models/best", spark)
-    write_document(evaluation.metrics_document(scored, model.name), f"{root}/reports")
+    write_document(evaluation.metrics_document(scored, model.name, curve=curve, sweep=sweep), f"{root}/reports")
     for name, table in {
-        "roc_curve": evaluation.roc_points(scored, drop_intermediate=True, origin=True),
-        "pr_curve": evaluation.precision_recall_points(scored),
+        "roc_curve": evaluation.roc_from(curve, drop_intermediate=True, origin=True),
+        "pr_curve": evaluation.pr_from(curve),
         "calibration_curve": evaluation.calibration_curve(scored),
-        "ks_chart": evaluation.ks_chart(scored),
-        "threshold_sweep": evaluation.threshold_sweep(scored),
+        "ks_chart": evaluation.ks_chart(scored, curve=curve),
+        "threshold_sweep": sweep,
+        "unscored": evaluation.unscored(scored),
     }.items():
         write_table(table, f"{root}/reports/{name}")
     importance = explain.feature_importance(spark, model.base, model.features)
     for folder in ("reports", "dashboard"):
         export_mart(importance, f"{root}/{folder}", "feature_importance")
     export_mart(evaluation.scorecard(scored), f"{root}/dashboard", "risk_scorecard_summary")
-    sample = sampling.sample_rows(predictions, seed=seed)
-    vectors = training.assemble(sample, model.features, ["LoanID"])
-    cores = spark.sparkContext.defaultParallelism
-    explained = stage(explain.attributions(vectors, model.base, partitions=cores), "explained")
-    write_table(explained, f"{root}/reports/attributions")
+    for folder in ("reports", "dashboard"):
+        export_mart(explain.top_features(importance), f"{root}/{folder}", "top_features")
+    # Every hold-out row is explained; the sample is a table of its own.
+    vectors = training.assemble(spread(predictions), model.features, ["LoanID"])
+    write_table(explain.attributions(vectors, model.base), f"{root}/reports/attributions")
+    explained = read_table(spark, f"{root}/reports/attributions")
     write_table(explain.global_importance(explained, model.features), f"{root}/reports/global_importance")
+    sample = sampling.sample_rows(explained, seed=seed)
+    write_table(sample, f"{root}/reports/explained_sample")
+    write_table(explain.waterfall(sample, model.features), f"{root}/reports/waterfall")
 
 
 # Steps by number, in the order they depend on one another.
@@ -140,7 +155,8 @@ def run(spark: SparkSession, raw: DataFrame, root: str, steps=tuple(STEP_NAMES),
         6: lambda: evaluate_step(spark, root),
     }
     for s in steps:
-        jobs[s]()
+        with staged_tables(spark):
+            jobs[s]()
     return [STEP_NAMES[s] for s in steps]
 
 

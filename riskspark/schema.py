@@ -68,13 +68,13 @@ SEARCH_SPACES = {
         "min_samples_leaf": [1, 2],
         "max_features": ["sqrt", 0.3],
     },
-    "XGBoost": {
+    "Boosted Trees": {
         "n_estimators": [50, 100],
         "max_depth": [3, 5, 6],
         "learning_rate": [0.05, 0.1],
         "subsample": [0.8, 1.0],
     },
-    "LightGBM": {
+    "Leaf-limited Boosted Trees": {
         "n_estimators": [50, 100],
         "max_depth": [3, 5, 6],
         "learning_rate": [0.05, 0.1],

@@ -2,10 +2,14 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_staged: dict = {}  # session -> paths written inside `staged_tables`
+
+
 def local_session(cores="*", app="riskspark", shuffle_partitions=8, memory="8g"):
     """A session for tests and benchmarks; on a cluster use the given one."""
     return (
@@ -42,10 +46,40 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _staged.get(spark) is not None:
+        _staged[spark].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Partitions of training rows, at least, and rows in one above that.
+TRAIN_PARTITIONS, TRAIN_ROWS = 32, 1_000_000
+
+
+def arranged(df: DataFrame, key="LoanID") -> DataFrame:
+    """Training rows by a hash of their id, in order inside a partition.
+
+    Forests and boosting draw per partition, so the layout must depend on the
+    rows alone, never on the number of cores.
+    """
+    parts = max(TRAIN_PARTITIONS, -(-df.count() // TRAIN_ROWS))
+    return df.repartition(parts, key).sortWithinPartitions(key)
+
+
+@contextmanager
+def staged_tables(spark: SparkSession):
+    """Removes the tables staged inside the block when it ends."""
+    outer, own = _staged.get(spark), []
+    _staged[spark] = own
+    try:
+        yield
+    finally:
+        _staged[spark] = outer
+        for path in own:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Small data over all cores, for a table that much work will follow on.
 

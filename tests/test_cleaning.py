@@ -50,9 +50,32 @@ def test_dedup_of_a_hot_id(spark, limit):
     assert out.where("LoanID = 'HOT'").first()["RowSeq"] == 0
 
 
-def test_few_repeated_ids_leave_wide_rows_in_place(spark):
-    plan = cleaning.dedup(hot_ids(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+def test_few_repeated_ids_leave_other_rows_in_place(spark):
+    once, copies = cleaning.dedup(hot_ids(spark))._jdf.queryExecution().executedPlan().toString().split("Window [")
+    assert "BroadcastHashJoin" in once and "hashpartitioning" not in once
+    assert "BroadcastHashJoin" in copies and copies.count("hashpartitioning") == 1 and copies.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("order", [[1, 1, 5], [None, None, None], [None, 3, None], [2, None, 1]])
+def test_ties_and_nulls_have_one_answer_at_any_size(spark, order):
+    rows = [(key, k, n) for key in ("L1", None) for k, n in enumerate(order)] + [("L2", 7, None), ("L1", 0, order[0])]
+    df = frame(spark, "LoanID string, Age int, RowSeq long", rows)
+    few, many = (sorted(map(str, cleaning.dedup(df.repartition(n), broadcast_limit=limit).collect())) for n, limit in ((1, 100), (5, 0)))
+    assert few == many and len(few) == 3
+    if None in order:
+        assert all("RowSeq=None" in r for r in few)
+
+
+def test_dedup_without_an_order_column(spark):
+    df = frame(spark, "LoanID string, Age int", [("L1", 1), ("L1", 2), ("L1", 1), ("L2", 3)])
+    few, many = (sorted(map(str, cleaning.dedup(df.repartition(n), broadcast_limit=limit).collect())) for n, limit in ((1, 100), (3, 0)))
+    assert few == many and len(few) == 2
+
+
+def test_rows_without_a_target_are_refused(spark):
+    df = frame(spark, "LoanID string, Age int, Income int, LoanAmount int, DefaultFlag int, RowSeq long", [("a", 30, 1, 1, None, 1), ("b", 30, 1, 1, 0, 2)])
+    with pytest.raises(ValueError, match="1 rows have no DefaultFlag"):
+        cleaning.clean(df)
 
 
 def test_ranking_shrinks_a_hot_id_before_the_shuffle(spark):

@@ -114,3 +114,12 @@ def test_calibration_bins_are_right_closed(spark):
     df = spark.createDataFrame([(1, 0.1), (0, 0.10001), (1, 0.0), (1, 1.0)], "label int, p double")
     rows = {r["bin"]: (r["n"], r["positive_rate"]) for r in ev.calibration_curve(df).collect()}
     assert rows == {0: (2, 1.0), 1: (1, 0.0), 9: (1, 1.0)}
+
+
+def test_rows_without_a_score_are_left_out_everywhere(spark):
+    rows = [(1, 0.9), (0, 0.2), (1, None), (0, float("nan")), (0, 0.6)]
+    df = spark.createDataFrame(rows, "label int, p double")
+    whole = spark.createDataFrame([r for r in rows if r[1] is not None and r[1] == r[1]], "label int, p double")
+    assert ev.unscored(df).first().asDict() == {"unscored": 2, "positives": 1, "negatives": 1}
+    for measure in (ev.metric_bundle, ev.threshold_sweep, ev.scorecard, ev.calibration_curve, ev.ks_chart, ev.roc_points, ev.precision_recall_points):
+        assert sorted(map(str, measure(df).collect())) == sorted(map(str, measure(whole).collect()))

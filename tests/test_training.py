@@ -7,7 +7,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskspark.operators import calibration, explain, training
+from riskspark.operators import calibration, explain, sampling, training
 from riskspark.operators.sampling import sample_rows
 
 NAMES = ["Feature1", "Feature2", "Feature3"]
@@ -17,11 +17,11 @@ def stage_types(pipeline):
     return [type(s) for s in pipeline.getStages()]
 
 
-def test_linear_pipeline_scales():
+def test_linear_pipeline_scales(spark):
     assert stage_types(training.linear_stages(LogisticRegression())) == [StandardScaler, LogisticRegression]
 
 
-def test_tree_pipeline_does_not_scale():
+def test_tree_pipeline_does_not_scale(spark):
     assert stage_types(training.tree_stages(RandomForestClassifier())) == [RandomForestClassifier]
 
 
@@ -47,8 +47,8 @@ POINTS = {
     "Logistic Regression": {"C": 1.0},
     "Decision Tree": {"max_depth": 3},
     "Random Forest": {"n_estimators": 4, "max_depth": 3, "max_features": 0.3},
-    "XGBoost": {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.1, "subsample": 0.8},
-    "LightGBM": {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.1},
+    "Boosted Trees": {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.1, "subsample": 0.8},
+    "Leaf-limited Boosted Trees": {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.1},
 }
 
 
@@ -67,14 +67,14 @@ def test_attributions_add_up(train, models, name):
     model = models[name]
     explained = explain.attributions(train.select("LoanID", "features"), model, partitions=4)
     total = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
-    boosted, linear = name in ("XGBoost", "LightGBM"), name == training.LINEAR
+    boosted, linear = name in ("Boosted Trees", "Leaf-limited Boosted Trees"), name == training.LINEAR
     output = (training.margin if boosted or linear else training.probability)(model, train).select("LoanID", "p")
     gap = explained.join(output, "LoanID").agg(F.max(F.abs(total - F.col("p") * (2 if boosted else 1)))).first()[0]
     assert gap < 1e-9
 
 
 def test_tree_attributions_equal_subset_enumeration(spark, train, models):
-    groups, base = explain.model_leaves(spark, models["Random Forest"])
+    [(groups, base)] = explain.model_leaves(spark, models["Random Forest"])
     x = np.array([r["features"].toArray() for r in train.limit(15).collect()])
 
     def value(row, known):
@@ -153,3 +153,47 @@ def test_calibrated_model_survives_storage(spark, train, models, tmp_path, name)
 def test_missing_artifacts(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         calibration.load_model(str(tmp_path / "nothing"), spark)
+
+
+@pytest.mark.parametrize("name", ["Random Forest", "Boosted Trees", "Leaf-limited Boosted Trees"])
+def test_slices_of_trees_add_up(spark, train, models, name, monkeypatch):
+    rows = train.select("LoanID", "features").limit(40)
+    whole = {r["LoanID"]: r for r in explain.attributions(rows, models[name]).collect()}
+    monkeypatch.setattr(explain, "SLICE_NODES", 1)
+    assert len(list(explain.model_leaves(spark, models[name], 1))) > 1
+    monkeypatch.setattr(explain.model_leaves, "__defaults__", (1,))
+    for r in explain.attributions(rows, models[name]).collect():
+        assert np.allclose(r["phi"], whole[r["LoanID"]]["phi"]) and abs(r["base"] - whole[r["LoanID"]]["base"]) < 1e-9
+
+
+def test_boosted_families_differ_and_leaves_matter(train):
+    fit = lambda name, **p: training.build(name, {"n_estimators": 4, "max_depth": 6, "learning_rate": 0.1, **p}).fit(train)
+    score = lambda m: np.array([r["p"] for r in training.probability(m, train).orderBy("LoanID").select("p").collect()])
+    plain, many, few = score(fit(training.BOOSTED)), score(fit(training.LEAF_LIMITED, num_leaves=31)), score(fit(training.LEAF_LIMITED, num_leaves=7))
+    assert np.abs(plain - many).mean() > 1e-3 and np.abs(many - few).mean() > 1e-3
+
+
+def test_rows_to_split_matter_and_equal_points_are_drawn_once(train):
+    leaf = lambda **p: training.build("Decision Tree", {"max_depth": 5, **p}).getStages()[-1].getMinInstancesPerNode()
+    assert [leaf(min_samples_split=n) for n in (2, 5, 10)] == [1, 3, 5] and leaf(min_samples_leaf=7, min_samples_split=5) == 7
+    space = {"max_depth": [3], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 5], "criterion": ["gini"]}
+    assert len(training.draw_params(space, 100, name="Decision Tree")) == 4
+
+
+def test_layout_of_training_rows_depends_on_the_rows_alone(spark, train):
+    from riskspark.session import arranged
+
+    at = lambda df: {(r["LoanID"], r["part"]) for r in arranged(df).select("LoanID", F.spark_partition_id().alias("part")).collect()}
+    assert at(train) == at(train.repartition(3))
+
+
+def test_undefined_features_are_left_out_and_counted(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 2), ("b", 0, None, 2), ("c", 0, float("nan"), None)], "LoanID string, DefaultFlag int, x double, y int")
+    assert [r["LoanID"] for r in training.defined_rows(df).collect()] == ["a"]
+    assert training.undefined_counts(df).first().asDict() == {"rows": 3, "undefined": 2, "undefined_x": 2, "undefined_y": 1}
+
+
+def test_null_labels_are_refused(spark):
+    df = spark.createDataFrame([("a", 1), ("b", None)], "LoanID string, DefaultFlag int")
+    with pytest.raises(ValueError, match="1 rows have no DefaultFlag"):
+        sampling.train_test(df)
