@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskspark.llm import bpe, chat, embeddings, langid, ngram_join, packing, quality, secrets, toxicity, warc
+from riskspark.llm.oracle import CONTROL, oracle_sql  # noqa: F401
 from riskspark.session import shared_dir
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,9 +29,8 @@ def op1_packing(spark, sf_dir):
 
 
 def op2_chat(spark, sf_dir):
-    control = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.examples(rows.unionByName(extra)))
 
 
@@ -77,9 +77,5 @@ def op10_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
-
-
 def queries():
     return {f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op4_language, op5_secrets, op6_bpe, op7_warc, op8_ngram_join, op9_toxicity, op10_embeddings)}
