@@ -154,6 +154,14 @@ def batch_and_applicants(spark, sf):
     return joined.agg(F.count("*").alias("rows"), F.count_if(_gap("a", "b", 4)).alias("faults"))
 
 
+def stream_and_batch(spark, sf):
+    """Streamed rows, by id and score, that a batch over the same rows does not have, and the other way round."""
+    streamed = q.p09_model(spark, sf).select("LoanID", F.round("default_probability", 9).alias("p"))
+    batch = scoring.score_applicants(loans_raw(spark, sf), q.loaded(spark, sf)).select("LoanID", F.round("default_probability", 9).alias("p"))
+    changed = streamed.exceptAll(batch).count() + batch.exceptAll(streamed).count()
+    return streamed.agg(F.count("*").alias("rows")).withColumn("faults", F.lit(changed).cast("long"))
+
+
 def files(spark, sf):
     """Rows lost or changed when predictions and importances are written and read."""
     folder = q.scratch(spark, "property")
@@ -193,6 +201,7 @@ def queries():
         "m22_monotone": calibrated,
         "s11_s12_stored_scores": stored,
         "p06_p07_same_scores": batch_and_applicants,
+        "p09_stream_equals_batch": stream_and_batch,
         "s13_file_rows": files,
         "s08_views_equal_rows": views,
     }
@@ -226,6 +235,7 @@ def oracle_sql():
         "m22_monotone": _q(test, "SELECT CAST(5 AS BIGINT) AS members, CAST(0 AS BIGINT) AS faults, count(*) AS rows, CAST(0 AS BIGINT) AS outside FROM te"),
         "s11_s12_stored_scores": _q(test, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS faults FROM te"),
         "p06_p07_same_scores": _q(RAW, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS faults FROM loans_raw"),
+        "p09_stream_equals_batch": _q(RAW, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS faults FROM loans_raw"),
         "s13_file_rows": _q(test, f"SELECT count(*) AS rows, {_int(f'sum({TARGET})')} AS positives, CAST(0 AS BIGINT) AS faults FROM te"),
         "s08_views_equal_rows": "SELECT mart, CAST(0 AS BIGINT) AS faults FROM (VALUES " + ", ".join(f"('{m}')" for m in EXPORTS) + ") m(mart)",
     }

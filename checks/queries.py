@@ -524,7 +524,7 @@ def stored_model(spark, sf):
 
 
 def loaded(spark, sf):
-    return calibration.load_model(stored_model(spark, sf), spark)
+    return _once(spark, sf, "loaded model", lambda: calibration.load_model(stored_model(spark, sf), spark))
 
 
 def s11(spark, sf):
@@ -559,8 +559,8 @@ def p09_model(spark, sf):
     """The stored model over a stream of JSON texts."""
     arrived, out = scratch(spark, "json"), scratch(spark, "scored")
     fields = [f.name for f in APPLICANT_SCHEMA]
-    loans_raw(spark, sf).select(F.to_json(F.struct(*fields)).alias("value")).write.text(arrived)
-    stream = streams.read_json_applications(spark, arrived)
+    loans_raw(spark, sf).select(F.to_json(F.struct("LoanID", *fields)).alias("value")).write.text(arrived)
+    stream = streams.read_json_applications(spark, arrived, id_field="LoanID")
     streams.start_model_scoring(stream, loaded(spark, sf), out, scratch(spark, "stream")).awaitTermination()
     return spark.read.parquet(out)
 

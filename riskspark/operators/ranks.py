@@ -168,7 +168,13 @@ def column_quantiles(df: DataFrame, cols, probs, by=(), merge_limit=MERGE_LIMIT)
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     sizes = merge_sizes(doubles, cols)
-    narrow = [c for c in cols if sizes[c] <= merge_limit]
+    # One task may hold the maps of all columns and classes, so they count together.
+    narrow, room = [], merge_limit
+    for c in sorted(cols, key=lambda c: (sizes[c], c)):
+        if sizes[c] <= room:
+            narrow.append(c)
+            room -= sizes[c]
+    narrow = [c for c in cols if c in narrow]
     wide = [c for c in cols if c not in narrow]
     parts = []
     if narrow:

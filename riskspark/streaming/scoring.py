@@ -20,10 +20,10 @@ def read_applications(spark: SparkSession, path: str, schema, fmt="parquet", max
     return reader.load(path)
 
 
-def read_json_applications(spark: SparkSession, path: str, max_files=None) -> DataFrame:
-    """Stream of text files with one JSON applicant per line."""
+def read_json_applications(spark: SparkSession, path: str, max_files=None, id_field=None) -> DataFrame:
+    """Stream of text files with one JSON applicant per line; `id_field` is kept beside it."""
     lines = read_applications(spark, path, "value string", "text", max_files)
-    return parse_applicants(lines, "value")
+    return parse_applicants(lines, "value", id_field=id_field)
 
 
 def start_scoring(applications: DataFrame, score, out: str, checkpoint: str, available_now=True):
