@@ -439,7 +439,8 @@ def search_rows(spark, found):
 
 
 def m13(spark, sf):
-    return search_rows(spark, training.tune("Logistic Regression", train_test(spark, sf)[0])[2])
+    """Five points drawn from a grid of many."""
+    return search_rows(spark, training.tune("Decision Tree", train_test(spark, sf)[0], parallelism=8)[2])
 
 
 def m15(spark, sf):

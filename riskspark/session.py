@@ -53,7 +53,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 #: Partitions of training rows, at least, and rows in one above that.
-TRAIN_PARTITIONS, TRAIN_ROWS = 32, 1_000_000
+TRAIN_PARTITIONS, TRAIN_ROWS = 8, 1_000_000
 
 
 def arranged(df: DataFrame, key="LoanID") -> DataFrame:
