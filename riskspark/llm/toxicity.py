@@ -17,7 +17,7 @@ from riskspark.llm import arrow
 from riskspark.llm.sample import drawn
 
 #: Labelled documents used for training, of class 0 and 1: those with the smallest hashes of their ids.
-TRAIN_DOCS = (6000, 2500)
+TRAIN_DOCS = (4000, 2000)
 #: Features kept for training: those that tell the classes apart best, by so many standard errors at least, in so many documents at least.
 FEATURES, LEAST_GAP, LEAST_DOCS = 4000, 5.0, 6
 PREFIXES = (4, 5, 6)
@@ -120,7 +120,7 @@ def _distinct(texts: list[bytes]) -> list[int]:
 def _instances(texts: list[bytes]):
     """For slices of the texts: distinct (value, sentence), each sentence's row, and the first row."""
     offsets = np.cumsum([0, *map(len, texts)])
-    for i, j in arrow.slices(offsets, 4_000_000):
+    for i, j in arrow.slices(offsets, 1_000_000):
         data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
         value, sentence, (row, _, _) = features(data, offsets[i:j + 1] - offsets[i])
         order = np.lexsort((sentence, value))
@@ -220,7 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxi
         .select("doc_id", "y", F.coalesce("text", F.lit("")).cast("binary").alias("text")).collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows]))
+    texts, y = [bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows])
+    del rows  # the driver holds the sample once
+    return fit(texts, y)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
