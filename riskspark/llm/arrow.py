@@ -6,11 +6,19 @@ cut into slices of bounded bytes first; a single text longer than that makes a
 slice of its own.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass takes at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+
+#: A worker lives through many tasks. Large arrays are mapped on their own, so
+#: that freeing them gives the memory back at once (glibc; elsewhere no change).
+LARGE_ARRAY, _M_MMAP_THRESHOLD = 1 << 18, -3
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, LARGE_ARRAY)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -7,8 +7,9 @@
 2. Equal sets go on as one. Each set gives the keys that any set linked to it
    must share one of: the first of its n-grams, rare ones first (prefix filter).
    Every order of the n-grams is right for that, so the maps may be inexact.
-3. In a few rounds each set is compared with one hub, the one it shares most
-   keys with. That joins large groups of near copies with one link per set.
+3. In a few rounds each group of linked sets is compared with one hub, the one
+   that a set of it shares most keys with. That joins large groups of near
+   copies with one link per set. Rounds end when few comparisons are links.
 4. Sets of one key that are still apart are compared with signature trees: a
    node holds the OR of its sets' bitmaps, their range of sizes and the most
    n-grams that share bits. Two trees are walked together, and a pair of nodes
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from riskspark.llm import arrow
@@ -34,11 +36,11 @@ WORDS = 5
 #: A link needs PERCENT * (size of the union) <= 100 * (size of the intersection).
 PERCENT = 80
 #: Values that a task packs together.
-PACK = 3_000_000
+PACK = 1_000_000
 #: Bits of a signature; sets in a leaf, and children of a node, of a tree.
 SIGNATURE, FANOUT = 2048, 8
 #: Pairs that one numpy pass compares.
-PAIRS = 16_384
+PAIRS = 8_192
 
 
 @dataclass(frozen=True)
@@ -46,14 +48,14 @@ class Limits:
     """Settings that change the work, not the result.
 
     frequent: an n-gram of more texts is ordered last. map_bits: slots of each
-    map, as a power of two, 16 MB each whatever the input. hub_rounds: rounds of
+    map, as a power of two, 8 MB each whatever the input. hub_rounds: rounds of
     comparing with hubs, at most. block: sets in a block.
     """
 
     frequent: int = 64
-    map_bits: int = 27
-    hub_rounds: int = 3
-    block: int = 768
+    map_bits: int = 26
+    hub_rounds: int = 6
+    block: int = 384
 
 
 _SALTS = np.array([0x8C6F_3D2A_91B7_E045, 0x51F3_ABCD_0E77_9A13], np.uint64)
@@ -186,10 +188,12 @@ def _digest(values: np.ndarray) -> bytes:
     return np.array([arrow.mix(values ^ s).sum(dtype=np.uint64) for s in _SALTS], "<u8").tobytes() + len(values).to_bytes(4, "little")
 
 
-def profiles(docs: DataFrame, maps: tuple[bytes, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document its n, and, where a link is possible, its set, the set's digest, keys and signature."""
+def profiles(docs: DataFrame, sent: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document its n, and, where a link is possible, its set, the set's digest, keys and signature.
+
+    `sent` holds the two occurrence maps: 2 ** (map_bits - 2) bytes.
+    """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(maps)  # 2 ** (map_bits - 2) bytes
 
     def scan(batches):
         shared, frequent = (np.frombuffer(m, np.uint8) for m in sent.value)
@@ -230,6 +234,18 @@ def _keys(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n", "keys").mapInArrow(explode, "key long, node long, n long")
 
 
+def _meeting(keys: DataFrame) -> DataFrame:
+    """The keys of two or more sets; of keys that have the same sets, one.
+
+    Sets are told by two 64-bit hash sums over the nodes of a key.
+    """
+    whose = keys.groupBy("key").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    kept = stage(whose.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("_key")).select("_key"), "meeting")
+    return keys.join(kept, F.col("key") == F.col("_key")).drop("_key")
+
+
 # ------------------------------------------------------------ comparing
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,22 +272,25 @@ def _possible(a, b):
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def hub_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): each set with the one hub of another group that it shares most keys with.
+def hub_pairs(keys: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each two groups that meet at a hub, the set that shares most keys with it, and the hub.
 
     `keys` has key, node, n, part (the group a set belongs to so far). A key's
-    hub is its smallest set of its smallest group.
+    hub is the set of it that comes first in a hash order, another one each turn.
     """
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "part")).alias("hub")
     hubs = stage(
-        keys.groupBy("key").agg(F.min(F.struct("part", "node", "n")).alias("hub"), F.max("part").alias("last"))
-        .where("hub.part < last").select(F.col("key").alias("_key"), "hub"), "hubs",
+        keys.groupBy("key").agg(first, F.min("part").alias("low"), F.max("part").alias("high"))
+        .where("low < high").select(F.col("key").alias("_key"), "hub"), "hubs",
     )
     votes = (
         keys.join(hubs, F.col("key") == F.col("_key")).where(F.col("part") != F.col("hub.part"))
         .withColumn("m", F.col("hub.n")).where(_possible("n", "m"))
-        .groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("votes"))
+        .groupBy("part", F.col("hub.part").alias("other"), F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        .agg(F.count("*").alias("votes"))
     )
-    return votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+    best = votes.groupBy("part", "other").agg(F.max(F.struct("votes", "a", "b")).alias("best"))
+    return best.groupBy("part").agg(F.max("best").alias("best")).select("best.a", "best.b")
 
 
 class Tree:
@@ -342,17 +361,22 @@ def _opened(node: np.ndarray, other: np.ndarray, below: int) -> tuple[np.ndarray
 
 
 def tree_pairs(keys: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """(a, b): pairs of sets of different groups that share a key and may link by their signatures."""
+    """(a, b): pairs of sets of different groups that share a key and may link by their signatures.
+
+    A pair that shares several keys is given by the smallest of them alone.
+    """
     spread = stage(
         keys.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size"))
         .where("first < last").select(F.col("key").alias("_key"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "apart",
     )
     marks = sets.select(F.col("node").alias("_node"), "signature")
+    apart = keys.join(spread, F.col("key") == F.col("_key")).drop("_key")
+    own = apart.groupBy(F.col("node").alias("_own")).agg(F.collect_list("key").alias("own"))
     rows = (
-        keys.join(spread, F.col("key") == F.col("_key")).join(marks, F.col("node") == F.col("_node"))
+        apart.join(marks, F.col("node") == F.col("_node")).join(own, F.col("node") == F.col("_own"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "part", "signature")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "part", "signature", "own")
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -365,12 +389,15 @@ def tree_pairs(keys: DataFrame, sets: DataFrame, block: int) -> DataFrame:
         if len(sides[0]) and len(sides[1]):
             trees = [Tree(bits[s], n[s], part[s]) for s in sides]
             p, q = walk(*trees)
-            a, b = node[sides[0][p]], node[sides[1][q]]
-        keep = a < b if i == j else a != b
-        a, b = a[keep], b[keep]
+            p, q = sides[0][p], sides[1][q]
+            keep = node[p] < node[q] if i == j else node[p] != node[q]
+            p, q = p[keep], q[keep]
+            key, own = table.column("key")[0].as_py(), [frozenset(x) for x in table.column("own").to_pylist()]
+            first = np.fromiter((min(own[x] & own[y]) == key for x, y in zip(p.tolist(), q.tolist())), bool, len(p))
+            a, b = node[p[first]], node[q[first]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _grouped(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -383,15 +410,18 @@ def _grouped(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 def set_links(sets: DataFrame, limits: Limits) -> DataFrame:
     """(node, component) of all sets that link, from node, n, keys, signature, values."""
-    keys = stage(_keys(sets), "keys")
+    keys = stage(_meeting(stage(_keys(sets), "keys")), "keys")
     links, parts = None, None
-    for _ in range(limits.hub_rounds):
+    for turn in range(limits.hub_rounds):
         apart = _grouped(keys, parts)
-        new = stage(verified(hub_pairs(apart if parts is None else stage(apart, "grouped")), sets), "links")
-        if new.isEmpty():
+        pairs = stage(hub_pairs(apart if parts is None else stage(apart, "grouped"), turn), "pairs")
+        new = stage(verified(pairs, sets), "links")
+        found = new.count()
+        if found:
+            links = new if links is None else links.unionByName(new)
+            parts = stage(components(links), "parts")
+        if 20 * found <= pairs.count():
             break
-        links = new if links is None else links.unionByName(new)
-        parts = stage(components(links), "parts")
     new = verified(tree_pairs(stage(_grouped(keys, parts), "grouped"), sets, limits.block), sets)
     return components(new if links is None else links.unionByName(new))
 
@@ -407,8 +437,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing, nor does a row without a doc_id. Rows that share a doc_id are one
     document to the links. Other columns are ignored.
     """
-    maps = occurrence_maps(docs, text_col, limits)
-    found = stage(profiles(docs, maps, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    sent = docs.sparkSession.sparkContext.broadcast(occurrence_maps(docs, text_col, limits))
+    found = stage(profiles(docs, sent, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    sent.destroy()  # the profiles are written
     possible = found.where("digest is not null and doc_id is not null")
     first = stage(
         possible.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"))
