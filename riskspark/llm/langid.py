@@ -9,9 +9,10 @@ documents whose language is known.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark.llm import arrow
+from riskspark.llm.sample import SPAN
 
 #: Bytes read in one go; the states start anew in each window.
 WINDOW = 64
@@ -205,33 +206,28 @@ def fit(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> Identifier:
-    """Fits on an excerpt of about `per_language` documents of each of the most frequent languages.
+    """Fits on an excerpt of at most `per_language` documents of each of the most frequent languages.
 
     `learn` says which rows may be learnt from. Rows without text or language
-    are left out. Documents are chosen by a hash of their text, so copies of
-    one count once, and the excerpt begins at a place that the hash gives.
+    are left out. Copies of a text count once and are reduced to one row before
+    anything is drawn: of each language's distinct texts those with the
+    smallest hashes are taken, all of them if there are no more than
+    `per_language`. The excerpt begins at a place that the hash gives.
     """
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
-    )
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return fit([], [])
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * per_language / r["count"]))).otherwise(share)
     place = F.xxhash64("text")
-    drawn = known.where(F.pmod(place, F.lit(1_000_003)) < share * 1_000_003)
     begin = (F.pmod(place, F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1) + 1).cast("int")
-    rows = drawn.select("lang", place.alias("h"), F.substring("text", begin, F.lit(EXCERPT)).cast("binary").alias("text")).collect()
-    texts, labels, taken, seen = [], [], {}, set()
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
-        if (r["lang"], r["h"]) not in seen and taken.get(r["lang"], 0) < per_language:
-            seen.add((r["lang"], r["h"]))
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            texts.append(bytes(r["text"]))
-            labels.append(r["lang"])
-    return fit(texts, labels)
+    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+    ).select("lang", place.alias("h"), F.substring("text", begin, F.lit(EXCERPT)).cast("binary").alias("text"))
+    sizes = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # Leaves about twice as many texts as are wanted, so that few are shuffled.
+    cut = F.pmod("h", F.lit(SPAN))
+    few = known.join(F.broadcast(sizes), "lang").where(cut < F.ceil(F.lit((2 * per_language + 50) * SPAN) / F.col("n")))
+    once = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(cut, "h"))
+    rows = once.withColumn("nth", nth).where(F.col("nth") <= per_language).collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
+    return fit([bytes(r["text"]) for r in rows], [r["lang"] for r in rows])
 
 
 def _judged(model: Identifier, column):

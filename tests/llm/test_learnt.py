@@ -72,6 +72,22 @@ def test_few_rare_languages_are_all_learnt(spark):
     assert langid.train(docs, learn=F.lit(True)).languages == ["a", "b"]
 
 
+def learnt_from(monkeypatch, docs, **options):
+    """(language, text) of what the network is trained on."""
+    taken = []
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: taken.extend(zip(labels, texts)))
+    langid.train(docs, learn=F.lit(True), **options)
+    return taken
+
+
+def test_copies_leave_the_other_texts_of_a_language_in(spark, monkeypatch):
+    texts = [prose(k, 20) for k in range(120)]
+    many = docs_of(spark, [texts[0]]).select(F.explode(F.sequence(F.lit(1), F.lit(60_000))).alias("doc_id"), "text", F.lit("a").alias("lang"))
+    others = docs_of(spark, texts[1:], langs=["a"] * 60 + ["b"] * 59).select(F.col("doc_id").cast("int"), "text", "lang")
+    taken = learnt_from(monkeypatch, many.unionByName(others), per_language=50)
+    assert len(taken) == len(set(taken)) == 100 and sum(lang == "a" for lang, _ in taken) == 50
+
+
 def corpus():
     texts, labels = [], []
     for k in range(400):
