@@ -17,11 +17,11 @@ from riskspark.llm.sample import SPAN
 #: Bytes read in one go; the states start anew in each window.
 WINDOW = 64
 HIDDEN = 8
-#: Training: documents per language, characters of each, languages (the most frequent), steps, windows in a step.
-TRAIN_DOCS, EXCERPT, LANGUAGES, STEPS, BATCH = 300, 1200, 64, 260, 192
+#: Training: documents per language, characters of each, steps, windows in a step.
+TRAIN_DOCS, EXCERPT, STEPS, BATCH = 300, 1200, 260, 192
 RATE = 0.02
-#: Windows computed together.
-TOGETHER = 1024
+#: Windows computed together, and chances that may be held for them; with many languages fewer windows are.
+TOGETHER, CHANCES = 1024, 1 << 23
 #: What a text without letters gets.
 UNKNOWN = "und"
 PAD = 256
@@ -44,6 +44,11 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, row
 
 
+def together(languages: int) -> int:
+    """Windows that are computed in one go."""
+    return max(min(TOGETHER, CHANCES // (WINDOW * max(languages, 1))), 1)
+
+
 class Network:
     """Both directions and the output layer; see `forward` for the equations."""
 
@@ -113,6 +118,17 @@ class Network:
 
     def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy per letter, and its slope for every weight."""
+        total, at_once = max(np.append(_LETTER, False)[x].sum(), 1), together(self.w["out"].shape[1])
+        loss, slope = self.share_of_slopes(x[:at_once], y[:at_once], total)
+        for i in range(at_once, len(x), at_once):
+            more, part = self.share_of_slopes(x[i:i + at_once], y[i:i + at_once], total)
+            loss += more
+            for k, g in part.items():
+                slope[k] = slope[k] + g
+        return loss, slope
+
+    def share_of_slopes(self, x: np.ndarray, y: np.ndarray, total: int) -> tuple[float, dict[str, np.ndarray]]:
+        """What these windows add to loss and slopes over `total` letters."""
         w, hid = self.w, self.w["rec_f"].shape[0]
         fwd, kept_f = self.direction("f", x, True)
         bwd, kept_b = self.direction("b", x, True)
@@ -122,7 +138,6 @@ class Network:
         chance = np.exp(logits)
         chance /= chance.sum(-1, keepdims=True)
         counts = np.append(_LETTER, False)[x.T]
-        total = max(counts.sum(), 1)
         at_y = np.take_along_axis(chance, np.broadcast_to(y[None, :, None], (*counts.shape, 1)), -1)[..., 0]
         loss = float(-(np.log(np.maximum(at_y, 1e-9)) * counts).sum() / total)
         d_logits = chance
@@ -163,8 +178,9 @@ class Identifier:
         total, labelled, letters = np.zeros((rows, n)), np.zeros((rows, n), np.int64), np.zeros(rows)
         x, row = windows(data, offsets)
         is_letter = np.append(_LETTER, False)
-        for i in range(0, len(x), TOGETHER):
-            part, own = x[i:i + TOGETHER], row[i:i + TOGETHER]
+        at_once = together(n)
+        for i in range(0, len(x), at_once):
+            part, own = x[i:i + at_once], row[i:i + at_once]
             chance = self.network.forward(part)
             counts = is_letter[part.T]
             best = chance.argmax(-1)
@@ -206,7 +222,7 @@ def fit(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> Identifier:
-    """Fits on an excerpt of at most `per_language` documents of each of the most frequent languages.
+    """Fits on an excerpt of at most `per_language` documents of each language.
 
     `learn` says which rows may be learnt from. Rows without text or language
     are left out. Copies of a text count once and are reduced to one row before
@@ -219,7 +235,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
     ).select("lang", place.alias("h"), F.substring("text", begin, F.lit(EXCERPT)).cast("binary").alias("text"))
-    sizes = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     # Leaves about twice as many texts as are wanted, so that few are shuffled.
     cut = F.pmod("h", F.lit(SPAN))
     few = known.join(F.broadcast(sizes), "lang").where(cut < F.ceil(F.lit((2 * per_language + 50) * SPAN) / F.col("n")))
@@ -250,7 +266,7 @@ def _judged(model: Identifier, column):
 
 
 def _sent(docs: DataFrame, model: Identifier):
-    """The model, to be loaded in tasks; its size does not depend on the data."""
+    """The model, to be loaded in tasks; its size depends on the number of languages only."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.network.w if model.network else None))
 
     def load() -> Identifier:

@@ -88,6 +88,26 @@ def test_copies_leave_the_other_texts_of_a_language_in(spark, monkeypatch):
     assert len(taken) == len(set(taken)) == 100 and sum(lang == "a" for lang, _ in taken) == 50
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    langs = [f"l{k}" for k in range(70) for _ in range(3)] + ["rare"]
+    docs = docs_of(spark, [prose(k, 10) for k in range(211)], langs=langs)
+    assert {lang for lang, _ in learnt_from(monkeypatch, docs)} == set(langs)
+
+
+def test_many_languages_are_computed_in_parts(monkeypatch):
+    texts = [chr(0x4E00 + 7 * k) * 30 for k in range(70)]
+    model = langid.fit([t.encode() for t in texts], [f"l{k}" for k in range(70)], steps=3)
+    x, row = langid.windows(np.frombuffer("".join(texts).encode(), np.uint8), np.arange(0, 90 * 71, 90))
+    whole = model.network.slopes(x, row)
+    chances = model.chances(np.frombuffer("".join(texts).encode(), np.uint8), np.arange(0, 90 * 71, 90))
+    monkeypatch.setattr(langid, "CHANCES", langid.WINDOW * 70 * 9)
+    assert langid.together(70) == 9
+    parts = model.network.slopes(x, row)
+    assert np.isclose(whole[0], parts[0]) and all(np.allclose(whole[1][k], parts[1][k], atol=1e-6) for k in whole[1])
+    again = model.chances(np.frombuffer("".join(texts).encode(), np.uint8), np.arange(0, 90 * 71, 90))
+    assert np.allclose(chances[0], again[0], atol=1e-6) and (chances[1] == again[1]).all()
+
+
 def corpus():
     texts, labels = [], []
     for k in range(400):
