@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import signal
 import string
 
 import public_tokenizers
@@ -57,6 +58,28 @@ def test_random_strings_are_found_and_names_are_not():
         assert not secrets.random_spans(f"see {name} here", coder), name
 
 
+def test_identifiers_are_those_of_the_plain_pattern():
+    plain, rng = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|[+/_=-])+"), random.Random(3)
+    for _ in range(60_000):
+        run = "".join(rng.choice("aabBBC12_/") for _ in range(rng.randint(0, 11)))
+        assert bool(plain.fullmatch(run)) == bool(secrets.IDENTIFIER.fullmatch(run)), run
+
+
+def test_long_letter_and_digit_runs_end_in_time():
+    def late(*_):
+        raise TimeoutError
+
+    coder, before = bpe.Coder.load(RANKS), signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        for head in ("a" * 60 + "1", "1" * 40, "A" * 60 + "1", "ab" * 3000 + "1", "Ab1" * 3000, "1" * 9000, "_" * 500 + "aB" * 500 + "1"):
+            assert not secrets.IDENTIFIER.fullmatch(head + "x")
+            secrets.random_spans(f"see {head}x here", coder)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_redaction_keeps_all_else(spark):
     key = "q7Zt0Xv9LmPb3RkW8sYd"
     docs = docs_of(spark, [(1, f"a token = {key} b"), (2, "clean text"), (3, None), (4, f"{key}{key}")])
