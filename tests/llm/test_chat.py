@@ -79,3 +79,18 @@ def test_long_conversation_and_empty_table(spark):
     rows = [(9, k, "assistant" if k % 2 else "user", f"turn {k} " * 20) for k in range(400)]
     assert read(chat.digests(chat.examples(table(spark, rows)))) == brute(rows)
     assert chat.digests(chat.examples(table(spark, rows).limit(0))).count() == 0
+
+
+def test_long_contexts_come_in_chunks_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 37)
+    monkeypatch.setattr(chat, "DEALT", 3)
+    rows = [(9, k, "assistant" if k % 2 else "user", "\\<|\n\\" * (k % 9)) for k in range(41)]
+    rows += CASES[:6] + [(None, 3, "assistant", "\\" * 50)]
+    made = chat.examples(table(spark, rows)).collect()
+    assert max(len(r["text"]) for r in made) == 37 and len({(r["conv_id"], r["example"], r["chunk"]) for r in made}) == len(made)
+    whole = {}
+    for r in sorted((r for r in made if r["conv_id"] == 9), key=lambda r: (r["example"], r["chunk"])):
+        whole[r["example"]] = whole.get(r["example"], "") + r["text"]
+    shown = "".join(chat.turn(role, text)[0] for _, _, role, text in rows[:41])
+    assert len(whole) == 21 and whole[20] == shown and all(shown.startswith(t) for t in whole.values())
+    assert read(chat.digests(chat.examples(table(spark, rows)))) == brute(rows)
