@@ -28,10 +28,12 @@ LEAST_CHARS = 20
 MOST_PER_TOKEN = 2.2
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
-#: Digests (32 to 128 hex digits in one case), UUIDs, numbers with separators.
+#: Digests (hex digits in one case, as many as a digest has), UUIDs, numbers with separators.
 KNOWN = re.compile(
-    r"[0-9a-f]+|[0-9A-F]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+"
+    "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in (32, 40, 48, 56, 64, 96, 128)) + r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+"
 )
+#: Where a run is cut if it is not found whole: paths and assignments first, then all separators.
+SEPARATORS = (re.compile(r"[^/=]+"), re.compile(r"[^+/_=-]+"))
 #: Words, perhaps with a number, put together by case, underscore, hyphen or slash.
 #: Whole runs of a kind are taken and never given back, so the time is linear.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++|[+/_=-])++")
@@ -46,16 +48,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, coder: Coder, most_per_token: float = MOST_PER_TOKEN) -> list[tuple[int, int, str]]:
-    """(start, end, "token") of runs that the vocabulary spells with many tokens."""
+    """(start, end, "token") of runs, or parts of them, that the vocabulary spells with many tokens."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
+
+    def look(start: int, end: int, cuts) -> None:
+        run = text[start:end]
+        if len(run) < LEAST_CHARS or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+            return
         if KNOWN.fullmatch(run) or IDENTIFIER.fullmatch(run):
-            continue
+            return
         if len(run) <= most_per_token * len(coder.bpe.encode_ordinary(run)):
-            found.append((m.start(), m.end(), "token"))
+            found.append((start, end, "token"))
+        elif cuts:
+            for m in cuts[0].finditer(run):
+                look(start + m.start(), start + m.end(), cuts[1:])
+
+    for m in CANDIDATE.finditer(text):
+        look(m.start(), m.end(), SEPARATORS)
     return found
 
 

@@ -80,6 +80,15 @@ def test_long_letter_and_digit_runs_end_in_time():
         signal.signal(signal.SIGALRM, before)
 
 
+def test_hex_keys_and_keys_in_paths_are_found():
+    coder, key = bpe.Coder.load(RANKS), "q7Zt0Xv9LmPb3RkW8sYdT2nG"
+    for run in ("3F9A0C7E51D8B2469E0F7A1C", "3F9A0C7E51D8B2469E0F7A1C5B"):
+        assert [run] == [f"see {run} here"[a:b] for a, b, _ in secrets.random_spans(f"see {run} here", coder)]
+    words = "documentation/international/applications/organization/management/information/development"
+    for run in (f"{words}/{key}", words.replace("/", "_") + f"-{key}", f"{words}/token_value={key}/{words}"):
+        assert [key] == [run[a:b] for a, b, _ in secrets.random_spans(run, coder)], run
+
+
 def test_redaction_keeps_all_else(spark):
     key = "q7Zt0Xv9LmPb3RkW8sYd"
     docs = docs_of(spark, [(1, f"a token = {key} b"), (2, "clean text"), (3, None), (4, f"{key}{key}")])
