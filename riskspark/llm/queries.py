@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import bpe, chat, embeddings, langid, ngram_join, packing, periodic, quality, secrets, toxicity, warc
+from riskspark.llm import bpe, chat, decontaminate, embeddings, langid, ngram_join, packing, periodic, quality, secrets, spelling, toxicity, warc
 from riskspark.llm.oracle import CONTROL, oracle_sql  # noqa: F401
 from riskspark.session import shared_dir
 
@@ -77,11 +77,19 @@ def op10_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"), drop_every=31)
+
+
 def op12_periodic(spark, sf_dir):
     return periodic.digests(periodic.find_runs(periodic.with_repeats(table(spark, sf_dir, "documents"))))
 
 
+def op13_decontaminate(spark, sf_dir):
+    return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries():
     return {f.__name__: f for f in (
-        op1_packing, op2_chat, op3_quality, op4_language, op5_secrets, op6_bpe, op7_warc, op8_ngram_join, op9_toxicity, op10_embeddings, op12_periodic,
+        op1_packing, op2_chat, op3_quality, op4_language, op5_secrets, op6_bpe, op7_warc, op8_ngram_join, op9_toxicity, op10_embeddings, op11_spelling, op12_periodic, op13_decontaminate,
     )}
