@@ -8,14 +8,17 @@
    must share one of: the first of its n-grams, rare ones first (prefix filter).
    Every order of the n-grams is right for that, so the maps may be inexact.
 3. In a few rounds each group of linked sets is compared with one hub, the one
-   that a set of it shares most keys with. That joins large groups of near
-   copies with one link per set. Rounds end when few comparisons are links.
+   that a set of it shares most keys with. That joins many near copies with one
+   link each. Rounds end when few comparisons are links.
 4. Sets of one key that are still apart are compared with signature trees: a
    node holds the OR of its sets' bitmaps, their range of sizes and the most
    n-grams that share bits. Two trees are walked together, and a pair of nodes
    whose largest possible overlap is too small for a link is dropped, as are
-   pairs already connected. Surviving pairs are checked with their whole sets.
-   A key with many sets is dealt out as pairs of blocks.
+   pairs already connected. A first walk, with signatures alone, tells which
+   sets have a partner at all. Only these bring their whole sets to the second
+   walk, which checks each surviving pair that is not connected yet, where it
+   finds it. It gives the links of a forest: fewer than there are sets in the
+   block. A key with many sets is dealt out as pairs of blocks.
 
 Links between sets of one connected group may be left out, links that connect
 two groups never are.
@@ -49,13 +52,15 @@ class Limits:
 
     frequent: an n-gram of more texts is ordered last. map_bits: slots of each
     map, as a power of two, 8 MB each whatever the input. hub_rounds: rounds of
-    comparing with hubs, at most. block: sets in a block.
+    comparing with hubs, at most. block, block_values: sets, and values of all
+    sets, in a block; a single larger set makes a block of its own.
     """
 
     frequent: int = 64
     map_bits: int = 26
     hub_rounds: int = 6
-    block: int = 384
+    block: int = 2048
+    block_values: int = 1_000_000
 
 
 _SALTS = np.array([0x8C6F_3D2A_91B7_E045, 0x51F3_ABCD_0E77_9A13], np.uint64)
@@ -189,11 +194,11 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, sent: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document its n, and, where a link is possible, its set, the set's digest, keys and signature.
+    """Per document a hash of its text, its n, and, where a link is possible, its set, the set's digest, keys and signature.
 
     `sent` holds the two occurrence maps: 2 ** (map_bits - 2) bytes.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def scan(batches):
         shared, frequent = (np.frombuffer(m, np.uint8) for m in sent.value)
@@ -204,21 +209,21 @@ def profiles(docs: DataFrame, sent: Broadcast, id_col: str = "doc_id", text_col:
                 met = _marked(shared, values)
                 n, n_met = np.diff(edge), arrow.per_row(met, edge)
                 spare = n_met - least_overlap(n)
-                rows = [(None,) * 4] * (j - i)
+                rows, sets = [(None,) * 3] * (j - i), [None] * (j - i)
                 for k in np.flatnonzero((n > 0) & (spare >= 0)):
                     own = values[edge[k]:edge[k + 1]]
                     known = own[met[edge[k]:edge[k + 1]]]
                     often = _marked(frequent, known)
                     keys = np.concatenate((known[~often], known[often]))[:spare[k] + 1]
-                    rows[k] = (_digest(own), keys.astype("<u8").tobytes(), signature(own), own.astype("<u8").tobytes())
-                ids = batch.column(0).slice(i, j - i)
+                    rows[k], sets[k] = (_digest(own), keys.astype("<u8").tobytes(), signature(own)), own.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows))],
-                    names=["doc_id", "n", "digest", "keys", "signature", "values"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()),
+                     *(pa.array(c, pa.binary()) for c in zip(*rows)), pa.array(sets, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "n", "digest", "keys", "signature", "values"],
                 )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(scan, f"doc_id {kind}, n long, digest binary, keys binary, signature binary, values binary")
+    return source.mapInArrow(scan, f"doc_id {kind}, text_hash long, n long, digest binary, keys binary, signature binary, values array<long>")
 
 
 def _keys(sets: DataFrame) -> DataFrame:
@@ -252,19 +257,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of `pairs` that link, by their whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("values").alias("va"))
     right = sets.select(F.col("node").alias("_b"), F.col("values").alias("vb"))
-    both = pairs.join(left, "a").join(right, F.col("b") == F.col("_b")).select("a", "b", "va", "vb")
-
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for va, vb in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(va.as_buffer(), "<u8"), np.frombuffer(vb.as_buffer(), "<u8")
-                place = np.searchsorted(b, a)
-                place[place == len(b)] = 0
-                keep.append(bool(linked(int((b[place] == a).sum()), len(a), len(b))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(check, "a long, b long")
+    both = pairs.join(left, "a").join(right, F.col("b") == F.col("_b"))
+    overlap = F.size(F.array_intersect("va", "vb")).cast("long")
+    return both.where(linked(overlap, F.size("va"), F.size("vb"))).select("a", "b")
 
 
 def _possible(a, b):
@@ -319,14 +314,13 @@ def _alive(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return sizes & apart & linked(most, xl, yl)
 
 
-def walk(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the sets of two trees that may link, by walking both from their roots.
+def walk(x: Tree, y: Tree):
+    """Yields places of sets of two trees that may link, by walking both from their roots.
 
     The overlap of two sets is at most the bits they have in common plus the
     n-grams of either that share a bit with another of its own; for two nodes
     the ORs of the bits and the largest of these bound every pair below.
     """
-    found_i, found_j = [], []
     stack = [(len(x.levels) - 1, len(y.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         a, b, i, j = stack.pop()
@@ -340,8 +334,8 @@ def walk(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
                 xn - np.bitwise_count(xb & ~yb).sum(1).astype(np.int64), yn - np.bitwise_count(yb & ~xb).sum(1).astype(np.int64),
             )
             keep = linked(most, xn, yn)
-            found_i.append(i[keep])
-            found_j.append(j[keep])
+            if keep.any():
+                yield i[keep], j[keep]
             continue
         if a >= b:  # open the higher node, or both at equal height
             i, j = _opened(i, j, len(x.levels[a - 1][0]))
@@ -350,8 +344,6 @@ def walk(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
         a, b = a - (a >= b), b - (b >= a)
         for k in range(0, len(i), PAIRS):
             stack.append((a, b, i[k:k + PAIRS], j[k:k + PAIRS]))
-    none = np.zeros(0, np.int64)
-    return np.concatenate(found_i or [none]), np.concatenate(found_j or [none])
 
 
 def _opened(node: np.ndarray, other: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,44 +352,95 @@ def _opened(node: np.ndarray, other: np.ndarray, below: int) -> tuple[np.ndarray
     return child[child < below], other[child < below]
 
 
-def tree_pairs(keys: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """(a, b): pairs of sets of different groups that share a key and may link by their signatures.
+def _met(table: pa.Table):
+    """The block's (node, n, part), and pairs of places in it that may link, a chunk at a time."""
+    table = table.sort_by([("part", "ascending"), ("n", "ascending"), ("node", "ascending")])
+    node, n, part, block = (table.column(c).to_numpy() for c in ("node", "n", "part", "block"))
+    bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u8").reshape(len(node), -1)
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    sides = [np.flatnonzero(block == k) for k in (i, j)]
 
-    A pair that shares several keys is given by the smallest of them alone.
+    def pairs():
+        if not len(sides[0]) or not len(sides[1]):
+            return
+        for p, q in walk(*(Tree(bits[s], n[s], part[s]) for s in sides)):
+            p, q = sides[0][p], sides[1][q]
+            keep = (p < q if i == j else p != q) & (part[p] != part[q])
+            p, q = p[keep], q[keep]
+            if len(p):
+                # Smallest nodes first, so that blocks with the same sets choose the same links.
+                order = np.lexsort((np.maximum(node[p], node[q]), np.minimum(node[p], node[q])))
+                yield p[order], q[order]
+
+    return table, node, part, pairs()
+
+
+def _forest(part: np.ndarray, sets, pairs) -> tuple[list, list]:
+    """Places of the links that join the parts of a block; a pair that is connected already is not checked."""
+    above: dict = {}
+
+    def root(x):
+        while x in above:
+            if above[x] in above:
+                above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    a, b = [], []
+    for p, q in pairs:
+        for x, y in zip(p.tolist(), q.tolist()):
+            u, v = root(part[x].item()), root(part[y].item())
+            if u == v:
+                continue
+            s, t = sets(x), sets(y)
+            place = np.searchsorted(t, s)
+            place[place == len(t)] = 0
+            if linked(int((t[place] == s).sum()), len(s), len(t)):
+                above[max(u, v)] = min(u, v)
+                a.append(x)
+                b.append(y)
+    return a, b
+
+
+def tree_links(keys: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
+    """(a, b): links that connect all sets of different groups that share a key and link.
+
+    Of a block's links only those of a forest; several keys may give the same one.
     """
+    blocks = F.greatest(F.ceil(F.col("size") / limits.block), F.ceil(F.col("total") / limits.block_values)).cast("int")
     spread = stage(
-        keys.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size"))
-        .where("first < last").select(F.col("key").alias("_key"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "apart",
+        keys.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size"), F.sum("n").alias("total"))
+        .where("first < last").select(F.col("key").alias("_key"), blocks.alias("blocks")), "apart",
     )
     marks = sets.select(F.col("node").alias("_node"), "signature")
-    apart = keys.join(spread, F.col("key") == F.col("_key")).drop("_key")
-    own = apart.groupBy(F.col("node").alias("_own")).agg(F.collect_list("key").alias("own"))
     rows = (
-        apart.join(marks, F.col("node") == F.col("_node")).join(own, F.col("node") == F.col("_own"))
+        keys.join(spread, F.col("key") == F.col("_key")).join(marks, F.col("node") == F.col("_node"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "part", "signature", "own")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "part", "signature")
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("n", "ascending"), ("node", "ascending")])
-        node, n, part, block = (table.column(c).to_numpy() for c in ("node", "n", "part", "block"))
-        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u8").reshape(len(node), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sides = [np.flatnonzero(block == k) for k in (i, j)]
-        a, b = node[:0], node[:0]
-        if len(sides[0]) and len(sides[1]):
-            trees = [Tree(bits[s], n[s], part[s]) for s in sides]
-            p, q = walk(*trees)
-            p, q = sides[0][p], sides[1][q]
-            keep = node[p] < node[q] if i == j else node[p] != node[q]
-            p, q = p[keep], q[keep]
-            key, own = table.column("key")[0].as_py(), [frozenset(x) for x in table.column("own").to_pylist()]
-            first = np.fromiter((min(own[x] & own[y]) == key for x, y in zip(p.tolist(), q.tolist())), bool, len(p))
-            a, b = node[p[first]], node[q[first]]
+    def with_partner(table: pa.Table) -> pa.Table:
+        table, node, _, pairs = _met(table)
+        flags = np.zeros(len(node), bool)
+        for p, q in pairs:
+            flags[p] = flags[q] = True
+        return table.select(["key", "i", "j", "block", "node", "n", "part"]).filter(pa.array(flags))
+
+    def check(table: pa.Table) -> pa.Table:
+        table, node, part, pairs = _met(table)
+        values = table.column("values").combine_chunks()
+        flat, edge = np.asarray(values.flatten()), np.concatenate(([0], np.cumsum(np.asarray(values.value_lengths()))))
+        unsigned = flat.view(np.uint64)
+        a, b = _forest(part, lambda k: unsigned[edge[k]:edge[k + 1]], pairs)
+        a, b = node[a], node[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    kinds = "key long, i int, j int, block int, node long, n long, part long"
+    found = stage(rows.groupBy("key", "i", "j").applyInArrow(with_partner, kinds), "partners")
+    whole = sets.select(F.col("node").alias("_node"), "signature", "values")
+    met = found.join(whole, F.col("node") == F.col("_node")).drop("_node")
+    return met.groupBy("key", "i", "j").applyInArrow(check, "a long, b long").distinct()
 
 
 def _grouped(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -411,19 +454,49 @@ def _grouped(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
 def set_links(sets: DataFrame, limits: Limits) -> DataFrame:
     """(node, component) of all sets that link, from node, n, keys, signature, values."""
     keys = stage(_meeting(stage(_keys(sets), "keys")), "keys")
-    links, parts = None, None
+    parts = None
     for turn in range(limits.hub_rounds):
         apart = _grouped(keys, parts)
         pairs = stage(hub_pairs(apart if parts is None else stage(apart, "grouped"), turn), "pairs")
         new = stage(verified(pairs, sets), "links")
         found = new.count()
         if found:
-            links = new if links is None else links.unionByName(new)
-            parts = stage(components(links), "parts")
+            parts = stage(extended(parts, new), "parts")
         if 20 * found <= pairs.count():
             break
-    new = verified(tree_pairs(stage(_grouped(keys, parts), "grouped"), sets, limits.block), sets)
-    return components(new if links is None else links.unionByName(new))
+    return extended(parts, stage(tree_links(stage(_grouped(keys, parts), "grouped"), sets, limits), "links"))
+
+
+def extended(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) with more links: only the components that they join are worked on."""
+    if parts is None:
+        return components(links)
+    to = parts.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    for end in ("a", "b"):
+        moved = links.join(to, F.col(end) == F.col("_node"), "left")
+        links = moved.select(*[F.coalesce("_component", c).alias(c) if c == end else F.col(c) for c in ("a", "b")])
+    joined = stage(components(links), "joined")
+    new = joined.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    old = parts.join(new, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component"))
+    # A component's smallest node is in `old` already where it had others.
+    return old.unionByName(joined.join(parts.select("node"), "node", "left_anti"))
+
+
+def _profiled(docs, id_col, text_col, limits) -> DataFrame:
+    """The staged profiles with a number for each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(occurrence_maps(docs, text_col, limits))
+    found = stage(profiles(docs, sent, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    sent.destroy()  # the profiles are written
+    return found
+
+
+def _set_parts(possible, first, limits) -> DataFrame:
+    """(node, component) of the distinct sets; `first` has the row, as `_row`, that stands for each."""
+    sets = stage(
+        possible.join(first.select("_row"), F.col("row") == F.col("_row"))
+        .select(F.col("row").alias("node"), "n", "keys", "signature", "values"), "sets",
+    )
+    return set_links(sets, limits)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -437,19 +510,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing, nor does a row without a doc_id. Rows that share a doc_id are one
     document to the links. Other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(occurrence_maps(docs, text_col, limits))
-    found = stage(profiles(docs, sent, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    sent.destroy()  # the profiles are written
+    found = _profiled(docs, id_col, text_col, limits)
     possible = found.where("digest is not null and doc_id is not null")
     first = stage(
         possible.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"))
         .select("digest", F.col("first.doc_id").cast("long").alias("first_id"), F.col("first.row").alias("_row")), "first",
     )
-    sets = stage(
-        possible.join(first.select("_row"), F.col("row") == F.col("_row"))
-        .select(F.col("row").alias("node"), "n", "keys", "signature", "values"), "sets",
-    )
-    parts = set_links(sets, limits)
+    parts = _set_parts(possible, first, limits)
     # From sets to documents: links between the first documents, and of a doc_id with several sets.
     to = first.select("_row", "first_id")
     ends = parts.join(to, F.col("node") == F.col("_row")).select("first_id", "component")
@@ -472,19 +539,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their component; all columns stay.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """One row of each group of rows whose texts are near duplicates; all columns stay.
 
-    Of rows that repeat an id, one stays; rows without an id all do.
+    Rows are linked by their texts alone, whatever their ids. Of a group the row
+    with the smallest id stays (rows without an id come last), of equal ids the
+    one with the smallest text hash, of equal texts the one whose columns hash
+    smallest. A text that links with none stays, as do all null texts and texts
+    without words, and rows that share an id but not their texts. An empty table
+    gives no rows.
     """
-    found = stage(near_duplicates(docs, id_col, text_col), "components")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("first")).where("doc_id = first")
-    own, rows = (_free(docs, name) for name in ("id", "rows"))
-    ids = stage(ids.select(F.col("doc_id").alias(own), F.col("rows").alias(rows)), "kept")
-    kept = docs.join(ids, F.col(id_col) == F.col(own))
-    once = kept.where(F.col(rows) == 1).drop(own, rows)
-    again = kept.where(F.col(rows) > 1).drop(own, rows).dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    found = _profiled(docs, id_col, text_col, limits)
+    possible = found.where("digest is not null")
+    first = stage(possible.groupBy("digest").agg(F.min("row").alias("_row")), "first")
+    parts = stage(_set_parts(possible, first, limits), "parts")
+    of = first.join(parts, F.col("_row") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "_row").alias("component"))
+    key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    chosen = possible.join(of, F.col("digest") == F.col("_digest")).groupBy("component").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
+    copies = possible.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    own, text, rows, order = (_free(docs, name) for name in ("id", "text_hash", "rows", "order"))
+    kept = chosen.alias("x").join(copies.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.text_hash") == F.col("y.text_hash")))
+    alone = found.where("digest is null").select("doc_id", "text_hash").distinct().withColumn("rows", F.lit(1).cast("long"))
+    keep = stage(kept.select("x.doc_id", "x.text_hash", "y.rows").unionByName(alone).toDF(own, text, rows), "kept")
+    hashed = docs.withColumn(order, F.xxhash64(text_col))
+    left = hashed.join(keep, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(order) == F.col(text)))
+    once = left.where(F.col(rows) == 1).select(*docs.columns)
+    again = left.where(F.col(rows) > 1)
+    by = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+    again = again.groupBy(own, text).agg(F.min_by(F.struct(*docs.columns), by).alias(rows)).select(f"{rows}.*")
+    return once.unionByName(again)
 
 
 def _free(df: DataFrame, name: str) -> str:

@@ -104,7 +104,7 @@ def test_tree_drops_no_link():
         bits = np.frombuffer(b"".join(ngram_join.signature(s) for s in sets), "<u8").reshape(len(sets), -1)
         order, part = np.argsort(n), np.arange(len(sets))
         tree = ngram_join.Tree(bits[order], n[order], part)
-        found = {(order[i], order[j]) for i, j in zip(*ngram_join.walk(tree, tree))}
+        found = {(order[i], order[j]) for p, q in ngram_join.walk(tree, tree) for i, j in zip(p, q)}
         for i in range(len(sets)):
             for j in range(len(sets)):
                 overlap = len(np.intersect1d(sets[i], sets[j]))
@@ -119,11 +119,46 @@ def test_one_of_each(spark):
     docs = docs_of(spark, texts)
     kept = ngram_join.one_of_each(docs)
     assert kept.schema == docs.schema
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "6", "7", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "6", "7", "None"]  # the null text has no id
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_but_no_text_stay(spark):
+    one, two, three = prose(21, 50), prose(22, 50), prose(23, 50)
+    texts = [(0, one), (0, two), (0, three), (0, two), (1, edited(two, 1, 1)), (None, three), (None, prose(24, 50)), (None, prose(24, 50)), (5, ""), (5, "")]
+    docs = docs_of(spark, texts)
+    for rows in (docs, docs.repartition(5)):
+        kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(rows).collect()]
+        assert sorted(kept, key=str) == sorted([(0, one), (0, two), (0, three), (None, prose(24, 50)), (5, ""), (5, "")], key=str)
+
+
+def test_copies_that_differ_in_other_columns_leave_one_row(spark):
+    rows = [(1, prose(31, 40), f"s{k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {tuple(ngram_join.one_of_each(df.repartition(n)).collect()) for n in (1, 2, 4)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
+def test_links_grow_with_the_sets_not_their_square(spark, monkeypatch):
+    base = [prose(40, 120), prose(41, 120)]
+    texts = [(k, edited(base[0], k, 1 + k % 2)) for k in range(700)] + [(k, prose(k, 60)) for k in range(700, 900)]
+    texts += [(k, base[1][:300] + " " + prose(k, 40)) for k in range(900, 1200)]
+    sizes = []
+    tree = ngram_join.tree_links
+
+    def counted(keys, sets, limits):
+        found = tree(keys, sets, limits)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "tree_links", counted)
+    for rounds in (6, 0):
+        got = ngram_join.near_duplicates(docs_of(spark, texts), limits=ngram_join.Limits(hub_rounds=rounds)).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(texts)
+    assert sizes[0] < len(texts) and sizes[1] < 8 * len(texts), sizes  # brute force has 60,000 links
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, links long, node long, copies int, cell int, v string"
 
 
