@@ -5,6 +5,7 @@ give the same shape: per row `base`, `x` (feature values) and `phi` (one
 attribution per feature), with base + sum(phi) equal to the model's output.
 """
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskspark.operators.boosting import BoostedTreesModel
+from riskspark.operators.forest import Nodes, of_spark_trees
 from riskspark.session import shared_dir
 
 # Nodes that the driver holds and a broadcast carries at once.
@@ -88,63 +91,111 @@ def model_leaves(spark, model: PipelineModel, slice_nodes=SLICE_NODES):
     over trees, so a model of any size is taken in slices of whole trees.
     """
     last = model.stages[-1]
-    path = f"{shared_dir(spark)}/nodes-{last.uid}"
-    last.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    boosted = "GBT" in type(last).__name__
-    if "nodeData" in nodes.columns:
-        nodes = nodes.select("treeID", "nodeData.*")
-        weights = list(last.treeWeights) if boosted else [1.0 / last.getNumTrees] * last.getNumTrees
-    else:
-        nodes = nodes.withColumn("treeID", F.lit(0))
-        weights = [1.0]
+    if isinstance(last, BoostedTreesModel):
+        yield from _grown_leaves(last.nodes, slice_nodes)
+        return
+    nodes, weights = stored_nodes(spark, last)
     sizes = {r["treeID"]: r["n"] for r in nodes.groupBy("treeID").agg(F.count(F.lit(1)).alias("n")).collect()}
     slices = [[]]
     for t in sorted(sizes):
         if slices[-1] and sum(sizes[u] for u in slices[-1]) + sizes[t] > slice_nodes:
             slices.append([])
         slices[-1].append(t)
-    split = F.col("split")
     for own in slices:
-        rows = nodes.where(F.col("treeID").between(own[0], own[-1])).select(
-            "treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild",
-            split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
-        ).collect()
+        rows = nodes.where(F.col("treeID").between(own[0], own[-1])).collect()
         trees = {}
         for r in rows:
             trees.setdefault(r["treeID"], {})[r["id"]] = r
         paths = []
         for t, tree in trees.items():
-            scale = 2.0 * weights[t] if boosted else weights[t]
-            paths += _paths(tree, scale, boosted)
-        groups = {}
-        for value, conditions in paths:
-            groups.setdefault(len(conditions), []).append((value, conditions))
-        base = sum(value * np.prod([c[3] for c in conditions]) for value, conditions in paths)
-        yield [_pack(g) for d, g in sorted(groups.items()) if d > 0], float(base)
+            paths += _paths(tree, weights[t])
+        yield _groups(paths)
 
 
-def _paths(tree, scale, boosted):
+def stored_nodes(spark, last) -> tuple[DataFrame, list]:
+    """(nodes, weight of each tree) of a fitted Spark tree or forest, read from its storage."""
+    path = f"{shared_dir(spark)}/nodes-{last.uid}-{uuid.uuid4().hex}"
+    last.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    if "nodeData" in nodes.columns:
+        nodes = nodes.select("treeID", "nodeData.*")
+        weights = [1.0 / last.getNumTrees] * last.getNumTrees
+    else:
+        nodes = nodes.withColumn("treeID", F.lit(0))
+        weights = [1.0]
+    split = F.col("split")
+    return nodes.select(
+        "treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild",
+        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold")), weights
+
+
+def flat_nodes(spark, model: PipelineModel) -> Nodes | None:
+    """All nodes of a tree model as one table; None for a linear model."""
+    last = model.stages[-1]
+    if isinstance(last, BoostedTreesModel):
+        return last.nodes
+    if not hasattr(last, "featureImportances"):
+        return None
+    nodes, weights = stored_nodes(spark, last)
+    return of_spark_trees(nodes.collect(), weights[0])
+
+
+def _groups(paths):
+    groups = {}
+    for value, conditions in paths:
+        groups.setdefault(len(conditions), []).append((value, conditions))
+    base = sum(value * np.prod([c[3] for c in conditions]) for value, conditions in paths)
+    return [_pack(g) for d, g in sorted(groups.items()) if d > 0], float(base)
+
+
+def _paths(tree, scale):
     """[(value, [(feature, lower, upper, share)])] of one tree's leaves."""
     def weight(node):
-        return node["impurityStats"][0] if boosted else sum(node["impurityStats"])
+        return sum(node["impurityStats"])
 
     found, todo = [], [(tree[0], {})]
     while todo:
         node, conditions = todo.pop()
         if node["leftChild"] < 0:
             stats = node["impurityStats"]
-            value = node["prediction"] if boosted else stats[1] / sum(stats)
-            found.append((scale * value, [(f, *c) for f, c in sorted(conditions.items())]))
+            found.append((scale * stats[1] / sum(stats), [(f, *c) for f, c in sorted(conditions.items())]))
             continue
-        f, threshold, total = node["feature"], node["threshold"], weight(node)
-        lower, upper, share = conditions.get(f, (-np.inf, np.inf, 1.0))
         left, right = tree[node["leftChild"]], tree[node["rightChild"]]
-        todo.append((left, {**conditions, f: (lower, min(upper, threshold), share * weight(left) / total)}))
-        todo.append((right, {**conditions, f: (max(lower, threshold), upper, share * weight(right) / total)}))
+        todo += _down(conditions, node["feature"], node["threshold"], (left, weight(left)), (right, weight(right)), weight(node))
     return found
 
 
+def _down(conditions, f, threshold, left, right, total):
+    """Both children of a node with the conditions of their paths."""
+    lower, upper, share = conditions.get(f, (-np.inf, np.inf, 1.0))
+    return [
+        (left[0], {**conditions, f: (lower, min(upper, threshold), share * left[1] / total)}),
+        (right[0], {**conditions, f: (max(lower, threshold), upper, share * right[1] / total)}),
+    ]
+
+
+def _grown_leaves(nodes, slice_nodes):
+    """The same for trees that add up to log-odds, in slices of whole trees."""
+    paths, size = [], 0
+    for k, root in enumerate(nodes.roots):
+        own = nodes.tree(k)
+        if paths and size + own.stop - own.start > slice_nodes:
+            yield _groups(paths)
+            paths, size = [], 0
+        size += own.stop - own.start
+        todo = [(int(root), {})]
+        while todo:
+            at, conditions = todo.pop()
+            left, right = int(nodes.left[at]), int(nodes.right[at])
+            if left == at:
+                paths.append((float(nodes.value[at]), [(f, *c) for f, c in sorted(conditions.items())]))
+                continue
+            cover = nodes.cover
+            todo += _down(conditions, int(nodes.feature[at]), float(nodes.threshold[at]), (left, cover[left]), (right, cover[right]), cover[at])
+    if paths:
+        yield _groups(paths)
+
+
 def _pack(group) -> Leaves:
     table = np.array([c for _, c in group], dtype=float)
     return Leaves(table[..., 0].astype(int), table[..., 1], table[..., 2], table[..., 3],

@@ -4,22 +4,22 @@ import functools
 import itertools
 import operator
 import random
-from math import ceil, floor, log2
+from dataclasses import dataclass
+from math import ceil
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
 
 from riskspark.functions.numeric import round_even
+from riskspark.operators import boosting
 from riskspark.operators.evaluation import accuracy, confusion, f1, precision, recall, roc_auc
 from riskspark.operators.sampling import add_class_weight, class_weights, stratified_folds
+from riskspark.session import stage
 from riskspark.schema import (
     CV_FOLDS, ID_COLS, ORDER_COL, SEARCH_SPACES, SEED, TARGET, TUNING_DRAWS, TUNING_FOLDS,
 )
@@ -27,8 +27,8 @@ from riskspark.schema import (
 MAX_BINS = 64
 MODEL_NAMES = list(SEARCH_SPACES)
 LINEAR, BOOSTED, LEAF_LIMITED = "Logistic Regression", "Boosted Trees", "Leaf-limited Boosted Trees"
-# Bins and least rows per leaf of the leaf-limited family.
-COARSE_BINS, LEAF_ROWS = 32, 20
+# Rows in a leaf of the leaf-limited family, at least, and its leaves unless a point names them.
+LEAF_ROWS, LEAVES = 20, 31
 
 # Settings of each family before tuning.
 DEFAULTS = {
@@ -106,9 +106,10 @@ def build(name, params=None, rows=1, seed=SEED) -> Pipeline:
     """Untrained pipeline of a family; `rows` is the total training weight.
 
     A node that needs n rows to be split has leaves of n / 2 rows at least here.
-    Both boosted families grow by levels. One is plain, with many bins; the
-    other has coarse bins, leaves of twenty rows at least, balanced weights and
-    as many levels as its number of leaves fills.
+    Both boosted families fit second-order trees. One grows by levels, with an
+    L2 penalty of 1 and positives weighted by the class ratio; the other grows
+    best first to a number of leaves, with leaves of twenty rows at least and
+    balanced weights.
     """
     p = {**DEFAULTS[name], **(params or {})}
     common = {"labelCol": "label"}
@@ -129,14 +130,14 @@ def build(name, params=None, rows=1, seed=SEED) -> Pipeline:
             minInstancesPerNode=p.get("min_samples_leaf", 1),
             featureSubsetStrategy=str(p.get("max_features", "sqrt")), **common))
     if name == BOOSTED:
-        return tree_stages(GBTClassifier(
+        return tree_stages(boosting.BoostedTrees(
             weightCol="boosted", maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"],
-            subsamplingRate=p.get("subsample", 1.0), **{**common, "maxBins": 256}))
+            subsamplingRate=p.get("subsample", 1.0), l2=1.0, leastWeight=1.0, seed=seed))
     if name == LEAF_LIMITED:
-        depth = min(p["max_depth"], max(1, floor(log2(p.get("num_leaves", 31)))))
-        return tree_stages(GBTClassifier(
-            weightCol="balanced", maxIter=p["n_estimators"], maxDepth=depth, stepSize=p["learning_rate"],
-            minInstancesPerNode=LEAF_ROWS, **{**common, "maxBins": COARSE_BINS}))
+        leaves = min(p.get("num_leaves", LEAVES), 2 ** p["max_depth"])
+        return tree_stages(boosting.BoostedTrees(
+            weightCol="balanced", maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"],
+            numLeaves=leaves, l2=0.0, leastWeight=1e-3, leastRows=LEAF_ROWS, seed=seed))
     raise ValueError(f"unknown model {name}")
 
 
@@ -174,7 +175,82 @@ def auc_evaluator() -> BinaryClassificationEvaluator:
         labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
 
 
-# --- Tuning ----------------------------------------------------------------
+# --- Fitting by folds ------------------------------------------------------
+
+def is_boosted(pipeline: Pipeline) -> bool:
+    return isinstance(pipeline.getStages()[-1], boosting.BoostedTrees)
+
+
+def fit_all(pipelines: list, frame: DataFrame, parts: list, parallelism=2) -> list:
+    """A model for each of the pipelines, fitted on the rows outside its part.
+
+    parts: (fold column, fold left out) of each, or None for all rows. Boosted
+    models grow together over one binned table; it also tells their scores. The
+    result has (model, scores) pairs, scores being null for other models.
+    """
+    out = [None] * len(pipelines)
+    together = [k for k, p in enumerate(pipelines) if is_boosted(p)]
+    if together:
+        folds = sorted({parts[k][0] for k in together if parts[k]})
+        table, edges = boosting.prepared(frame, folds)
+        weights = {c: boosting.class_weights_of(frame, c) for c in {pipelines[k].getStages()[-1].getWeightCol() for k in together}}
+        jobs = [
+            boosting.Job(e.settings(), weights[e.getWeightCol()], *(parts[k] or (None, None)))
+            for k, e in ((k, pipelines[k].getStages()[-1]) for k in together)]
+        grown = boosting.Boosting(table, edges, jobs).run()
+        scores = stage(grown.scores(), "boosted_scores")
+        for i, (k, nodes) in enumerate(zip(together, grown.models())):
+            model = PipelineModel([boosting.model_of(nodes, len(edges), pipelines[k].getStages()[-1])])
+            out[k] = (model, scores.select("label", *folds, F.col("scores")[i].alias("score")))
+
+    def one(k):
+        rows = frame if parts[k] is None else frame.where(F.col(parts[k][0]) != parts[k][1])
+        return pipelines[k].fit(rows), None
+
+    alone = [k for k, p in enumerate(pipelines) if not is_boosted(p)]
+    with ThreadPool(max(1, min(parallelism, len(alone)))) as pool:
+        for k, found in zip(alone, pool.map(one, alone)):
+            out[k] = found
+    return out
+
+
+def held_out_aucs(fits: list, frame: DataFrame, parts: list, parallelism=2) -> list:
+    """The AUC of each fit on the part that it was not shown."""
+    plain = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score", metricName="areaUnderROC", numBins=0)
+
+    def one(k):
+        (model, scores), (column, fold) = fits[k], parts[k]
+        if scores is not None:
+            return plain.evaluate(scores.where(F.col(column) == fold))
+        return auc_evaluator().evaluate(model.transform(frame.where(F.col(column) == fold)))
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        return pool.map(one, range(len(fits)))
+
+
+def search_scores(points: dict, frame: DataFrame, fold, folds, parallelism=2, seed=SEED) -> dict:
+    """{family: per point the AUC of each fold}; `points` has a list of settings per family."""
+    learnt = frame.count() * (folds - 1) / folds  # the penalty is one of the rows that a fit sees
+    keys = [(name, k, f) for name, own in points.items() for k in range(len(own)) for f in range(folds)]
+    pipelines = [build(name, points[name][k], learnt, seed) for name, k, _ in keys]
+    parts = [(fold, f) for *_, f in keys]
+    aucs = held_out_aucs(fit_all(pipelines, frame, parts, parallelism), frame, parts, parallelism)
+    found = {name: [[] for _ in own] for name, own in points.items()}
+    for (name, k, _), auc in zip(keys, aucs):
+        found[name][k].append(auc)
+    return found
+
+
+def mean_std(values) -> tuple:
+    """Mean and population standard deviation."""
+    mean = sum(values) / len(values)
+    return mean, (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+
+
+def best_point(points: list, scores: list) -> dict:
+    """The point with the highest mean AUC, the first of equals."""
+    return points[max(range(len(points)), key=lambda k: mean_std(scores[k])[0])]
+
 
 def tune(name, train: DataFrame, draws=TUNING_DRAWS, folds=TUNING_FOLDS, parallelism=2, seed=SEED, space=None):
     """Randomised search: (best params, refitted model, [(params, mean AUC)]).
@@ -184,44 +260,27 @@ def tune(name, train: DataFrame, draws=TUNING_DRAWS, folds=TUNING_FOLDS, paralle
     points = draw_params(SEARCH_SPACES[name] if space is None else space, draws, seed, name)
     frame = stratified_folds(train, folds, seed, label="label").persist()
     try:
-        rows = frame.count()
-        learnt = rows * (folds - 1) / folds  # the penalty is one of the rows that a fit sees
-        base = build(name, rows=learnt, seed=seed)
-        maps = [_param_map(base, build(name, p, learnt, seed)) for p in points]
-        search = CrossValidator(
-            estimator=base, estimatorParamMaps=maps, evaluator=auc_evaluator(),
-            numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed)
-        found = search.fit(frame)
-        best = max(range(len(points)), key=lambda i: found.avgMetrics[i])
-        model = build(name, points[best], rows, seed).fit(frame) if name == LINEAR else found.bestModel
+        scores = search_scores({name: points}, frame, "fold", folds, parallelism, seed)[name]
+        best = best_point(points, scores)
+        [(model, _)] = fit_all([build(name, best, frame.count(), seed)], frame, [None])
     finally:
         frame.unpersist()
-    return points[best], model, list(zip(points, found.avgMetrics))
-
+    return best, model, [(p, mean_std(s)[0]) for p, s in zip(points, scores)]
 
-def _param_map(base: Pipeline, variant: Pipeline) -> dict:
-    """The variant's settings as parameters of the base pipeline's model."""
-    model, other = base.getStages()[-1], variant.getStages()[-1]
-    return {model.getParam(p.name): v for p, v in other.extractParamMap().items()
-            if model.hasParam(p.name) and model.getOrDefault(p.name) != v} or {model.labelCol: "label"}
 
-
-def cross_validate(pipeline: Pipeline, train: DataFrame, folds=CV_FOLDS, parallelism=2, seed=SEED):
-    """(mean, population standard deviation) of the folds' AUC."""
+def cross_validated(pipeline: Pipeline, train: DataFrame, folds=CV_FOLDS, parallelism=2, seed=SEED) -> list:
+    """The AUC of each fold."""
     frame = stratified_folds(train, folds, seed, label="label").persist()
-    evaluator = auc_evaluator()
-
-    def one(f):
-        model = pipeline.fit(frame.where(F.col("fold") != f))
-        return evaluator.evaluate(model.transform(frame.where(F.col("fold") == f)))
-
+    parts = [("fold", f) for f in range(folds)]
     try:
-        with ThreadPool(min(parallelism, folds)) as pool:
-            scores = pool.map(one, range(folds))
+        return held_out_aucs(fit_all([pipeline] * folds, frame, parts, parallelism), frame, parts, parallelism)
     finally:
         frame.unpersist()
-    mean = sum(scores) / folds
-    return mean, (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
+
+
+def cross_validate(pipeline: Pipeline, train: DataFrame, folds=CV_FOLDS, parallelism=2, seed=SEED):
+    """(mean, population standard deviation) of the folds' AUC."""
+    return mean_std(cross_validated(pipeline, train, folds, parallelism, seed))
 
 
 # --- Comparison ------------------------------------------------------------
@@ -266,15 +325,61 @@ def best_model(comparison: DataFrame) -> str:
     return comparison.orderBy(F.desc("ROC-AUC"), "Model").select("Model").first()["Model"]
 
 
+@dataclass
+class Candidate:
+    """What a search found for one family: its points, the AUC of each point and tuning fold, and of each fold of the best one."""
+
+    points: list
+    tuning: list
+    params: dict
+    folds: list
+    model: PipelineModel
+
+
+def candidates(train: DataFrame, names=MODEL_NAMES, draws=TUNING_DRAWS, tuning_folds=TUNING_FOLDS, cv_folds=CV_FOLDS,
+               parallelism=2, seed=SEED, spaces=None) -> dict:
+    """{family: Candidate}: tuned, cross-validated and fitted on all rows.
+
+    The rows are kept once with the folds of both; boosted families share one
+    binned table, over which all their models of a step grow together.
+    """
+    points = {name: draw_params((spaces or {}).get(name) or SEARCH_SPACES[name], draws, seed, name) for name in names}
+    frame = stratified_folds(train, tuning_folds, seed, label="label", out="tuning_fold")
+    frame = stratified_folds(frame, cv_folds, seed, label="label", out="cv_fold").persist()
+    try:
+        n = frame.count()
+        tuning = search_scores(points, frame, "tuning_fold", tuning_folds, parallelism, seed)
+        params = {name: best_point(points[name], tuning[name]) for name in names}
+        parts = [("cv_fold", f) for f in range(cv_folds)]
+        pipelines = [
+            build(name, params[name], rows, seed)
+            for name in names for rows in [n * (cv_folds - 1) / cv_folds] * cv_folds + [n]]
+        fits = fit_all(pipelines, frame, [*parts, None] * len(names), parallelism)
+        out = {}
+        for k, name in enumerate(names):
+            own = fits[k * (cv_folds + 1):(k + 1) * (cv_folds + 1)]
+            aucs = held_out_aucs(own[:-1], frame, parts, parallelism)
+            out[name] = Candidate(points[name], tuning[name], params[name], aucs, own[-1][0])
+        return out
+    finally:
+        frame.unpersist()
+
+
+def fold_scores(spark, found: dict) -> DataFrame:
+    """(Model, phase, point, params, fold, auc): every fit of the search and of the cross-validation."""
+    rows = []
+    for name, c in found.items():
+        rows += [(name, "tuning", k, str(p), f, float(auc)) for k, (p, s) in enumerate(zip(c.points, c.tuning)) for f, auc in enumerate(s)]
+        rows += [(name, "cv", c.points.index(c.params), str(c.params), f, float(auc)) for f, auc in enumerate(c.folds)]
+    return spark.createDataFrame(rows, "Model string, phase string, point int, params string, fold int, auc double")
+
+
+def comparison_of(found: dict, test: DataFrame) -> DataFrame:
+    return compare([comparison_row(holdout_metrics(c.model, test, name), *mean_std(c.folds)) for name, c in found.items()])
+
+
 def fit_candidates(train: DataFrame, test: DataFrame, names=MODEL_NAMES, draws=TUNING_DRAWS,
                    tuning_folds=TUNING_FOLDS, cv_folds=CV_FOLDS, parallelism=2, seed=SEED, spaces=None):
     """(comparison, {name: (params, model)}): tune, cross-validate, test each."""
-    rows, fitted = [], {}
-    n = train.count()
-    for name in names:
-        space = (spaces or {}).get(name)
-        params, model, _ = tune(name, train, draws, tuning_folds, parallelism, seed, space)
-        mean, std = cross_validate(build(name, params, n * (cv_folds - 1) / cv_folds, seed), train, cv_folds, parallelism, seed)
-        rows.append(comparison_row(holdout_metrics(model, test, name), mean, std))
-        fitted[name] = (params, model)
-    return compare(rows), fitted
+    found = candidates(train, names, draws, tuning_folds, cv_folds, parallelism, seed, spaces)
+    return comparison_of(found, test), {name: (c.params, c.model) for name, c in found.items()}
