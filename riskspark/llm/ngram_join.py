@@ -14,11 +14,12 @@
    node holds the OR of its sets' bitmaps, their range of sizes and the most
    n-grams that share bits. Two trees are walked together, and a pair of nodes
    whose largest possible overlap is too small for a link is dropped, as are
-   pairs already connected. A first walk, with signatures alone, tells which
-   sets have a partner at all. Only these bring their whole sets to the second
-   walk, which checks each surviving pair that is not connected yet, where it
-   finds it. It gives the links of a forest: fewer than there are sets in the
-   block. A key with many sets is dealt out as pairs of blocks.
+   pairs already connected. A first walk, with signatures alone, gives a forest
+   of possible links for each key; sets that these connect make one candidate
+   group. Each group is walked again with the whole sets, which every set brings
+   once whatever its number of keys: a surviving pair that is not connected yet
+   is checked where it is found. That gives a forest of links, fewer than there
+   are sets. Keys and groups with many sets are dealt out as pairs of blocks.
 
 Links between sets of one connected group may be left out, links that connect
 two groups never are.
@@ -375,7 +376,7 @@ def _met(table: pa.Table):
     return table, node, part, pairs()
 
 
-def _forest(part: np.ndarray, sets, pairs) -> tuple[list, list]:
+def _forest(part: np.ndarray, check, pairs) -> tuple[list, list]:
     """Places of the links that join the parts of a block; a pair that is connected already is not checked."""
     above: dict = {}
 
@@ -390,57 +391,84 @@ def _forest(part: np.ndarray, sets, pairs) -> tuple[list, list]:
     for p, q in pairs:
         for x, y in zip(p.tolist(), q.tolist()):
             u, v = root(part[x].item()), root(part[y].item())
-            if u == v:
-                continue
-            s, t = sets(x), sets(y)
-            place = np.searchsorted(t, s)
-            place[place == len(t)] = 0
-            if linked(int((t[place] == s).sum()), len(s), len(t)):
+            if u != v and check(x, y):
                 above[max(u, v)] = min(u, v)
                 a.append(x)
                 b.append(y)
     return a, b
 
 
-def tree_links(keys: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
-    """(a, b): links that connect all sets of different groups that share a key and link.
-
-    Of a block's links only those of a forest; several keys may give the same one.
-    """
+def _dealt(rows: DataFrame, key: str, limits: Limits) -> DataFrame:
+    """Rows (key, node, n, part, ...) of keys with several parts, once for each pair of blocks (i, j) that theirs is in."""
     blocks = F.greatest(F.ceil(F.col("size") / limits.block), F.ceil(F.col("total") / limits.block_values)).cast("int")
     spread = stage(
-        keys.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size"), F.sum("n").alias("total"))
-        .where("first < last").select(F.col("key").alias("_key"), blocks.alias("blocks")), "apart",
+        rows.groupBy(key).agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("size"), F.sum("n").alias("total"))
+        .where("first < last").select(F.col(key).alias("_key"), blocks.alias("blocks")), "apart",
     )
-    marks = sets.select(F.col("node").alias("_node"), "signature")
-    rows = (
-        keys.join(spread, F.col("key") == F.col("_key")).join(marks, F.col("node") == F.col("_node"))
+    return (
+        rows.join(spread, F.col(key) == F.col("_key"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "part", "signature")
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("_key", "blocks", "other")
     )
 
-    def with_partner(table: pa.Table) -> pa.Table:
-        table, node, _, pairs = _met(table)
-        flags = np.zeros(len(node), bool)
-        for p, q in pairs:
-            flags[p] = flags[q] = True
-        return table.select(["key", "i", "j", "block", "node", "n", "part"]).filter(pa.array(flags))
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links(node: np.ndarray, a: list, b: list) -> pa.Table:
+    a, b = node[a], node[b]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=_LINKS)
+
+
+def tree_links(keys: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
+    """(a, b): links that connect all sets of different groups that share a key and link: a forest of each pair of blocks."""
+    marks = sets.select(F.col("node").alias("_node"), "signature")
+
+    def possible(table: pa.Table) -> pa.Table:
+        """A forest of the possible links, and every set that has one as a link to itself."""
+        _, node, part, pairs = _met(table)
+        met = np.zeros(len(node), bool)
+
+        def marked():
+            for p, q in pairs:
+                met[p] = met[q] = True
+                yield p, q
+
+        a, b = _forest(part, lambda x, y: True, marked())
+        own = np.flatnonzero(met).tolist()
+        return _links(node, a + own, b + own)
 
     def check(table: pa.Table) -> pa.Table:
         table, node, part, pairs = _met(table)
         values = table.column("values").combine_chunks()
-        flat, edge = np.asarray(values.flatten()), np.concatenate(([0], np.cumsum(np.asarray(values.value_lengths()))))
-        unsigned = flat.view(np.uint64)
-        a, b = _forest(part, lambda k: unsigned[edge[k]:edge[k + 1]], pairs)
-        a, b = node[a], node[b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    kinds = "key long, i int, j int, block int, node long, n long, part long"
-    found = stage(rows.groupBy("key", "i", "j").applyInArrow(with_partner, kinds), "partners")
+        flat, edge = np.asarray(values.flatten()).view(np.uint64), np.concatenate(([0], np.cumsum(np.asarray(values.value_lengths()))))
+
+        def links(x, y):
+            s, t = flat[edge[x]:edge[x + 1]], flat[edge[y]:edge[y + 1]]
+            place = np.searchsorted(t, s)
+            place[place == len(t)] = 0
+            return linked(int((t[place] == s).sum()), len(s), len(t))
+
+        return _links(node, *_forest(part, links, pairs))
+
+    signed = _dealt(keys, "key", limits).join(marks, F.col("node") == F.col("_node")).drop("_node")
+    maybe = stage(signed.groupBy("key", "i", "j").applyInArrow(possible, "a long, b long").distinct(), "possible")
+    of = keys.select("node", "n", "part").distinct()
+    candidates = components(_between_parts(maybe, of)).select(F.col("node").alias("_part"), F.col("component").alias("group"))
+    rows = of.join(candidates, F.col("part") == F.col("_part")).drop("_part")
+    able = maybe.select(F.explode(F.array("a", "b")).alias("_able")).distinct()
+    rows = stage(rows.join(able, F.col("node") == F.col("_able"), "left_semi"), "candidates")
     whole = sets.select(F.col("node").alias("_node"), "signature", "values")
-    met = found.join(whole, F.col("node") == F.col("_node")).drop("_node")
-    return met.groupBy("key", "i", "j").applyInArrow(check, "a long, b long").distinct()
+    met = _dealt(rows, "group", limits).join(whole, F.col("node") == F.col("_node")).drop("_node")
+    return met.groupBy("group", "i", "j").applyInArrow(check, "a long, b long").distinct()
+
+
+def _between_parts(links: DataFrame, of: DataFrame) -> DataFrame:
+    """The links with the part of each end in its place."""
+    a, b = (of.select(F.col("node").alias(f"_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    both = links.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
+    return both.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
 
 
 def _grouped(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
