@@ -12,7 +12,7 @@ from checks.oracle import CLEAN, FEATURES, SCORED, SPLIT, SWEEP, _int, _q
 from riskspark.operators import calibration, cleaning, evaluation, explain, scoring, training
 from riskspark.operators.marts import EXPORTS
 from riskspark.plans import credit_risk
-from riskspark.schema import FEATURE_COLS, TARGET
+from riskspark.schema import FEATURE_COLS, REQUIRED_COLS, TARGET
 from riskspark.session import stage
 from riskspark.sources import loans as readers, sinks
 from riskspark.sources.fixture import loans_raw
@@ -185,8 +185,198 @@ def views(spark, sf):
     return spark.createDataFrame([one(*m) for m in EXPORTS.items()], "mart string, rows long, faults long").select("mart", "faults")
 
 
+# --- The whole job: five families, their search, folds, comparison and files ---
+
+def searched(spark, sf):
+    """Per family what the search drew and fitted; a fault is an AUC that is none, or a best point that another one beats."""
+    scores = q.fold_scores(spark, sf)
+    tuning = scores.where("phase = 'tuning'")
+    means = tuning.groupBy("Model", "point").agg(F.avg("auc").alias("mean"))
+    top = means.groupBy("Model").agg(F.max("mean").alias("top"))
+    best = scores.where("phase = 'cv'").select("Model", "point").distinct().join(means, ["Model", "point"])
+    beaten = best.join(top, "Model").select("Model", F.when(F.col("mean") < F.col("top") - 1e-12, 1).otherwise(0).alias("beaten"))
+    bad = F.col("auc").isNull() | (F.col("auc") <= 0.5) | (F.col("auc") > 1)
+    found = tuning.groupBy("Model").agg(
+        F.countDistinct("point", "params").alias("points"), F.countDistinct("fold").alias("folds"), F.count("*").alias("fits"), F.count_if(bad).alias("bad"))
+    return found.join(beaten, "Model").select("Model", "points", "folds", "fits", (F.col("bad") + F.col("beaten")).alias("faults"))
+
+
+def cross_validated(spark, sf):
+    """Per family its folds; a fault is a mean or deviation of the comparison that the folds' AUCs do not give."""
+    cv = q.fold_scores(spark, sf).where("phase = 'cv'").groupBy("Model").agg(
+        F.count("*").alias("folds"), F.avg("auc").alias("mean"), F.sqrt(F.avg(F.col("auc") * F.col("auc")) - F.avg("auc") * F.avg("auc")).alias("std"))
+    shown = q.m20(spark, sf).select("Model", F.col("`CV_ROC-AUC_Mean`").alias("a"), F.col("`CV_ROC-AUC_Std`").alias("b"))
+    wrong = (F.abs(F.col("mean") - F.col("a")) > 1e-9) | (F.abs(F.col("std") - F.col("b")) > 6e-5)
+    return cv.join(shown, "Model").select("Model", "folds", F.when(wrong, 1).otherwise(0).cast("long").alias("faults"))
+
+
+def compared(spark, sf):
+    """Per family the hold-out rows that its confusion counts add up to; a fault is a measure that they do not give."""
+    tp, fp, tn, fn = (F.col(f"`{c}`") for c in (
+        "True Positives (Default Correct)", "False Positives (False Alarm)", "True Negatives", "False Negatives (Missed Default)"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    precision, recall = share(tp, tp + fp), share(tp, tp + fn)
+    given = {"Accuracy": (tp + tn) / (tp + fp + tn + fn), "Precision": precision, "Recall": recall, "F1-Score": share(2 * precision * recall, precision + recall)}
+    faults = sum(F.when(F.abs(F.col(f"`{c}`") - v) > 6e-5, 1).otherwise(0) for c, v in given.items()) + F.when(F.col("`ROC-AUC`") <= 0.6, 1).otherwise(0)
+    return q.m20(spark, sf).select("Model", (tp + fp + tn + fn).alias("rows"), (tp + fn).alias("positives"), faults.cast("long").alias("faults"))
+
+
+def best_of_all(spark, sf):
+    """Candidates, and those that beat the model that was stored as the best."""
+    table = q.m20(spark, sf)
+    stored = calibration.load_model(f"{q.job(spark, sf)}/models/best", spark)
+    own = table.where(F.col("Model") == stored.name).select(F.col("`ROC-AUC`").alias("own"))
+    return table.join(F.broadcast(own)).agg(
+        F.count("*").alias("candidates"), F.count_if(F.col("`ROC-AUC`") > F.col("own")).alias("faults"))
+
+
+def _text(df, columns):
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+
+
+def _changed(a, b):
+    return a.exceptAll(b).count() + b.exceptAll(a).count()
+
+
+def comparison_files(spark, sf):
+    """The three files of the comparison: rows, and cells that differ from one another."""
+    root, found = q.job(spark, sf), []
+    base = q.m20(spark, sf)
+    columns = sorted(base.columns)
+    for name, df in (("reports", readers.read_table(spark, f"{root}/reports/model_comparison", "csv")), ("dashboard", q.s10(spark, sf)), ("json", base)):
+        found.append((name, df.count(), _changed(_text(df, columns), _text(base, columns))))
+    return spark.createDataFrame(found, "file string, rows long, faults long")
+
+
+def whole_job(spark, sf):
+    """What the last tables of the job add up to."""
+    root = q.job(spark, sf)
+    card = q.p10(spark, sf).agg(F.sum("Total_Applicants").cast("long").alias("scored"), F.sum("Actual_Defaults").cast("long").alias("defaults")).first()
+    cleaned = readers.read_table(spark, f"{root}/cleaned").count()
+    explained = readers.read_table(spark, f"{root}/reports/attributions").count()
+    return spark.createDataFrame([(cleaned, card["scored"], card["defaults"], explained)], "cleaned long, scored long, defaults long, explained long")
+
+
+# --- Guards, stages, quality, exports --------------------------------------
+
+def _refusal(action):
+    try:
+        action()
+    except (ValueError, RuntimeError) as error:
+        return str(error)
+    return None
+
+
+def missing_columns(spark, sf):
+    """What is said to a table without one or several of the required columns."""
+    raw = loans_raw(spark, sf)
+    cases = [[c] for c in REQUIRED_COLS] + [["Age", "Income"], []]
+    rows = [(",".join(c), _refusal(lambda c=c: cleaning.require_columns(raw.drop(*c)))) for c in cases]
+    return spark.createDataFrame(rows, "dropped string, refusal string")
+
+
+def no_rows(spark, sf):
+    """What is said to a table without rows, and to one with some."""
+    raw = loans_raw(spark, sf)
+    rows = [("none", _refusal(lambda: cleaning.require_rows(raw.where(F.col("RowSeq") < 0)))), ("all", _refusal(lambda: cleaning.require_rows(raw)))]
+    return spark.createDataFrame(rows, "rows string, refusal string")
+
+
+def stages(spark, sf):
+    """The steps of each family's fitted pipeline, in order."""
+    rows = [(name, k, type(s).__name__) for name in MODELS for k, s in enumerate(q.fitted(spark, sf, name).stages)]
+    return spark.createDataFrame(rows, "Model string, position int, step string")
+
+
+def quality(spark, sf):
+    """Hold-out rows per family; a fault is an AUC of at most 0.7."""
+    test, rows = q.train_test(spark, sf)[1], []
+    for name in MODELS:
+        scored = training.probability(q.fitted(spark, sf, name), test)
+        rows.append((name, scored.count(), int(evaluation.roc_auc(scored).first()["roc_auc"] <= 0.7)))
+    return spark.createDataFrame(rows, "Model string, rows long, faults long")
+
+
+def _pairs_auc(df, label, score):
+    """AUC as the share of (positive, negative) pairs in order, ties half; from counts per distinct score."""
+    per = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    below = per.alias("a").join(per.alias("b"), F.col("b.s") <= F.col("a.s"))
+    ordered = below.agg(F.sum(F.col("a.pos") * F.when(F.col("b.s") < F.col("a.s"), F.col("b.neg")).otherwise(F.col("b.neg") / 2)).alias("n")).first()["n"]
+    total = per.agg(F.sum("pos") * F.sum("neg")).first()[0]
+    return ordered / total
+
+
+def calibrated_auc(spark, sf):
+    """Rows behind both AUCs; a fault is one that pairs of scores do not give, or calibration that loses rank."""
+    shown = {r["model"]: r["roc_auc"] for r in q.m23(spark, sf).collect()}
+    before = training.probability(q.fitted(spark, sf, "Decision Tree"), q.train_test(spark, sf)[1])
+    pairs = {"tuned": (before, "label", "p"), "calibrated": (q.predictions(spark, sf), "Actual_Default", "Predicted_Probability")}
+    rows = [(name, df.count(), int(abs(_pairs_auc(df, label, score) - shown[name]) > 1e-9)) for name, (df, label, score) in pairs.items()]
+    return spark.createDataFrame(rows, "model string, rows long, faults long")
+
+
+def top_fifteen(spark, sf):
+    """The fifteen of all features that come first; a fault is one that another beats."""
+    found = q.MODELS["v15_top_features"](spark, sf)
+    least = found.agg(F.min("Importance")).first()[0]
+    every = explain.feature_importance(spark, q.fitted(spark, sf, "Decision Tree"), FEATURE_COLS).join(found.select("Feature"), "Feature", "left_anti")
+    return found.agg(F.countDistinct("Feature").alias("features")).withColumn("faults", F.lit(every.where(F.col("Importance") > least).count()).cast("long"))
+
+
+def importance_file(spark, sf):
+    """Rows of the exported importances, and those that differ from the model's."""
+    found = explain.feature_importance(spark, q.fitted(spark, sf, "Decision Tree"), FEATURE_COLS)
+    back = q.s16(spark, sf).select("Feature", F.col("Importance").cast("double").alias("Importance"))
+    return back.agg(F.count("*").alias("rows")).withColumn("faults", F.lit(_changed(back, found)).cast("long"))
+
+
+def scored_file(spark, sf):
+    """Rows of the scored CSV, and those that direct scoring gives otherwise."""
+    columns = ["LoanID", "Default_Probability", "Predicted_Default", "Threshold"]
+    back = _text(q.s17(spark, sf), columns)
+    live = _text(scoring.score_batch(loans_raw(spark, sf), q.loaded(spark, sf)), columns)
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in columns]
+    return back.agg(F.count("*").alias("rows")).withColumn("faults", F.lit(_changed(back.select(*blank), live.select(*blank))).cast("long"))
+
+
+def one_pass(spark, sf):
+    """Cleaned rows, and those whose probability differs from the members' own, one after the other."""
+    features = scoring.align(scoring.scoring_features(q.cleaned(spark, sf)), FEATURE_COLS, ["LoanID"])
+    vectors = training.assemble(features, FEATURE_COLS, ["LoanID"])
+    model = q.loaded(spark, sf)
+    members = model.score_by_members(vectors, "b").select(F.col("LoanID").alias("_id"), "b")
+    both = q.p03(spark, sf).join(members, F.col("LoanID") == F.col("_id"))
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("p").isNull() | (F.abs(F.col("p") - F.col("b")) > 1e-9)).alias("faults"))
+
+
+def mart_files(spark, sf):
+    """Per exported mart its rows, and cells that the file has otherwise."""
+    folder, found = q.scratch(spark, "marts"), []
+    for name, mart in EXPORTS.items():
+        table = mart(q.tables(spark, sf))
+        back = readers.read_table(spark, sinks.export_mart(table, folder, name), "csv")
+        found.append((name, back.count(), _changed(_text(back, table.columns), _text(table, table.columns))))
+    return spark.createDataFrame(found, "mart string, rows long, faults long").select("mart", "faults")
+
+
 def queries():
     return {
+        "m13_searched": searched,
+        "m15_cross_validated": cross_validated,
+        "m20_compared": compared,
+        "m21_best_of_all": best_of_all,
+        "s10_files_agree": comparison_files,
+        "p10_whole_job": whole_job,
+        "s02_missing_columns": missing_columns,
+        "s03_no_rows": no_rows,
+        "m07_pipeline_stages": stages,
+        "m08_m12_quality": quality,
+        "m23_calibrated_auc": calibrated_auc,
+        "v15_top_fifteen": top_fifteen,
+        "s16_importance_file": importance_file,
+        "s17_scored_file": scored_file,
+        "p03_one_pass": one_pass,
+        "s09_mart_contents": mart_files,
         "c01_dedup_ties_few": dedup_ties(cleaning.FEW_IDS),
         "c01_dedup_ties_many": dedup_ties(0),
         "m01_undefined_features": undefined,
@@ -221,7 +411,31 @@ def oracle_sql():
     models = ", ".join(f"('{m}')" for m in MODELS)
     auc = "sum(neg * (tp - pos / 2.0)) / max(np * CAST(nn AS DOUBLE))"
     n = len(FEATURE_COLS)
+    zero = "CAST(0 AS BIGINT) AS faults"
+    points = {"Logistic Regression": 4} | {m: 5 for m in TREES}
+    drawn = ", ".join(f"('{m}', {k})" for m, k in points.items())
+    refused = [([c], c) for c in REQUIRED_COLS] + [(["Age", "Income"], "Age,Income")]
+    said = ", ".join(f"('{text}', 'missing columns: {str(cols).replace(chr(39), chr(39) * 2)}')" for cols, text in refused)
+    steps = [("Logistic Regression", 0, "StandardScalerModel"), ("Logistic Regression", 1, "LogisticRegressionModel"), (
+        "Decision Tree", 0, "DecisionTreeClassificationModel"), ("Random Forest", 0, "RandomForestClassificationModel"), (
+        "Boosted Trees", 0, "BoostedTreesModel"), ("Leaf-limited Boosted Trees", 0, "BoostedTreesModel")]
     return {
+        "m13_searched": f"SELECT m.Model, CAST(k AS BIGINT) AS points, CAST(3 AS BIGINT) AS folds, CAST(3 * k AS BIGINT) AS fits, {zero} FROM (VALUES {drawn}) m(Model, k)",
+        "m15_cross_validated": f"SELECT m.Model, CAST(5 AS BIGINT) AS folds, {zero} FROM (VALUES {models}) m(Model)",
+        "m20_compared": _q(test, f"SELECT m.Model, count(*) AS rows, {_int(f'sum({TARGET})')} AS positives, {zero} FROM te, (VALUES {models}) m(Model) GROUP BY 1"),
+        "m21_best_of_all": f"SELECT CAST(5 AS BIGINT) AS candidates, {zero}",
+        "s10_files_agree": f"SELECT file, CAST(5 AS BIGINT) AS rows, {zero} FROM (VALUES ('reports'), ('dashboard'), ('json')) f(file)",
+        "p10_whole_job": _q(test, f"SELECT (SELECT count(*) FROM cleaned) AS cleaned, count(*) AS scored, {_int(f'sum({TARGET})')} AS defaults, count(*) AS explained FROM te"),
+        "s02_missing_columns": f"SELECT dropped, refusal FROM (VALUES {said}, ('', NULL)) r(dropped, refusal)",
+        "s03_no_rows": "SELECT rows, refusal FROM (VALUES ('none', 'the table has no rows'), ('all', NULL)) r(rows, refusal)",
+        "m07_pipeline_stages": "SELECT Model, CAST(position AS INTEGER) AS position, step FROM (VALUES " + ", ".join(map(str, steps)) + ") s(Model, position, step)",
+        "m08_m12_quality": _q(test, f"SELECT m.Model, count(*) AS rows, {zero} FROM te, (VALUES {models}) m(Model) GROUP BY 1"),
+        "m23_calibrated_auc": _q(test, f"SELECT m.model, count(*) AS rows, {zero} FROM te, (VALUES ('tuned'), ('calibrated')) m(model) GROUP BY 1"),
+        "v15_top_fifteen": f"SELECT CAST(15 AS BIGINT) AS features, {zero}",
+        "s16_importance_file": f"SELECT CAST({n} AS BIGINT) AS rows, {zero}",
+        "s17_scored_file": _q(RAW, f"SELECT count(*) AS rows, {zero} FROM loans_raw"),
+        "p03_one_pass": _q(CLEAN, f"SELECT count(*) AS rows, {zero} FROM cleaned"),
+        "s09_mart_contents": f"SELECT mart, {zero} FROM (VALUES " + ", ".join(f"('{m}')" for m in EXPORTS) + ") m(mart)",
         "c01_dedup_ties_few": ties, "c01_dedup_ties_many": ties,
         "m01_undefined_features": _q(CLEAN, "SELECT count(*) AS rows, count(*) FILTER (z) AS undefined, count(*) FILTER (z) AS \"undefined_LoanToIncomeRatio\", CAST(count(*) FILTER (NOT z) AS INTEGER) AS learnt FROM (SELECT substr(md5(LoanID), 1, 1) = '0' AS z FROM cleaned)"),
         "v07_unscored": _q(CLEAN, f"SELECT count(*) FILTER ({gaps}) AS unscored, count(*) FILTER ({gaps} AND {TARGET} = 1) AS positives, count(*) FILTER ({gaps} AND {TARGET} = 0) AS negatives FROM cleaned"),

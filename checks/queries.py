@@ -63,7 +63,7 @@ def train_test(spark, sf_dir):
     def make():
         train, test = sampling.train_test(ml_ready(spark, sf_dir))
         train = training.with_weights(training.training_frame(train, FEATURE_COLS))
-        return arranged(stage(train, "train")), stage(training.training_frame(test, FEATURE_COLS), "test"), test
+        return arranged(stage(train, "train")).persist(), stage(training.training_frame(test, FEATURE_COLS), "test"), test
 
     return _once(spark, sf_dir, "split", make)
 
@@ -434,30 +434,34 @@ def m06(spark, sf):
     return rounded(spark.createDataFrame(rows, "feature string, mean double, std double"), 6, "mean", "std")
 
 
-def search_rows(spark, found):
-    return spark.createDataFrame([(str(p), float(m)) for p, m in found], "params string, mean_auc double")
+def job(spark, sf):
+    """The folder of all six steps: five families, five draws, three and five folds."""
+    def make():
+        root = scratch(spark, "job")
+        credit_risk.run(spark, loans_raw(spark, sf), root, parallelism=8)
+        return root
+
+    return _once(spark, sf, "job", make)
+
+
+def fold_scores(spark, sf):
+    return readers.read_table(spark, f"{job(spark, sf)}/reports/fold_scores")
 
 
 def m13(spark, sf):
-    """Five points drawn from a grid of many."""
-    return search_rows(spark, training.tune("Decision Tree", train_test(spark, sf)[0], parallelism=8)[2])
+    """Mean AUC of every point that the search drew."""
+    tuning = fold_scores(spark, sf).where("phase = 'tuning'")
+    return tuning.groupBy("Model", "point", "params").agg(F.count("*").alias("folds"), F.avg("auc").alias("mean_auc"))
 
 
 def m15(spark, sf):
-    train = train_test(spark, sf)[0]
-    name = "Decision Tree"
-    mean, std = training.cross_validate(training.build(name, POINTS[name], train.count()), train)
-    return spark.createDataFrame([(name, mean, std)], "model string, cv_mean double, cv_std double")
+    """Mean and population deviation over the folds of each family's best point."""
+    cv = fold_scores(spark, sf).where("phase = 'cv'")
+    return cv.groupBy("Model").agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_std"))
 
 
 def m20(spark, sf):
-    train, test, _ = train_test(spark, sf)
-
-    def make():
-        names = ["Logistic Regression", "Decision Tree"]
-        return training.fit_candidates(train, test, names, draws=2, spaces={n: {k: [v] for k, v in POINTS[n].items()} for n in names})[0]
-
-    return _once(spark, sf, "comparison", make)
+    return spark.read.json(f"{job(spark, sf)}/reports/model_comparison_json")
 
 
 def m23(spark, sf):
@@ -507,9 +511,7 @@ def v18(spark, sf):
 
 
 def s10(spark, sf):
-    folder = scratch(spark, "comparison")
-    sinks.write_comparison(m20(spark, sf), folder)
-    return readers.read_table(spark, f"{folder}/model_comparison", "csv")
+    return readers.read_table(spark, f"{job(spark, sf)}/dashboard/model_comparison", "csv")
 
 
 def stored_model(spark, sf):
@@ -567,10 +569,8 @@ def p09_model(spark, sf):
 
 
 def p10(spark, sf):
-    """All six steps with one candidate family; the scorecard they end in."""
-    root = scratch(spark, "job")
-    credit_risk.run(spark, loans_raw(spark, sf), root, names=["Decision Tree"], draws=2)
-    return readers.read_table(spark, f"{root}/dashboard/risk_scorecard_summary", "csv")
+    """All six steps over all families; the scorecard they end in."""
+    return readers.read_table(spark, f"{job(spark, sf)}/dashboard/risk_scorecard_summary", "csv")
 
 
 MODELS = {

@@ -89,9 +89,12 @@ def train_step(spark: SparkSession, root: str, seed=SEED, **tuning) -> None:
     ml_ready = training.defined_rows(ml_ready, features)
     require_rows(ml_ready)
     train_rows, test_rows = sampling.train_test(ml_ready, seed=seed)
-    train = arranged(stage(training.with_weights(training.training_frame(train_rows, features)), "train"))
+    train = arranged(stage(training.with_weights(training.training_frame(train_rows, features)), "train")).persist()
     test = stage(training.training_frame(test_rows, features), "test")
-    comparison, fitted = training.fit_candidates(train, test, seed=seed, **tuning)
+    found = training.candidates(train, seed=seed, **tuning)
+    write_table(training.fold_scores(spark, found).coalesce(1), f"{root}/reports/fold_scores")
+    fitted = {name: (c.params, c.model) for name, c in found.items()}
+    comparison = stage(training.comparison_of(found, test), "comparison")
     write_comparison(comparison, f"{root}/reports", f"{root}/dashboard")
     for name, (_, model) in fitted.items():
         model.write().overwrite().save(f"{root}/models/{name.lower().replace(' ', '_')}")
@@ -100,6 +103,7 @@ def train_step(spark: SparkSession, root: str, seed=SEED, **tuning) -> None:
     pipeline = training.build(best, params, train.count(), seed)
     model = calibrate(best, pipeline, base, train, features, seed=seed, parallelism=tuning.get("parallelism", 2))
     save_model(model, f"{root}/models/best", spark)
+    train.unpersist()
     write_table(prediction_table(model, test_rows.drop(ORDER_COL)), f"{root}/reports/test_predictions")
 
 
