@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskspark.functions.binning import bucketize, cut
 from riskspark.functions.numeric import ratio, ratio_or_zero, round_even
 from riskspark.operators.eda import label_table
-from riskspark.operators.ranks import range_staged, running_totals
+from riskspark.operators.ranks import running_totals
 from riskspark.schema import COST_FALSE_NEGATIVE, COST_FALSE_POSITIVE, RISK_EDGES, RISK_LABELS
 
 # Thresholds 0.01 .. 0.99 as multiples of the step, starting at it.
@@ -46,8 +46,7 @@ def cumulative(df: DataFrame, label="label", score="p") -> DataFrame:
 
     Columns p, pos, neg, tp, fp, tp_total, fp_total, pos_next, neg_next.
     """
-    counts = range_staged(score_counts(df, label, score), F.desc("p"))
-    return running_totals(counts, "p", {"tp": "pos", "fp": "neg"}, descending=True)
+    return running_totals(score_counts(df, label, score), "p", {"tp": "pos", "fp": "neg"}, descending=True)
 
 
 def roc_from(curve: DataFrame, drop_intermediate=False, origin=False) -> DataFrame:

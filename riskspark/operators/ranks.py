@@ -6,6 +6,11 @@ afterwards is one row per group and range, so it is bounded by
 spark.sql.shuffle.partitions and does not grow with the data.
 """
 
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskspark.session import stage
@@ -18,9 +23,6 @@ MERGE_LIMIT = 20_000_000
 # Rank error of the sketches that bracket a quantile is one in this many rows.
 SKETCH_ACCURACY = 500
 
-# Sketches are merged in this many slices of the tasks, not in one place.
-SLICES = 256
-
 
 def unpivoted(df: DataFrame, cols, by=()) -> DataFrame:
     """(by..., column, value) of the non-missing numeric values."""
@@ -96,26 +98,27 @@ def quantiles(counts: DataFrame, probs, by=("column",)) -> DataFrame:
     return values_at(counts, targets, by).withColumnRenamed("p", "q")
 
 
+def _sketch_size(accuracy) -> int:
+    """Values that a KLL sketch keeps for a rank error of one in `accuracy` rows (its published error bound)."""
+    return min(max(math.ceil((2.296 * accuracy) ** (1 / 0.9021)), 8), 65535)
+
+
 def _brackets(df: DataFrame, cols, probs, by, accuracy):
     """Rows (by..., column, q, lo, hi, rows): bounds that hold each quantile.
 
-    Every slice of the tasks gives its own bounds; the outermost of them hold
-    for all rows together.
+    One KLL sketch per class and column, merged over all tasks, so the bounds
+    are as tight for data in order of their values as for any other.
     """
-    slack = 2.0 / accuracy
-    around = [p for q in probs for p in (max(q - slack, 0.0), min(q + slack, 1.0))]
+    slack, size = 2.0 / accuracy, _sketch_size(accuracy)
     known = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
-    slices = (
-        df.withColumn("_slice", F.spark_partition_id() % SLICES).groupBy(*by, "_slice")
-        .agg(*[F.percentile_approx(v, around, accuracy).alias(f"edges_{c}") for c, v in known.items()],
-             *[F.count(v).alias(f"rows_{c}") for c, v in known.items()])
-    )
-    outermost = [
-        f(F.col(f"edges_{c}")[2 * i + j]).alias(f"edge_{c}_{i}_{j}")
-        for c in cols for i in range(len(probs)) for j, f in ((0, F.min), (1, F.max))
+    sketches = df.groupBy(*by).agg(
+        *[F.kll_sketch_agg_double(v, F.lit(size)).alias(f"sketch_{c}") for c, v in known.items()], *[F.count(v).alias(f"rows_{c}") for c, v in known.items()])
+    edges = [
+        F.when(F.col(f"rows_{c}") > 0, F.kll_sketch_get_quantile_double(f"sketch_{c}", F.lit(min(max(q + way * slack, 0.0), 1.0)))).alias(f"edge_{c}_{i}_{j}")
+        for c in cols for i, q in enumerate(probs) for j, way in ((0, -1), (1, 1))
     ]
     found = []
-    for r in slices.groupBy(*by).agg(*outermost, *[F.sum(f"rows_{c}").alias(f"rows_{c}") for c in cols]).collect():
+    for r in sketches.select(*by, *edges, *[f"rows_{c}" for c in cols]).collect():
         for c in cols:
             for i, q in enumerate(probs if r[f"rows_{c}"] else []):
                 lo = float("-inf") if q - slack <= 0 else float(r[f"edge_{c}_{i}_0"])
@@ -202,33 +205,64 @@ def _wide_quantiles(df, cols, probs, by):
     return quantiles(range_staged(value_counts(df, cols, by), *keys, "value"), probs, keys)
 
 
-def running_totals(ranges: DataFrame, value: str, sums: dict, descending=False) -> DataFrame:
+def running_totals(df: DataFrame, value: str, sums: dict, descending=False) -> DataFrame:
     """Add inclusive running sums, overall totals and the next row's values.
 
-    `ranges` is range_staged by the numeric column `value` in the given
-    direction. For every entry {out: column} the result gains `out`,
-    `out_total` and `column_next`.
+    `df` has one row per `value`. For every entry {out: column of whole
+    numbers} the result gains `out`, `out_total` and `column_next`. Rows move
+    once, to ranges of the value; each range adds up in order where it lies, and
+    what stands before it is one row per range, added afterwards.
     """
     order = F.col(value).desc() if descending else F.col(value).asc()
+    df = df.drop(PART)
+    local = {out: f"{out}_local" for out in sums}
+    schema = df.withColumns({
+        **{name: F.lit(0).cast("long") for name in local.values()}, **{f"{c}_next": F.lit(None).cast("long") for c in sums.values()}, PART: F.lit(0),
+    }).schema
+    at = {c: df.columns.index(c) for c in sums.values()}
+
+    def add_up(batches):
+        before, held, part = dict.fromkeys(sums, 0), None, TaskContext.get().partitionId()
+
+        def rows(batch, after):
+            """The batch with its sums; `after` is the row that follows it."""
+            columns = list(batch.columns)
+            for out, c in sums.items():
+                total = before[out] + np.cumsum(np.asarray(batch.column(at[c])), dtype=np.int64)
+                columns.append(pa.array(total))
+                before[out] = int(total[-1])
+            for c, k in at.items():
+                following = pa.array([after.column(k)[0].as_py() if after is not None else None], pa.int64())
+                columns.append(pa.concat_arrays([batch.column(k).slice(1).cast(pa.int64()), following]))
+            columns.append(pa.array(np.full(batch.num_rows, part, np.int32)))
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield rows(held, batch)
+                held = batch
+        if held is not None:
+            yield rows(held, None)
+
+    ranges = stage(df.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(add_up, schema), "ranges")
     first = F.max_by if descending else F.min_by
-    per_part = ranges.groupBy(PART).agg(
-        *[F.sum(c).alias(f"{out}_size") for out, c in sums.items()],
-        *[first(c, value).alias(f"{c}_first") for c in sums.values()],
-    )
-    # One row per range, so the unpartitioned windows below stay small.
-    by_part, all_parts = Window.orderBy(PART), Window.partitionBy(F.lit(0))
-    offsets = per_part.select(
-        PART,
-        *[(F.sum(f"{out}_size").over(by_part) - F.col(f"{out}_size")).alias(f"{out}_before") for out in sums],
-        *[F.sum(f"{out}_size").over(all_parts).alias(f"{out}_total") for out in sums],
-        *[F.lead(f"{c}_first").over(by_part).alias(f"{c}_after") for c in sums.values()],
-    )
-    local = Window.partitionBy(PART).orderBy(order)
+    # One row per range.
+    found = sorted(ranges.groupBy(PART).agg(
+        *[F.max(name).alias(name) for name in local.values()], *[first(c, value).alias(c) for c in at]).collect(), key=lambda r: r[PART])
+    offsets = []
+    for k, r in enumerate(found):
+        after = found[k + 1] if k + 1 < len(found) else None
+        offsets.append((
+            r[PART], *[sum(x[name] for x in found[:k]) for name in local.values()], *[sum(x[name] for x in found) for name in local.values()],
+            *[None if after is None else int(after[c]) for c in at]))
+    kinds = ", ".join([f"{PART} int", *[f"`{out}_before` long" for out in sums], *[f"`{out}_total` long" for out in sums], *[f"`{c}_after` long" for c in at]])
+    offsets = df.sparkSession.createDataFrame(offsets, kinds)
     return (
         ranges.join(F.broadcast(offsets), PART)
         .withColumns({
-            **{out: F.col(f"{out}_before") + F.sum(c).over(local) for out, c in sums.items()},
-            **{f"{c}_next": F.coalesce(F.lead(c).over(local), F.col(f"{c}_after")) for c in sums.values()},
+            **{out: F.col(f"{out}_before") + F.col(name) for out, name in local.items()},
+            **{f"{c}_next": F.coalesce(f"{c}_next", f"{c}_after") for c in at},
         })
-        .drop(PART, *[f"{out}_before" for out in sums], *[f"{c}_after" for c in sums.values()])
+        .drop(PART, *local.values(), *[f"{out}_before" for out in sums], *[f"{c}_after" for c in at])
     )

@@ -127,3 +127,15 @@ def test_density_integrates_to_one(spark, sf):
         mine = [r for r in rows if r["DefaultFlag"] == c]
         step = mine[1]["x"] - mine[0]["x"]
         assert len(mine) == 200 and 0.85 < sum(r["density"] for r in mine) * step <= 1.0
+
+
+def test_density_equals_the_kernel_sums(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate((rng.normal(40, 9, 700), rng.exponential(3, 200), [200.0])).round(3)
+    df = spark.createDataFrame([(int(k % 4 == 0), float(v)) for k, v in enumerate(values)], "DefaultFlag int, Age double")
+    grid = np.linspace(values.min(), values.max(), 200)
+    for r in eda.class_density(df, ["Age"]).collect():
+        own = values[[k % 4 == 0 for k in range(len(values))]] if r["DefaultFlag"] else values[[k % 4 != 0 for k in range(len(values))]]
+        width = own.std(ddof=1) * len(own) ** -0.2
+        want = np.exp(-0.5 * ((grid[r["point"]] - own) / width) ** 2).sum() / (len(own) * width * np.sqrt(2 * np.pi))
+        assert r["density"] == pytest.approx(want, abs=1e-14)

@@ -56,3 +56,22 @@ def test_running_totals(spark, xs, descending):
     assert [r["upto"] for r in rows] == list(np.cumsum(counts))
     assert {r["upto_total"] for r in rows} == {len(xs)}
     assert [r["n_next"] for r in rows] == [*counts[1:], None]
+
+
+def test_brackets_are_tight_for_values_in_order(spark):
+    """A slice of the tasks then sees a small part of the range only."""
+    df = spark.range(0, 400_000, 1, 16).select((F.col("id") / 7).alias("x"), (F.col("id") % 2).alias("g"))
+    for r in ranks._brackets(df, ["x"], [0.25, 0.5, 0.9], ["g"], ranks.SKETCH_ACCURACY):
+        _, _, q, lo, hi, rows = r
+        place = q * 400_000 / 7
+        assert lo <= place <= hi and (hi - lo) * 7 < 0.03 * 400_000 and rows == 200_000
+    found = ranks.bracketed_quantiles(df, ["x"], [0.25, 0.5, 0.9])
+    assert {r["q"]: r["value"] for r in found.collect()} == pytest.approx({q: q * 399_999 / 7 for q in (0.25, 0.5, 0.9)})
+
+
+def test_totals_are_added_where_the_ranges_lie(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).cast("double").alias("v"), F.lit(2).cast("long").alias("n"))
+    found = ranks.running_totals(df, "v", {"upto": "n"})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+    assert all(r["upto"] == 2 * (r["v"] + 1) and r["upto_total"] == 10_000 for r in found.collect())
