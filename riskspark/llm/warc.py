@@ -31,6 +31,8 @@ MEMBER_BYTES = 4_000_000
 PACKAGE_MEMBERS = 64
 #: Bytes that one range read takes at most, if a record is not longer.
 READ_BYTES = 4_000_000
+#: Bytes of members that one task reads.
+TASK_BYTES = 32_000_000
 
 #: Marks and sizes of the ZIP format.
 END_MARK, END64_MARK, LOCATOR_MARK, ENTRY_MARK, LOCAL_MARK = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
@@ -291,13 +293,15 @@ RECORD_FIELDS = pa.schema([
 ])
 
 
-def read(packages: DataFrame, uri_col: str = "uri") -> DataFrame:
+def read(packages: DataFrame, uri_col: str = "uri", task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row per record of the packages named in `uri_col`.
 
-    Directories are read first; the stored members are then dealt over all
-    tasks, and each member's records are read by the ranges its index names,
-    neighbours together. A deflated archive member, or one without an index,
-    is an error. Null URIs are left out.
+    Directories are read first; the stored members are then dealt out to one
+    task for each `task_bytes` of them (as many tasks as there are cores, at
+    least, while there are members), and each member's records are read by the
+    ranges its index names, neighbours together. A deflated archive member, or
+    one without an index, is an error. Null URIs are left out. No packages give
+    no records.
     """
     def locate(batches):
         for batch in batches:
@@ -310,9 +314,9 @@ def read(packages: DataFrame, uri_col: str = "uri") -> DataFrame:
                             index = found.get(f"indexes/{m[1]}.cdxj")
                             if index is None:
                                 raise ValueError(f"{name} has no index")
-                            rows.append((uri, data_offset(ranges, member), data_offset(ranges, index), index["size"]))
+                            rows.append((uri, data_offset(ranges, member), member["size"], data_offset(ranges, index), index["size"]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["uri", "at", "index_at", "index_size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["uri", "at", "size", "index_at", "index_size"])
 
     def fetch(batches):
         for batch in batches:
@@ -331,8 +335,15 @@ def read(packages: DataFrame, uri_col: str = "uri") -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, RECORD_FIELDS)
                         k = n
 
-    found = packages.where(F.col(uri_col).isNotNull()).select(uri_col).mapInArrow(locate, "uri string, at long, index_at long, index_size long")
-    return found.repartition(F.col("uri"), F.col("at")).mapInArrow(fetch, RECORDS)
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    packages = packages.where(F.col(uri_col).isNotNull()).select(uri_col)
+    found = stage(
+        packages.repartition(max(1, min(packages.count(), 4 * cores)))
+        .mapInArrow(locate, "uri string, at long, size long, index_at long, index_size long"), "members")
+    total = found.agg(F.count("*").alias("members"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    # A given number of tasks stays, however small the rows that name the members are.
+    tasks = max(1, min(total["members"], max(-(-total["size"] // task_bytes), cores)))
+    return found.repartition(tasks).select("uri", "at", "index_at", "index_size").mapInArrow(fetch, RECORDS)
 
 
 def digests(records: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import io
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from riskspark.llm import warc
@@ -53,6 +54,16 @@ def test_given_pages(spark, sf, tmp_path):
         assert package.testzip() is None and all(i.compress_type == zipfile.ZIP_STORED for i in package.infolist())
 
 
+def test_members_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(k, "u", hashlib.sha256(str(k).encode()).hexdigest() * 40) for k in range(400)]
+    packages = warc.write(table(spark, rows).coalesce(1), f"file://{tmp_path}/w", member_bytes=10_000)
+    records = warc.read(packages, task_bytes=1)
+    per_task = records.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)])], names=["n"]) for _ in (0,)), "n long")
+    sizes = [r["n"] for r in per_task.collect()]
+    assert sum(sizes) == 400 and len([n for n in sizes if n]) > 8 and max(sizes) < 100
+    assert packages.count() == 1 and got(records) == brute(rows)
+
+
 def test_empty_table(spark, tmp_path):
     none = table(spark, CASES).limit(0)
     assert warc.digests(warc.read(warc.write(none, f"file://{tmp_path}/w"))).count() == 0
