@@ -6,7 +6,6 @@ attribution per feature), with base + sum(phi) equal to the model's output.
 """
 
 import uuid
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -14,12 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.operators.boosting import BoostedTreesModel
-from riskspark.operators.forest import Nodes, of_spark_trees
+from riskspark.operators.forest import Nodes, of_spark_trees, whole_trees
 from riskspark.session import shared_dir
 
 # Nodes that the driver holds and a broadcast carries at once.
 SLICE_NODES = 500_000
-CELLS = 2_000_000  # numbers per numpy block
+CELLS = 20_000  # numbers per numpy block
 
 
 # --- Importance ------------------------------------------------------------
@@ -68,50 +67,6 @@ def linear_attributions(df: DataFrame, intercept, weights, centres, scales, mean
 
 # --- Tree attributions -----------------------------------------------------
 
-@dataclass
-class Leaves:
-    """Leaves with the same number of distinct features on their path.
-
-    A row meets condition k of a leaf when lower < x[feature] <= upper;
-    `share` is the part of the training weight that does.
-    """
-
-    feature: np.ndarray
-    lower: np.ndarray
-    upper: np.ndarray
-    share: np.ndarray
-    value: np.ndarray
-
-
-def model_leaves(spark, model: PipelineModel, slice_nodes=SLICE_NODES):
-    """Yields (groups of Leaves, base) of some trees of a model after the other.
-
-    Reads the nodes of the saved model; values are P(1) contributions, or
-    log-odds contributions for a boosted model. Attributions and bases add up
-    over trees, so a model of any size is taken in slices of whole trees.
-    """
-    last = model.stages[-1]
-    if isinstance(last, BoostedTreesModel):
-        yield from _grown_leaves(last.nodes, slice_nodes)
-        return
-    nodes, weights = stored_nodes(spark, last)
-    sizes = {r["treeID"]: r["n"] for r in nodes.groupBy("treeID").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slices = [[]]
-    for t in sorted(sizes):
-        if slices[-1] and sum(sizes[u] for u in slices[-1]) + sizes[t] > slice_nodes:
-            slices.append([])
-        slices[-1].append(t)
-    for own in slices:
-        rows = nodes.where(F.col("treeID").between(own[0], own[-1])).collect()
-        trees = {}
-        for r in rows:
-            trees.setdefault(r["treeID"], {})[r["id"]] = r
-        paths = []
-        for t, tree in trees.items():
-            paths += _paths(tree, weights[t])
-        yield _groups(paths)
-
-
 def stored_nodes(spark, last) -> tuple[DataFrame, list]:
     """(nodes, weight of each tree) of a fitted Spark tree or forest, read from its storage."""
     path = f"{shared_dir(spark)}/nodes-{last.uid}-{uuid.uuid4().hex}"
@@ -125,12 +80,15 @@ def stored_nodes(spark, last) -> tuple[DataFrame, list]:
         weights = [1.0]
     split = F.col("split")
     return nodes.select(
-        "treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild",
+        "treeID", "id", "impurityStats", "leftChild", "rightChild",
         split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold")), weights
 
 
 def flat_nodes(spark, model: PipelineModel) -> Nodes | None:
-    """All nodes of a tree model as one table; None for a linear model."""
+    """All nodes of a tree model as one table; None for a linear model.
+
+    Values are shares of P(1), or log-odds for a boosted model.
+    """
     last = model.stages[-1]
     if isinstance(last, BoostedTreesModel):
         return last.nodes
@@ -140,107 +98,91 @@ def flat_nodes(spark, model: PipelineModel) -> Nodes | None:
     return of_spark_trees(nodes.collect(), weights[0])
 
 
-def _groups(paths):
-    groups = {}
-    for value, conditions in paths:
-        groups.setdefault(len(conditions), []).append((value, conditions))
-    base = sum(value * np.prod([c[3] for c in conditions]) for value, conditions in paths)
-    return [_pack(g) for d, g in sorted(groups.items()) if d > 0], float(base)
+def base_value(nodes: Nodes) -> float:
+    """The mean output over the training rows: every leaf by its share of its tree's cover."""
+    tree = np.searchsorted(nodes.roots, np.arange(len(nodes.left)), "right") - 1
+    return float((nodes.value * nodes.leaf * nodes.cover / nodes.cover[nodes.roots][tree]).sum())
+
+
+class _Factor:
+    """What a feature's conditions on the way to a node let through.
+
+    share: of the training rows; met: which rows; term: both at the places of
+    the integral; deep: sums of what lies under later conditions of the feature.
+    """
 
+    def __init__(self, share, met, t):
+        self.share, self.met, self.deep = share, met, None
+        self.term = share * (1 - t) + met[:, None] * t
 
-def _paths(tree, scale):
-    """[(value, [(feature, lower, upper, share)])] of one tree's leaves."""
-    def weight(node):
-        return sum(node["impurityStats"])
 
-    found, todo = [], [(tree[0], {})]
+def _most_features(nodes: Nodes, root: int) -> int:
+    """The largest number of distinct features on a way from the root."""
+    todo, most = [(root, frozenset())], 1
     while todo:
-        node, conditions = todo.pop()
-        if node["leftChild"] < 0:
-            stats = node["impurityStats"]
-            found.append((scale * stats[1] / sum(stats), [(f, *c) for f, c in sorted(conditions.items())]))
-            continue
-        left, right = tree[node["leftChild"]], tree[node["rightChild"]]
-        todo += _down(conditions, node["feature"], node["threshold"], (left, weight(left)), (right, weight(right)), weight(node))
-    return found
-
-
-def _down(conditions, f, threshold, left, right, total):
-    """Both children of a node with the conditions of their paths."""
-    lower, upper, share = conditions.get(f, (-np.inf, np.inf, 1.0))
-    return [
-        (left[0], {**conditions, f: (lower, min(upper, threshold), share * left[1] / total)}),
-        (right[0], {**conditions, f: (max(lower, threshold), upper, share * right[1] / total)}),
-    ]
-
-
-def _grown_leaves(nodes, slice_nodes):
-    """The same for trees that add up to log-odds, in slices of whole trees."""
-    paths, size = [], 0
-    for k, root in enumerate(nodes.roots):
-        own = nodes.tree(k)
-        if paths and size + own.stop - own.start > slice_nodes:
-            yield _groups(paths)
-            paths, size = [], 0
-        size += own.stop - own.start
-        todo = [(int(root), {})]
-        while todo:
-            at, conditions = todo.pop()
-            left, right = int(nodes.left[at]), int(nodes.right[at])
-            if left == at:
-                paths.append((float(nodes.value[at]), [(f, *c) for f, c in sorted(conditions.items())]))
-                continue
-            cover = nodes.cover
-            todo += _down(conditions, int(nodes.feature[at]), float(nodes.threshold[at]), (left, cover[left]), (right, cover[right]), cover[at])
-    if paths:
-        yield _groups(paths)
-
-
-def _pack(group) -> Leaves:
-    table = np.array([c for _, c in group], dtype=float)
-    return Leaves(table[..., 0].astype(int), table[..., 1], table[..., 2], table[..., 3],
-                  np.array([v for v, _ in group], dtype=float))
-
-
-def leaf_attributions(x: np.ndarray, groups) -> np.ndarray:
+        at, seen = todo.pop()
+        most = max(most, len(seen))
+        if nodes.left[at] != at:
+            seen = seen | {int(nodes.feature[at])}
+            todo += [(int(nodes.left[at]), seen), (int(nodes.right[at]), seen)]
+    return most
+
+
+def path_attributions(x: np.ndarray, nodes: Nodes) -> np.ndarray:
     """Shapley values of path-dependent trees for a block of rows.
 
     In a leaf's game a player's weight is a Beta integral over t of the other
-    players' mixed terms share (1 - t) + met t, a polynomial in t, so a
-    Gauss-Legendre sum of half its degree is exact.
+    players' terms share (1 - t) + met t, a polynomial in t, so a Gauss-Legendre
+    sum of half its degree is exact. The product of all terms goes down the tree
+    as its values at those places; the leaves' products, times their values, are
+    added up on the way back. An edge then gives its feature the sum below it
+    without its own term, less what later conditions of that feature take over.
+    So the work is that of the edges, not of the leaves times their conditions.
     """
-    phi = np.zeros_like(x)
-    for g in groups:
-        depth = g.feature.shape[1]
-        nodes, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
-        step = max(1, CELLS // max(1, len(x) * depth))
-        for a in range(0, len(g.value), step):
-            part = slice(a, a + step)
-            seen = x[:, g.feature[part]]
-            met = ((seen > g.lower[part]) & (seen <= g.upper[part])).astype(float)
-            share = g.share[part]
-            total = np.zeros_like(met)
-            for t, w in zip((nodes + 1) / 2, weights / 2):
-                terms = share * (1 - t) + met * t
-                total += w * terms.prod(axis=2, keepdims=True) / terms
-            each = (g.value[part][:, None] * (met - share) * total).reshape(len(x), -1)
-            owner = g.feature[part].ravel()
-            order = np.argsort(owner, kind="stable")
-            features, starts = np.unique(owner[order], return_index=True)
-            phi[:, features] += np.add.reduceat(each[:, order], starts, axis=1)
+    phi = np.zeros_like(x, dtype=float)
+    for root in nodes.roots:
+        places, weights = np.polynomial.legendre.leggauss((_most_features(nodes, int(root)) + 1) // 2)
+        t, weights = (places + 1) / 2, weights / 2
+        step = max(1, CELLS // len(t))
+        for a in range(0, len(x), step):
+            rows = x[a:a + step]
+            _explain_node(rows, nodes, int(root), np.ones((len(rows), len(t))), {}, t, weights, phi[a:a + step])
     return phi
 
 
+def _explain_node(x, nodes, at, product, factors, t, weights, phi):
+    """The sum over the leaves below a node of value times product; adds to phi on the way."""
+    left, right = int(nodes.left[at]), int(nodes.right[at])
+    if left == at:
+        return nodes.value[at] * product
+    f, total = int(nodes.feature[at]), 0.0
+    above = factors.get(f)
+    others = product / above.term if above else product
+    goes = x[:, f] <= nodes.threshold[at]
+    for child, hit in ((left, goes), (right, ~goes)):
+        share = nodes.cover[child] / nodes.cover[at] * (above.share if above else 1.0)
+        own = factors[f] = _Factor(share, hit & above.met if above else hit, t)
+        below = _explain_node(x, nodes, child, others * own.term, factors, t, weights, phi)
+        without = (below if own.deep is None else below - own.deep) / own.term
+        phi[:, f] += (own.met - share) * (without @ weights)
+        total = total + below
+    if above:
+        factors[f] = above
+        above.deep = total if above.deep is None else above.deep + total
+    else:
+        del factors[f]
+    return total
+
+
 def tree_attributions(df: DataFrame, model: PipelineModel, vector="features", partitions=None) -> DataFrame:
     """Add base, x, phi to every row; Arrow batches, no shuffle.
 
     Every row is much work: `partitions` spreads a small frame over the cores.
+    Attributions add up over trees, so a large model is sent in slices of them.
     """
     spark = df.sparkSession
-    sent, base = [], 0.0
-    for groups, part in model_leaves(spark, model):
-        sent.append(spark.sparkContext.broadcast(groups))
-        base += part
+    nodes = flat_nodes(spark, model)
+    base, sent = base_value(nodes), [spark.sparkContext.broadcast(part) for part in whole_trees(nodes, SLICE_NODES)]
     keep = [c for c in df.columns if c != vector]
     rows = df.select(*keep, vector_to_array(vector).alias("x"))
     if partitions:
@@ -251,7 +193,7 @@ def tree_attributions(df: DataFrame, model: PipelineModel, vector="features", pa
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["x"].to_numpy()).astype(float)
-                yield batch.assign(phi=list(sum(leaf_attributions(x, groups.value) for groups in sent)))
+                yield batch.assign(phi=list(sum(path_attributions(x, part.value) for part in sent)))
 
     return rows.mapInPandas(explain, schema).withColumn("base", F.lit(base))
 

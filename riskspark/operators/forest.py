@@ -99,6 +99,19 @@ def of_spark_trees(nodes, weight: float) -> Nodes:
     return from_rows(out)
 
 
+def whole_trees(nodes: Nodes, most: int) -> list[Nodes]:
+    """The same trees in parts of at most `most` nodes, or of one tree."""
+    ends = np.append(nodes.roots[1:], len(nodes.left))
+    parts, first = [], 0
+    for k in range(len(ends)):
+        if k + 1 == len(ends) or ends[k + 1] - nodes.roots[first] > most:
+            a, b = int(nodes.roots[first]), int(ends[k])
+            own = [getattr(nodes, c)[a:b] for c in ("feature", "threshold", "left", "right", "value", "cover", "gain")]
+            parts.append(Nodes(own[0], own[1], own[2] - a, own[3] - a, *own[4:], nodes.roots[first:k + 1] - a, nodes.depth))
+            first = k + 1
+    return parts
+
+
 def _depth(nodes: Nodes) -> int:
     at, depth = nodes.roots, 0
     while True:

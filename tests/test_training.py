@@ -73,25 +73,33 @@ def test_attributions_add_up(train, models, name):
     assert gap < 1e-9
 
 
-def test_tree_attributions_equal_subset_enumeration(spark, train, models):
-    [(groups, base)] = explain.model_leaves(spark, models["Random Forest"])
-    x = np.array([r["features"].toArray() for r in train.limit(15).collect()])
-
-    def value(row, known):
-        total = base - sum(float(g.value @ g.share.prod(axis=1)) for g in groups)
-        for g in groups:
-            for f, lo, hi, z, v in zip(g.feature, g.lower, g.upper, g.share, g.value):
-                terms = [(float(a < row[j] <= b) if j in known else s) for j, a, b, s in zip(f, lo, hi, z)]
-                total += v * np.prod(terms)
-        return total
-
+@pytest.mark.parametrize("name", ["Random Forest", "Leaf-limited Boosted Trees", "Deep"])
+def test_tree_attributions_equal_subset_enumeration(spark, train, models, name):
     from math import factorial
 
-    for row, phi in zip(x, explain.leaf_attributions(x, groups)):
+    if name == "Deep":  # features come again on the way down
+        model = training.build("Decision Tree", {"max_depth": 7}).fit(train)
+    else:
+        model = models[name]
+    nodes = explain.flat_nodes(spark, model)
+    x = np.array([r["features"].toArray() for r in train.limit(15).collect()])
+
+    def value(row, known, at):
+        """The mean output where only the features in `known` are looked at."""
+        left, right = nodes.left[at], nodes.right[at]
+        if left == at:
+            return nodes.value[at]
+        if nodes.feature[at] in known:
+            return value(row, known, left if row[nodes.feature[at]] <= nodes.threshold[at] else right)
+        return sum(nodes.cover[c] / nodes.cover[at] * value(row, known, c) for c in (left, right))
+
+    total = lambda row, known: sum(value(row, known, r) for r in nodes.roots)
+    assert explain.base_value(nodes) == pytest.approx(total(x[0], set()), abs=1e-9)
+    for row, phi in zip(x, explain.path_attributions(x, nodes)):
         for j in range(3):
             others = [k for k in range(3) if k != j]
             expected = sum(
-                factorial(len(s)) * factorial(2 - len(s)) / 6 * (value(row, {*s, j}) - value(row, set(s)))
+                factorial(len(s)) * factorial(2 - len(s)) / 6 * (total(row, {*s, j}) - total(row, set(s)))
                 for n in range(3) for s in itertools.combinations(others, n))
             assert phi[j] == pytest.approx(expected, abs=1e-9)
 
@@ -160,8 +168,8 @@ def test_slices_of_trees_add_up(spark, train, models, name, monkeypatch):
     rows = train.select("LoanID", "features").limit(40)
     whole = {r["LoanID"]: r for r in explain.attributions(rows, models[name]).collect()}
     monkeypatch.setattr(explain, "SLICE_NODES", 1)
-    assert len(list(explain.model_leaves(spark, models[name], 1))) > 1
-    monkeypatch.setattr(explain.model_leaves, "__defaults__", (1,))
+    nodes = explain.flat_nodes(spark, models[name])
+    assert len(explain.whole_trees(nodes, 1)) == len(nodes.roots) > 1
     for r in explain.attributions(rows, models[name]).collect():
         assert np.allclose(r["phi"], whole[r["LoanID"]]["phi"]) and abs(r["base"] - whole[r["LoanID"]]["base"]) < 1e-9
 
