@@ -1,17 +1,18 @@
 """Byte-pair encoding of whole texts, and decoding.
 
-Text is first cut where the vocabulary's splitting pattern always cuts: before
-a white-space character that follows another kind of character. Segments
-between such places are encoded on their own, with the same ids as in the whole
-text. A long stretch without such a place is encoded as a tree: both halves on
-their own, then, around each join, a growing window again, until its first and
-last tokens are tokens of the left and right half. Neighbouring tokens of a
-byte-pair encoding depend on each other only in pairs, so an agreeing window
-makes the joined sequence the encoding of the whole.
-
-Short texts are encoded where they are read. A text of more than `long_chars`
-is dealt out as leaves, which tasks encode in parallel, and is joined again
-from its leaves' ids alone.
+A text of more than `long_chars` is cut into leaves at any place, which tasks
+encode in parallel, and joined again as a tree from its leaves' ids alone:
+around each join a window is encoded again, and grows until both sides agree.
+
+* Within words, numbers and spaces, a window ends where the vocabulary's
+  splitting pattern always cuts, before a white-space character that follows
+  another kind of character, and its first and last tokens must be tokens of the
+  left and the right part. What lies outside has the same ids in the whole text.
+* A long piece that the pattern does not cut has leaves of its own. Neighbouring
+  tokens of one piece depend on each other only in pairs, so a window whose
+  first and last tokens agree makes the joined sequence the piece's encoding.
+
+Shorter texts are encoded where they are read.
 """
 
 import base64
@@ -22,10 +23,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from riskspark.llm import arrow
+
 #: Texts with more characters are encoded by several tasks.
-LONG_CHARS = 262_144
+LONG_CHARS = 16_384
 #: Characters in a leaf.
-LEAF_CHARS = 32_768
+LEAF_CHARS = 4_096
+#: Bytes of text that a task turns into ids at once.
+BATCH_BYTES = 2_000_000
 #: Tokens on either side of a join in the first window; doubled until it agrees.
 WINDOW = 8
 
@@ -83,6 +88,27 @@ class Coder:
                 return left[:a] + middle + right[b:]
             window *= 2
 
+    def join_text(self, left: list[int], right: list[int], window: int = WINDOW) -> list[int]:
+        """Ids of a text from those of its two parts, cut anywhere."""
+        if not left or not right:
+            return left or right
+        while True:
+            a, b = max(0, len(left) - window), min(len(right), window)
+            while a > 0 and not self.safe(left, a):
+                a -= 1
+            while b < len(right) and not self.safe(right, b):
+                b += 1
+            middle = self.bpe.encode_ordinary((self.bytes(left[a:]) + self.bytes(right[:b])).decode())
+            starts = a == 0 or middle[0] == left[a]
+            ends = b == len(right) or middle[-1] == right[b - 1]
+            if starts and ends:
+                return left[:a] + middle + right[b:]
+            window *= 2
+
+    def safe(self, ids: list[int], k: int) -> bool:
+        """Whether the pattern cuts before the k-th token whatever stands around."""
+        return self.bytes(ids[k:k + 1])[0] in b" \n\t\r" and 0x20 < self.bytes(ids[k - 1:k])[-1] < 0x7F
+
     def segments(self, text: str):
         """(part, whether it is a special token) in order."""
         at = 0
@@ -110,22 +136,30 @@ def stretches(text: str, leaf: int) -> list[str]:
 def leaves(text: str, coder: Coder, leaf: int = LEAF_CHARS) -> list[tuple[bytes, str]]:
     """A long text as (part, kind) for encoding apart.
 
-    kind is `text` (encode as it is), `special`, or, for a piece without a safe
-    place, `first` and then `next` (parts to be joined to the one before).
+    kind is `text` and then `more` (text to be joined to the one before),
+    `special`, or, for a long piece that is not cut, `first` and then `next`.
     """
     out: list[tuple[bytes, str]] = []
     for segment, special in coder.segments(text):
         if special:
             out.append((segment.encode(), "special"))
             continue
+        held: list[str] = []
         for stretch in stretches(segment, leaf):
             if len(stretch) <= 2 * leaf:
-                out.append((stretch.encode(), "text"))
+                held.append(stretch)
                 continue
-            out += _unsplit(coder.split.findall(stretch), leaf)
+            out += _cut("".join(held), leaf) + _unsplit(coder.split.findall(stretch), leaf)
+            held = []
+        out += _cut("".join(held), leaf)
     return out
 
 
+def _cut(text: str, leaf: int) -> list[tuple[bytes, str]]:
+    """Text in parts of `leaf` characters, wherever that cuts it."""
+    return [(text[k:k + leaf].encode(), "more" if k else "text") for k in range(0, len(text), leaf)]
+
+
 def _unsplit(pieces: list[str], leaf: int) -> list[tuple[bytes, str]]:
     """Pieces of a stretch, short ones together, long ones in parts."""
     out, short, size = [], [], 0
@@ -147,13 +181,13 @@ def joined(coder: Coder, parts: list[tuple[str, list[int]]]) -> list[int]:
     ids: list[int] = []
     k = 0
     while k < len(parts):
-        run = [parts[k][1]]
+        run, join = [parts[k][1]], coder.join if parts[k][0] == "first" else coder.join_text
         k += 1
-        while k < len(parts) and parts[k][0] == "next":
+        while k < len(parts) and parts[k][0] in ("next", "more"):
             run.append(parts[k][1])
             k += 1
         while len(run) > 1:
-            run = [coder.join(run[i], run[i + 1]) if i + 1 < len(run) else run[i] for i in range(0, len(run), 2)]
+            run = [join(run[i], run[i + 1]) if i + 1 < len(run) else run[i] for i in range(0, len(run), 2)]
         ids += run[0]
     return ids
 
@@ -164,20 +198,22 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     `ranks` is the path of a file of token ranks. A null or empty text has no
     ids. Null and repeated ids are kept, each row on its own. Other columns are
-    ignored. Texts of more than `long_chars` characters are encoded as leaves
-    in parallel, all others where they are read.
+    ignored. An empty table gives no rows. Texts of more than `long_chars`
+    characters are encoded as leaves in parallel, all others where they are read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary"
 
     def short(batches):
         coder = Coder.load(ranks)
-        for batch in batches:
-            ids = [np.array(coder.encode(t), "<u4") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+        for whole in batches:
+            for i, j in arrow.slices(arrow.utf8(whole.column(1))[1], BATCH_BYTES):
+                batch = whole.slice(i, j - i)
+                ids = [np.array(coder.encode(t), "<u4") for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    names=["doc_id", "n_tokens", "ids"],
+                )
 
     def cut(batches):
         coder = Coder.load(ranks)
@@ -200,7 +236,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
                 if kind == "special":
                     got = [SPECIAL[part.decode()]]
                 else:
-                    got = coder.bpe.encode_ordinary(part.decode()) if kind == "text" else coder.piece(part)
+                    got = coder.bpe.encode_ordinary(part.decode()) if kind in ("text", "more") else coder.piece(part)
                 ids.append(np.array(got, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], names=["doc_id", "row", "leaf", "kind", "ids"])
 
@@ -230,7 +266,7 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", out_col: str =
 
     def texts(batches):
         coder = Coder.load(ranks)
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in arrow.slices(arrow.utf8(b.column(at))[1], BATCH_BYTES)):
             found = [None if i is None else coder.decode(np.frombuffer(i, "<u4").tolist()) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], pa.array(found, pa.string())], names=[*keep, out_col])
 

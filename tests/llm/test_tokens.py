@@ -84,7 +84,7 @@ def test_leaves_join_to_the_whole(text, leaf):
         if kind == "special":
             parts.append((kind, [bpe.SPECIAL[data.decode()]]))
         else:
-            parts.append((kind, coder.bpe.encode_ordinary(data.decode()) if kind == "text" else coder.piece(data)))
+            parts.append((kind, coder.bpe.encode_ordinary(data.decode()) if kind in ("text", "more") else coder.piece(data)))
     assert bpe.joined(coder, parts) == tokenizer.encode(text, add_special_tokens=False).ids == coder.encode(text)
 
 
@@ -92,7 +92,7 @@ def test_leaves_join_to_the_whole(text, leaf):
 def test_long_piece_without_a_split(letters, byte_tokenizer):
     rng, coder = random.Random(3), bpe.Coder.load(RANKS)
     text = "".join(rng.choice(letters) for _ in range(6000))
-    parts = [(k, coder.encode(d.decode()) if k == "text" else coder.piece(d)) for d, k in bpe.leaves(text, coder, 257)]
+    parts = [(k, coder.encode(d.decode()) if k in ("text", "more") else coder.piece(d)) for d, k in bpe.leaves(text, coder, 257)]
     assert len(parts) > 10
     assert bpe.joined(coder, parts) == byte_tokenizer.encode(text, add_special_tokens=False).ids
 
