@@ -30,8 +30,10 @@ SAMPLE = 8192
 CELLS, ROUNDS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 6
 #: Seconds for a row in a cell, and for a pair compared there.
 ROW_COST, PAIR_COST = 2e-5, 1e-8
-#: Vectors in a block.
-BLOCK = 1024
+#: Vectors in a block, and bytes of them; a block pair meets in one task.
+BLOCK, BLOCK_BYTES = 8192, 4_000_000
+#: Vectors of a block that one product takes at once.
+PROBES = 512
 
 
 def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -116,7 +118,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     lengths. n_links counts the other rows linked directly, copies included;
     component_id is the smallest id reachable, itself included; kept says that
     it is the row's own. Rows that share an id are one node of the components.
-    Other columns are ignored.
+    Other columns are ignored. An empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -181,7 +183,8 @@ def _compared(copies: DataFrame, cosine: float) -> DataFrame:
         place, f"vec_id {kinds['vec_id']}, label {kinds['label']}, size int, copies long, cell int, home boolean, v binary",
     ), "placed")
     unit = ["label", "size", "cell"]
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = F.least(F.lit(BLOCK), F.greatest(F.lit(256), F.floor(F.lit(BLOCK_BYTES) / (4 * F.col("size")))))
+    blocks = F.ceil(F.col("n") / rows).cast("int")
     sizes = placed.groupBy(*unit).agg(F.count("*").alias("n")).withColumn("blocks", F.greatest(blocks, F.lit(1))).drop("n")
     sizes = stage(sizes, "cells").select(*[F.col(c).alias(f"_{c}") for c in unit], "blocks")
     dealt = placed.join(sizes, [F.col(c) == F.col(f"_{c}") for c in unit]).drop(*[f"_{c}" for c in unit])
@@ -196,14 +199,17 @@ def _compared(copies: DataFrame, cosine: float) -> DataFrame:
         out_ids, out_links, out_roots = [], [], []
         if probe.any() and not probe.all():
             x = _unit(table.column("v").to_pylist())
-            near = x[probe] @ x[~probe].T >= cosine
-            near &= ids[probe][:, None] != ids[~probe][None, :]
-            if near.any():
-                node, root = _forest(near, ids[probe], ids[~probe])
-                links = near @ weight[~probe].astype(np.float64)
-                out_ids += [ids[probe][links > 0], node]
-                out_links += [links[links > 0].astype(np.int64), np.zeros(len(node), np.int64)]
-                out_roots += [ids[probe][links > 0], root]
+            residents, copies = x[~probe], weight[~probe].astype(np.float64)
+            for k in range(0, int(probe.sum()), PROBES):
+                own = ids[probe][k:k + PROBES]
+                near = x[probe][k:k + PROBES] @ residents.T >= cosine
+                near &= own[:, None] != ids[~probe][None, :]
+                if near.any():
+                    node, root = _forest(near, own, ids[~probe])
+                    links = near @ copies
+                    out_ids += [own[links > 0], node]
+                    out_links += [links[links > 0].astype(np.int64), np.zeros(len(node), np.int64)]
+                    out_roots += [own[links > 0], root]
         empty = np.zeros(0, np.int64)
         return pa.table({
             "vec_id": pa.array(np.concatenate(out_ids or [empty]), pa.int64()), "links": pa.array(np.concatenate(out_links or [empty]), pa.int64()),
