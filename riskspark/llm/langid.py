@@ -282,7 +282,9 @@ def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_co
     Every byte of the whole text is labelled. score is the mean chance of the
     predicted language. A text that is null or has no letter gets `und` and 0,
     and so does every text if no language was learnt. Null and repeated ids
-    are kept, each row on its own. Other columns are ignored.
+    are kept, each row on its own. Other columns are ignored. An empty table
+    gives no rows. A very long text is a slice of its own, cut into windows of
+    bounded size like any other.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     load, kind = _sent(docs, model), source.schema["doc_id"].dataType.simpleString()
@@ -302,7 +304,11 @@ def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_co
 
 
 def accepted(docs: DataFrame, model: Identifier, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known with `least_score` or more; all columns stay."""
+    """The rows whose language is known with `least_score` or more; all columns stay.
+
+    Null and empty texts and those without a letter go. Every row is judged on
+    its own: repeated rows and ids stay or go alike. An empty table gives no rows.
+    """
     at, load = docs.columns.index(text_col), _sent(docs, model)
 
     def scan(batches):

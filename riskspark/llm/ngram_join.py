@@ -536,7 +536,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Jaccard similarity is PERCENT or more; component_id is the smallest doc_id
     reachable. A null text or one without words has an empty set and links with
     nothing, nor does a row without a doc_id. Rows that share a doc_id are one
-    document to the links. Other columns are ignored.
+    document to the links. Other columns are ignored. An empty table gives no
+    rows. A very long text is one set, held whole by a task.
     """
     found = _profiled(docs, id_col, text_col, limits)
     possible = found.where("digest is not null and doc_id is not null")

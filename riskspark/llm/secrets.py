@@ -76,7 +76,8 @@ def find_secrets(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col:
     `ranks` is the path of a tiktoken rank file. A null or empty text has no
     spans; null and repeated ids are kept, each row on its own; other columns
     are ignored. Spans of the token test may overlap base spans, which always
-    stay. Whole texts are searched, in one pass without a shuffle.
+    stay. An empty table gives no rows. Whole texts are searched, very long ones
+    too, in time linear in their length, in one pass without a shuffle.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:long,end:long,kind:string>>"
@@ -99,7 +100,8 @@ def find_secrets(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col:
 def redact(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by `mark`; overlapping spans by one.
 
-    All other columns and texts without a span stay as they are.
+    All other columns and texts without a span stay as they are, null and empty
+    texts among them. Repeated rows change alike. An empty table gives no rows.
     """
     at, schema = docs.columns.index(text_col), docs.schema
 

@@ -256,7 +256,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     score is the noisy-or over all sentences of the whole text, 0 for a null
     or empty text. Positions are code points, ends exclusive. Null and repeated
-    ids are kept, each row on its own. Other columns are ignored.
+    ids are kept, each row on its own. Other columns are ignored. An empty table
+    gives no rows.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     load, kind = _sent(docs, model), source.schema["doc_id"].dataType.simpleString()
@@ -273,7 +274,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, toxic: float = TOXIC, text_col: str = "text") -> DataFrame:
-    """The rows with a score under `toxic`; all columns stay."""
+    """The rows with a score under `toxic`; all columns stay.
+
+    Null and empty texts score 0 and stay. Every row is judged on its own:
+    repeated rows and ids stay or go alike. An empty table gives no rows.
+    """
     at, load = docs.columns.index(text_col), _sent(docs, model)
 
     def scan(batches):

@@ -214,8 +214,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, member_
 
     Takes page_id, url, html; other columns are ignored. Package names are
     unique per attempt, and only those of finished tasks are in the result, so
-    a task that runs again or twice leaves no record double. An empty table
-    gives no package.
+    a task that runs again or twice leaves no record double. A null html is an
+    empty payload, a null url leaves its header out. A very long payload is one
+    record. An empty table gives no package.
     """
     rows = planned(pages, least_bytes).select("page_id", "url", "payload", "record_type", "refers_to", "payload_digest")
 
