@@ -2,8 +2,9 @@
 
 A byte-pair vocabulary spells words and identifiers with few tokens and random
 characters with many. A run of key characters that needs a token for every two
-or so characters is reported, after known digests, identifiers, numbers and
-addresses have been set aside.
+or so characters is a candidate; how few characters a token may spell depends on
+the run's length and kinds of characters. Known digests, identifiers, numbers
+and addresses are set aside then.
 """
 
 import re
@@ -23,9 +24,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Shortest candidate of the token test, and most characters a token of it spells on average.
-LEAST_CHARS = 20
-MOST_PER_TOKEN = 2.2
+#: Most characters that a token spells on average: (shortest run, limit) of runs
+#: with letters and digits, of letters in both cases, and of letters in one case.
+#: Of random runs as long, nine in ten and more are under it (see README).
+WITH_DIGITS = ((20, 2.2), (16, 1.8))
+MIXED_LETTERS = ((20, 2.0),)
+PLAIN_LETTERS = ((24, 1.9),)
+LEAST_CHARS = 16
+#: Characters that a token of a name spells on average, at least.
+NAME_PER_TOKEN = 1.7
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
 #: Digests (hex digits in one case, as many as a digest has), UUIDs, numbers with separators.
@@ -47,29 +54,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def random_spans(text: str, coder: Coder, most_per_token: float = MOST_PER_TOKEN) -> list[tuple[int, int, str]]:
+def _limit(run: str) -> float:
+    """Most characters a token of the run may spell if the run is to be random; 0 for runs that are not looked at."""
+    plain = run.islower() or run.isupper()
+    kinds = WITH_DIGITS if any(map(str.isdigit, run)) else PLAIN_LETTERS if plain else MIXED_LETTERS
+    return next((limit for least, limit in kinds if len(run) >= least), 0.0)
+
+
+def random_spans(text: str, coder: Coder) -> list[tuple[int, int, str]]:
     """(start, end, "token") of runs, or parts of them, that the vocabulary spells with many tokens."""
     found = []
 
     def look(start: int, end: int, cuts) -> None:
         run = text[start:end]
-        if len(run) < LEAST_CHARS or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            return
-        if KNOWN.fullmatch(run) or IDENTIFIER.fullmatch(run):
-            return
-        if len(run) <= most_per_token * len(coder.bpe.encode_ordinary(run)):
+        limit = _limit(run) if any(map(str.isalpha, run)) else 0.0
+        tokens = len(coder.bpe.encode_ordinary(run)) if limit else 0
+        if limit and len(run) <= limit * tokens and not _known(run, len(run) / tokens):
             found.append((start, end, "token"))
-        elif cuts:
+        elif cuts and len(run) > LEAST_CHARS:
             for m in cuts[0].finditer(run):
-                look(start + m.start(), start + m.end(), cuts[1:])
+                if m.end() - m.start() >= LEAST_CHARS:
+                    look(start + m.start(), start + m.end(), cuts[1:])
 
     for m in CANDIDATE.finditer(text):
         look(m.start(), m.end(), SEPARATORS)
     return found
 
 
-def find_secrets(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text",
-                 most_per_token: float = MOST_PER_TOKEN) -> DataFrame:
+def _known(run: str, per_token: float) -> bool:
+    """Digests, numbers, and identifiers. Random letters may look like a name, so of these only what tokens spell well is one."""
+    if KNOWN.fullmatch(run):
+        return True
+    plain = run.isalpha() and (run.islower() or run.isupper())
+    return not plain and per_token > NAME_PER_TOKEN and bool(IDENTIFIER.fullmatch(run))
+
+
+def find_secrets(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, spans (array of start, end, kind, base).
 
     Positions are code points, ends exclusive, ordered by start and then kind.
@@ -89,7 +109,7 @@ def find_secrets(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                spans = base_spans(text) + random_spans(text, coder, most_per_token) if text else []
+                spans = base_spans(text) + random_spans(text, coder) if text else []
                 spans.sort(key=lambda s: (s[0], rank[s[2]]))
                 rows.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])

@@ -58,6 +58,31 @@ def test_random_strings_are_found_and_names_are_not():
         assert not secrets.random_spans(f"see {name} here", coder), name
 
 
+KEYS = {  # alphabet, lengths, least share that is found
+    "key": (string.ascii_letters + string.digits, (20, 24, 40), 0.98), "short key": (string.ascii_letters + string.digits, (16, 18), 0.9),
+    "base64": (string.ascii_letters + string.digits + "+/", (24, 44), 0.98), "letters": (string.ascii_letters, (20, 32, 40), 0.98),
+    "small letters": (string.ascii_lowercase, (24, 32, 40), 0.85), "small letters and digits": (string.ascii_lowercase + string.digits, (20, 32), 0.95),
+}
+
+
+def test_planted_strings_are_found_and_the_texts_around_them_are_not(spark, sf):
+    """Recall on random strings of all kinds planted in the given texts, precision on those texts."""
+    coder, rng = bpe.Coder.load(RANKS), random.Random(9)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    wrong = [t[a:b] for t in texts for a, b, _ in secrets.random_spans(t, coder)]
+    assert wrong == []
+    for name, (letters, lengths, least) in KEYS.items():
+        met, planted = 0, 0
+        for k in range(300):
+            text, key = texts[k % len(texts)][:2000], "".join(rng.choice(letters) for _ in range(lengths[k % len(lengths)]))
+            if name != "small letters" and key.islower() and key.isalpha():
+                continue
+            at, planted = len(text) // 2, planted + 1
+            found = secrets.random_spans(f"{text[:at]} {key} {text[at:]}", coder)
+            met += any(a <= at + 1 + len(key) // 2 < b for a, b, _ in found)
+        assert met >= least * planted, (name, met, planted)
+
+
 def test_identifiers_are_those_of_the_plain_pattern():
     plain, rng = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|[+/_=-])+"), random.Random(3)
     for _ in range(60_000):
