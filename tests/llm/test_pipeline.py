@@ -41,8 +41,35 @@ def test_stages_keep_the_columns(spark, sf):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_stages_take_odd_and_empty_tables(spark, sf):
-    odd = docs_of(spark, [(None, None), (1, None), (1, None), (2, ""), (3, "some words of text"), (3, "some words of text")])
-    for docs in (odd, odd.limit(0)):
-        for _, apply in P.STAGES:
-            apply(spark, docs, sf).collect()
+LONG = "the reason that they were here again was that nobody had asked the others before " * 3000
+ODD = [
+    (None, None), (900_001, None), (900_001, None), (900_002, ""), (900_003, "some words of a text that is not long at all"),
+    (900_003, "some words of a text that is not long at all"), (None, "some words of a text that is not long at all"), (900_004, LONG), (900_004, "another text under the same id, of other words"),
+    (900_005, "12345 67890"), (900_006, "password = q7Zt0Xv9LmPb3RkW8sYd"),
+]
+
+
+def test_odd_rows_of_every_stage(spark, sf):
+    docs, stages = docs_of(spark, ODD), dict(P.STAGES)
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    given = sorted(ODD, key=str)
+    # Language: no text or no letters, no stay; the language is learnt from the given documents.
+    learnt = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(learnt, learn=toxicity.remainder("doc_id", 5) != 0)
+    kept = rows(langid.accepted(docs, model, 0.0))
+    assert kept == [r for r in given if r[1] and any(c.isalpha() for c in r[1])]
+    # None of these has a label, so nothing is learnt to be toxic.
+    assert rows(stages["toxicity"](spark, docs, sf)) == given
+    copies = (900_003, "some words of a text that is not long at all")
+    want = [r for r in given if r != copies and r != (None, copies[1])] + [copies]
+    assert rows(stages["near_duplicates"](spark, docs, sf)) == sorted(want, key=str)
+    assert rows(stages["secrets"](spark, docs, sf)) == sorted(((i, "[SECRET]" if t and "password" in t else t) for i, t in ODD), key=str)
+    packed = stages["packing"](spark, docs, sf).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] is None) == 2 + packed_tokens(packed, 900_003) // 2 - 1
+    assert all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 for r in packed)
+    for name, apply in P.STAGES:
+        assert apply(spark, docs.limit(0), sf).count() == 0, name
+
+
+def packed_tokens(packed, doc_id):
+    return sum(r["length"] for r in packed if r["doc_id"] == doc_id)
