@@ -19,7 +19,7 @@ from riskspark.operators.boosting import BoostedTreesModel
 from riskspark.operators.explain import flat_nodes
 from riskspark.operators.isotonic import fit_isotonic
 from riskspark.operators.sampling import stratified_folds
-from riskspark.operators.training import LINEAR, assemble, fit_all, margin, probability
+from riskspark.operators.training import LINEAR, assemble, calibration_seed, fit_all, margin, probability
 from riskspark.schema import CV_FOLDS, SEED, TARGET
 
 
@@ -95,14 +95,18 @@ class CalibratedModel:
 
 
 def calibrate(name, pipeline: Pipeline, base: PipelineModel, train: DataFrame, features,
-              folds=CV_FOLDS, seed=SEED, parallelism=2) -> CalibratedModel:
-    """Fit one model per fold on the other folds, isotonic on the fold itself."""
-    frame = stratified_folds(train, folds, f"{seed}/calibration", label="label").persist()
+              folds=CV_FOLDS, seed=SEED, parallelism=2, models=None) -> CalibratedModel:
+    """Fit one model per fold on the other folds, isotonic on the fold itself.
+
+    `models` are those of the folds, in order, if they are fitted already.
+    """
+    frame = stratified_folds(train, folds, calibration_seed(seed), label="label").persist()
 
     try:
-        fits = fit_all([pipeline] * folds, frame, [("fold", f) for f in range(folds)], parallelism)
+        if models is None:
+            models = [model for model, _ in fit_all([pipeline] * folds, frame, [("fold", f) for f in range(folds)], parallelism)]
         members = [
-            (model, fit_isotonic(raw_score(name, model, frame.where(F.col("fold") == f), "p"))) for f, (model, _) in enumerate(fits)]
+            (model, fit_isotonic(raw_score(name, model, frame.where(F.col("fold") == f), "p"))) for f, model in enumerate(models)]
     finally:
         frame.unpersist()
     return CalibratedModel(name, list(features), members, base)

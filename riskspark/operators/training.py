@@ -325,41 +325,55 @@ def best_model(comparison: DataFrame) -> str:
     return comparison.orderBy(F.desc("ROC-AUC"), "Model").select("Model").first()["Model"]
 
 
+def calibration_seed(seed) -> str:
+    return f"{seed}/calibration"
+
+
 @dataclass
 class Candidate:
-    """What a search found for one family: its points, the AUC of each point and tuning fold, and of each fold of the best one."""
+    """What a search found for one family: its points, the AUC of each point and tuning fold, and of each fold of the best one.
+
+    `members` are the models of the calibration folds, where they grew along.
+    """
 
     points: list
     tuning: list
     params: dict
     folds: list
     model: PipelineModel
+    members: list = None
 
 
 def candidates(train: DataFrame, names=MODEL_NAMES, draws=TUNING_DRAWS, tuning_folds=TUNING_FOLDS, cv_folds=CV_FOLDS,
                parallelism=2, seed=SEED, spaces=None) -> dict:
     """{family: Candidate}: tuned, cross-validated and fitted on all rows.
 
-    The rows are kept once with the folds of both; boosted families share one
-    binned table, over which all their models of a step grow together.
+    The rows are kept once with all folds; boosted families share one binned
+    table, over which all their models of a step grow together. Their models for
+    calibration, should one of them win, take no further passes and come along.
     """
     points = {name: draw_params((spaces or {}).get(name) or SEARCH_SPACES[name], draws, seed, name) for name in names}
     frame = stratified_folds(train, tuning_folds, seed, label="label", out="tuning_fold")
-    frame = stratified_folds(frame, cv_folds, seed, label="label", out="cv_fold").persist()
+    frame = stratified_folds(frame, cv_folds, seed, label="label", out="cv_fold")
+    frame = stratified_folds(frame, CV_FOLDS, calibration_seed(seed), label="label", out="calibration_fold").persist()
     try:
         n = frame.count()
         tuning = search_scores(points, frame, "tuning_fold", tuning_folds, parallelism, seed)
         params = {name: best_point(points[name], tuning[name]) for name in names}
-        parts = [("cv_fold", f) for f in range(cv_folds)]
-        pipelines = [
-            build(name, params[name], rows, seed)
-            for name in names for rows in [n * (cv_folds - 1) / cv_folds] * cv_folds + [n]]
-        fits = fit_all(pipelines, frame, [*parts, None] * len(names), parallelism)
+        cv = [("cv_fold", f) for f in range(cv_folds)]
+        asked = []  # (family, pipeline, part)
+        for name in names:
+            whole = build(name, params[name], n, seed)
+            asked += [(name, build(name, params[name], n * (cv_folds - 1) / cv_folds, seed), part) for part in cv] + [(name, whole, None)]
+            if is_boosted(whole):
+                asked += [(name, whole, ("calibration_fold", f)) for f in range(CV_FOLDS)]
+        fits = fit_all([p for _, p, _ in asked], frame, [part for *_, part in asked], parallelism)
         out = {}
-        for k, name in enumerate(names):
-            own = fits[k * (cv_folds + 1):(k + 1) * (cv_folds + 1)]
-            aucs = held_out_aucs(own[:-1], frame, parts, parallelism)
-            out[name] = Candidate(points[name], tuning[name], params[name], aucs, own[-1][0])
+        for name in names:
+            own = [fit for fit, (family, *_) in zip(fits, asked) if family == name]
+            aucs = held_out_aucs(own[:cv_folds], frame, cv, parallelism)
+            members = [model for model, _ in own[cv_folds + 1:]] or None
+            out[name] = Candidate(points[name], tuning[name], params[name], aucs, own[cv_folds][0], members)
         return out
     finally:
         frame.unpersist()

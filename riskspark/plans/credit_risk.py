@@ -101,7 +101,8 @@ def train_step(spark: SparkSession, root: str, seed=SEED, **tuning) -> None:
     best = training.best_model(comparison)
     params, base = fitted[best]
     pipeline = training.build(best, params, train.count(), seed)
-    model = calibrate(best, pipeline, base, train, features, seed=seed, parallelism=tuning.get("parallelism", 2))
+    model = calibrate(
+        best, pipeline, base, train, features, seed=seed, parallelism=tuning.get("parallelism", 2), models=found[best].members)
     save_model(model, f"{root}/models/best", spark)
     train.unpersist()
     write_table(prediction_table(model, test_rows.drop(ORDER_COL)), f"{root}/reports/test_predictions")

@@ -111,5 +111,10 @@ def test_folds_and_search_of_boosted_trees(train):
     rows = training.fold_scores(train.sparkSession, found)
     assert rows.count() == 2 * (4 + 3) and rows.where(F.col("phase") == "cv").select("Model", "point").distinct().count() == 2
     # The same folds one model at a time.
+    pipeline = training.build("Boosted Trees", found["Boosted Trees"].params, 400)
+    along = calibration.calibrate("Boosted Trees", pipeline, found["Boosted Trees"].model, train, NAMES, models=found["Boosted Trees"].members)
+    own = calibration.calibrate("Boosted Trees", pipeline, found["Boosted Trees"].model, train, NAMES)
+    both = along.score_vectors(train, "x").join(own.score_vectors(train, "y").select("LoanID", "y"), "LoanID")
+    assert both.where("abs(x - y) > 1e-9").isEmpty() and found["Decision Tree"].members is None
     alone = training.cross_validated(training.build("Boosted Trees", found["Boosted Trees"].params, 400), train, folds=3)
     assert alone == pytest.approx(found["Boosted Trees"].folds)
