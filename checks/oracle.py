@@ -360,7 +360,7 @@ def _scoring():
     q["p01_align"] = _q(RAW, "SELECT LoanID, RowSeq, " + ", ".join(f'{c}' if c in have else f'0.0::DOUBLE AS "{c}"' for c in FEATURE_COLS) + " FROM loans_raw")
     q["p08_underwriting"] = _q(SCORED, """SELECT LoanID,
       CASE WHEN p < 0.3 THEN 'Low Risk' WHEN p < 0.6 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_tier,
-      CASE WHEN p < 0.3 THEN 'LOAN APPROVED' WHEN p < 0.6 THEN 'CONDITIONAL APPROVAL / MANUAL REVIEW' ELSE 'HIGH DEFAULT RISK (REJECT / MANUAL REVIEW)' END AS status,
+      CASE WHEN p < 0.3 THEN '✅ LOAN APPROVED' WHEN p < 0.6 THEN '⚠️ CONDITIONAL APPROVAL / MANUAL REVIEW' ELSE '❌ HIGH DEFAULT RISK (REJECT / MANUAL REVIEW)' END AS status,
       CASE WHEN p < 0.3 THEN 'Low default probability. Fast-track approval recommended.'
            WHEN p < 0.6 THEN 'Moderate risk. Additional proof of income or higher down payment advised.'
            ELSE 'Elevated risk of default. Requires underwriting committee manual review.' END AS recommendation,

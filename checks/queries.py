@@ -402,6 +402,14 @@ def fitted(spark, sf, name):
     return _once(spark, sf, f"model {name}", make)
 
 
+def boosted_folds(spark, sf, folds=3):
+    """Both boosted families on each of three folds: six models over one binned table."""
+    frame = sampling.stratified_folds(train_test(spark, sf)[0], folds, label="label")
+    names = [training.BOOSTED, training.LEAF_LIMITED]
+    pipelines = [training.build(name, POINTS[name]) for name in names for _ in range(folds)]
+    return training.fit_all(pipelines, frame, [("fold", f) for _ in names for f in range(folds)])
+
+
 def calibrated(spark, sf):
     def make():
         name = "Decision Tree"

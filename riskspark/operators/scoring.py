@@ -16,11 +16,11 @@ SCORING_INPUTS = [
 
 # What the underwriter sees per left-closed tier.
 UNDERWRITING = [
-    (0.30, "Low Risk", "LOAN APPROVED",
+    (0.30, "Low Risk", "✅ LOAN APPROVED",
      "Low default probability. Fast-track approval recommended."),
-    (0.60, "Medium Risk", "CONDITIONAL APPROVAL / MANUAL REVIEW",
+    (0.60, "Medium Risk", "⚠️ CONDITIONAL APPROVAL / MANUAL REVIEW",
      "Moderate risk. Additional proof of income or higher down payment advised."),
-    (None, "High Risk", "HIGH DEFAULT RISK (REJECT / MANUAL REVIEW)",
+    (None, "High Risk", "❌ HIGH DEFAULT RISK (REJECT / MANUAL REVIEW)",
      "Elevated risk of default. Requires underwriting committee manual review."),
 ]
 
