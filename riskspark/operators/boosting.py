@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskspark.operators.sampling import sample_rows
 from riskspark.operators.forest import SCHEMA, Nodes, from_rows, joined, to_rows
 from riskspark.schema import SEED
-from riskspark.session import stage
+from riskspark.session import stage, unstage
 
 #: Bins of a feature; at most 256, as a bin is a byte.
 BINS = 64
@@ -339,7 +339,8 @@ class Boosting:
                     scores[:, m] = _held_scores(x, scores[:, m], trees)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _fixed(scores)], schema=batch.schema)
 
-        self.state = stage(self.state.mapInArrow(add, self.state.schema), "boosting")
+        before, self.state = self.state, stage(self.state.mapInArrow(add, self.state.schema), "boosting")
+        unstage(before)  # one copy of the table at a time
         self.held = [[] for _ in self.jobs]
 
     def _pass(self, growing: dict) -> dict:
@@ -463,7 +464,10 @@ class BoostedTrees(_Shape, Estimator):
         features = self.getFeaturesCol()
         weights = class_weights_of(df, self.getWeightCol()) if self.isSet("weightCol") else (1.0, 1.0)
         table, edges = prepared(df, vector=features)
-        [nodes] = Boosting(table, edges, [Job(self.settings(), weights)]).run().models()
+        grown = Boosting(table, edges, [Job(self.settings(), weights)]).run()
+        [nodes] = grown.models()
+        for done in (table, grown.state):
+            unstage(done)
         return model_of(nodes, len(edges), self)
 
 

@@ -19,7 +19,7 @@ from riskspark.functions.numeric import round_even
 from riskspark.operators import boosting
 from riskspark.operators.evaluation import accuracy, confusion, f1, precision, recall, roc_auc
 from riskspark.operators.sampling import add_class_weight, class_weights, stratified_folds
-from riskspark.session import stage
+from riskspark.session import stage, unstage
 from riskspark.schema import (
     CV_FOLDS, ID_COLS, ORDER_COL, SEARCH_SPACES, SEED, TARGET, TUNING_DRAWS, TUNING_FOLDS,
 )
@@ -199,6 +199,8 @@ def fit_all(pipelines: list, frame: DataFrame, parts: list, parallelism=2) -> li
             for k, e in ((k, pipelines[k].getStages()[-1]) for k in together)]
         grown = boosting.Boosting(table, edges, jobs).run()
         scores = stage(grown.scores(), "boosted_scores")
+        for done in (table, grown.state):
+            unstage(done)
         for i, (k, nodes) in enumerate(zip(together, grown.models())):
             model = PipelineModel([boosting.model_of(nodes, len(edges), pipelines[k].getStages()[-1])])
             out[k] = (model, scores.select("label", *folds, F.col("scores")[i].alias("score")))

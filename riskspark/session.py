@@ -52,6 +52,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove the folder of a staged frame that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 #: Partitions of training rows, at least, and rows in one above that.
 TRAIN_PARTITIONS, TRAIN_ROWS = 8, 1_000_000
 
@@ -76,8 +88,7 @@ def staged_tables(spark: SparkSession):
     finally:
         _staged[spark] = outer
         for path in own:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            _delete(spark, path)
 
 
 def spread(df: DataFrame) -> DataFrame:

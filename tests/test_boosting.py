@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from riskspark.operators import boosting, training
+from riskspark.session import shared_dir
 from riskspark.operators.boosting import BoostedTrees, Boosting, Growing, Job, Settings, best_split
 
 
@@ -136,6 +137,20 @@ def test_scores_of_the_table_are_those_of_the_model(frame, monkeypatch):
         assert r["scores"] == pytest.approx([m.values(np.array([keys[r["key"]]]))[0] for m in models], abs=1e-12)
 
 
+def test_a_table_that_is_read_no_more_is_removed(spark, frame, monkeypatch):
+    import glob
+
+    folder = shared_dir(spark).removeprefix("file:")
+    at = lambda: {p for name in ("boosting", "binned") for p in glob.glob(f"{folder}/{name}-*")}
+    monkeypatch.setattr(boosting, "HELD_TREES", 1)
+    before = at()
+    run = grown(frame, [Job(Settings(trees=4, depth=1))])
+    assert len(at() - before) == 2 and run.scores().count() == 900  # the binned table and the last scores
+    before = at()
+    BoostedTrees(maxIter=3, maxDepth=1).fit(frame)
+    assert at() == before
+
+
 def test_no_split_and_one_class(spark):
     rows = [(f"L{k}", 1.0, 5.0, float(k % 2)) for k in range(30)]
     df = training.assemble(spark.createDataFrame(rows, "LoanID string, label double, a double, b double"), ["a", "b"], ["LoanID", "label"])
