@@ -205,3 +205,12 @@ def test_null_labels_are_refused(spark):
     df = spark.createDataFrame([("a", 1), ("b", None)], "LoanID string, DefaultFlag int")
     with pytest.raises(ValueError, match="1 rows have no DefaultFlag"):
         sampling.train_test(df)
+
+
+def test_training_partitions_grow_in_number_not_in_size(spark):
+    from riskspark.session import arranged
+
+    rows = spark.range(1_000_000).selectExpr("concat('L', id) AS LoanID")
+    out = arranged(rows)
+    assert out.rdd.getNumPartitions() == 10 and arranged(rows.limit(50)).rdd.getNumPartitions() == 8
+    assert out.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).max() < 110_000
