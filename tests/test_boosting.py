@@ -180,3 +180,47 @@ def test_only_leaves_that_may_be_chosen_are_searched():
     assert not tree.learn({1: split(1.0), 2: split(2.0)}) and tree.open == [3, 4]  # node 1 is third at best
     assert tree.learn({3: split(0.5), 4: (sums, None)}) and tree.chosen() == [0, 2]
     assert best_split(np.zeros((3, 4)), np.array([0, 4]), s)[1] is None
+
+
+def test_the_binned_table_has_blocks_of_rows(frame):
+    table, _ = boosting.prepared(frame.coalesce(1), ["fold"])
+    assert table.count() == 1 and table.first()["rows"] == 900
+
+
+def test_blocks_of_any_size_give_the_same_trees(frame, monkeypatch):
+    jobs = [Job(Settings(trees=3, depth=3, share=0.7), (1.0, 2.0), "fold", 1), Job(SETTINGS[1])]
+    a = grown(frame.coalesce(1), jobs).models()
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        b = grown(frame.coalesce(1), jobs).models()
+    finally:
+        frame.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(np.array_equal(m.threshold, n.threshold) and np.array_equal(m.value, n.value) for m, n in zip(a, b))
+
+
+def test_joint_counts_give_those_of_each_feature():
+    rng, widths = np.random.default_rng(1), np.array([64, 3, 2, 256, 1, 60, 2])
+    offsets = np.concatenate(([0], np.cumsum(widths)))
+    x = np.stack([rng.integers(0, w, 500) for w in widths]).astype(np.uint8)
+    groups = boosting.joint(widths, 500)
+    assert sorted(f for g in groups for f in g) == list(range(7)) and max(map(len, groups)) > 1
+    into = np.zeros((1, 1, offsets[-1]))
+    for g in groups:
+        found = np.bincount(boosting._codes(x, widths, g), minlength=int(np.prod(widths[g]))).astype(float)
+        boosting._by_feature(found.reshape(1, 1, -1), widths, offsets, g, into)
+    assert np.array_equal(into[0, 0], np.concatenate([np.bincount(x[f], minlength=w) for f, w in enumerate(widths)]))
+
+
+@pytest.mark.parametrize("size", [1, 7, 127, 511])
+def test_rows_end_in_the_leaf_that_their_bins_lead_to(size):
+    rng, inner = np.random.default_rng(size), size // 2
+    left, right = np.arange(size), np.arange(size)
+    left[:inner], right[:inner] = 2 * np.arange(inner) + 1, 2 * np.arange(inner) + 2
+    feature, bin_ = rng.integers(0, 3, size), rng.integers(0, 60, size).astype(np.uint8)
+    x = rng.integers(0, 64, (3, 200)).astype(np.uint8)
+
+    def end(row, k=0):
+        return k if left[k] == k else end(row, int(left[k] if row[feature[k]] <= bin_[k] else right[k]))
+
+    assert boosting._walk(x, feature, bin_, left, right, 9).tolist() == [end(row) for row in x.T]
