@@ -214,3 +214,21 @@ def test_training_partitions_grow_in_number_not_in_size(spark):
     out = arranged(rows)
     assert out.rdd.getNumPartitions() == 10 and arranged(rows.limit(50)).rdd.getNumPartitions() == 8
     assert out.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).max() < 110_000
+
+
+def test_boosted_families_of_a_query_grow_together(spark, monkeypatch):
+    from checks import queries as q
+
+    seen, real = [], training.fit_all
+    monkeypatch.setattr(training, "fit_all", lambda pipelines, *a, **b: seen.append(len(pipelines)) or real(pipelines, *a, **b))
+    monkeypatch.setattr(q, "_staged", {})
+    monkeypatch.setattr(q, "POINTS", {name: {**p, "n_estimators": 2} if "Boosted" in name else p for name, p in q.POINTS.items()})
+    rows = spark.range(600).selectExpr(
+        "concat('L', id) AS LoanID", "CAST(id * 7 % 13 > 8 AS DOUBLE) AS label", "CAST(id * 7 % 13 AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b")
+    train = training.with_weights(training.assemble(rows, ["a", "b"], ["LoanID", "label"])).persist()
+    monkeypatch.setattr(q, "train_test", lambda *_: (train, None, None))
+    models = q.families(spark, "own")
+    assert seen == [2] and list(models) == list(q.POINTS)
+    alone = training.build("Boosted Trees", q.POINTS["Boosted Trees"]).fit(train)
+    a, b = (m.stages[-1].nodes for m in (models["Boosted Trees"], alone))
+    assert (a.threshold == b.threshold).all() and abs(a.value - b.value).max() < 1e-9
