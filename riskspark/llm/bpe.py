@@ -165,7 +165,9 @@ def _unsplit(pieces: list[str], leaf: int) -> list[tuple[bytes, str]]:
     out, short, size = [], [], 0
     for piece in [*pieces, None]:
         if short and (piece is None or size + len(piece) > leaf):
-            out.append(("".join(short).encode(), "text"))
+            # White space at the end stands alone: with white space before it, it would be read as one piece.
+            apart = [short[:-1], short[-1:]] if len(short) > 1 and short[-1].isspace() else [short]
+            out += [("".join(own).encode(), "text") for own in apart]
             short, size = [], 0
         if piece is not None and len(piece) > leaf:
             data = piece.encode()

@@ -88,6 +88,14 @@ def test_leaves_join_to_the_whole(text, leaf):
     assert bpe.joined(coder, parts) == tokenizer.encode(text, add_special_tokens=False).ids == coder.encode(text)
 
 
+def test_white_space_at_the_end_of_a_leaf_keeps_its_pieces(byte_tokenizer):
+    coder = bpe.Coder.load(RANKS)
+    for text in ("00\xa0\xa00", "ab\u3000\u3000\u3000ab", "!\xa0\xa0ababababab\xa0\xa0!"):
+        for leaf in (1, 2, 3, 4):
+            parts = [(k, coder.bpe.encode_ordinary(d.decode()) if k in ("text", "more") else coder.piece(d)) for d, k in bpe.leaves(text, coder, leaf)]
+            assert bpe.joined(coder, parts) == byte_tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "the", "aé漢", "=", "0"])
 def test_long_piece_without_a_split(letters, byte_tokenizer):
     rng, coder = random.Random(3), bpe.Coder.load(RANKS)
