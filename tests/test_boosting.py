@@ -224,3 +224,51 @@ def test_rows_end_in_the_leaf_that_their_bins_lead_to(size):
         return k if left[k] == k else end(row, int(left[k] if row[feature[k]] <= bin_[k] else right[k]))
 
     assert boosting._walk(x, feature, bin_, left, right, 9).tolist() == [end(row) for row in x.T]
+
+
+class Watched(np.ndarray):
+    """An array that tells the number of axes of each shape it takes."""
+
+    def __new__(cls, values, axes):
+        out = np.asarray(values).view(cls)
+        out.axes = axes
+        return out
+
+    def __array_finalize__(self, other):
+        self.axes = getattr(other, "axes", [])
+
+    def reshape(self, *shape):
+        self.axes.append(len(shape))
+        return super().reshape(*shape)
+
+
+def test_joint_counts_are_added_up_in_two_steps_of_any_widths():
+    """A group of many narrow features was summed over all other axes at once, for each of them."""
+    rng = np.random.default_rng(4)
+    for widths in ([2] * 10, [64, 64, 4], [3, 2], [7], [64, 2, 2, 5, 2]):
+        widths, group = np.array(widths), list(range(len(widths)))
+        offsets = np.concatenate(([0], np.cumsum(widths)))
+        x = np.stack([rng.integers(0, w, 500) for w in widths]).astype(np.uint8)
+        node = rng.integers(0, 3, 500)
+        size = int(np.prod(widths))
+        sums = np.bincount(node * size + boosting._codes(x, widths, group), minlength=3 * size).astype(float).reshape(1, 3, size)
+        axes: list = []
+        into = np.zeros((1, 3, offsets[-1]))
+        boosting._by_feature(Watched(sums, axes), widths, offsets, group, into)
+        for f in group:
+            for k in range(3):
+                assert (into[0, k, offsets[f]:offsets[f + 1]] == np.bincount(x[f][node == k], minlength=widths[f])).all()
+        assert all(n <= 4 for n in axes)
+
+
+def test_a_task_takes_the_rows_of_each_fold_once_for_all_its_models(frame):
+    table, edges = boosting.prepared(frame, ["fold"])
+    jobs = [Job(Settings(trees=1, depth=2, share=s), fold=f, held_out=h) for s in (1.0, 0.7) for f, h in ((None, None), ("fold", 0), ("fold", 2))]
+    together = Boosting(table, edges, jobs).run().models()
+    for job, nodes in zip(jobs, together):
+        [alone] = Boosting(table, edges, [job]).run().models()
+        assert (alone.feature == nodes.feature).all() and (alone.threshold == nodes.threshold).all() and (alone.cover == nodes.cover).all()
+    block = (np.arange(6), np.ones(6), [np.array([0, 1, 2, 0, 1, 2])], np.arange(12, dtype=np.uint8).reshape(2, 6), np.zeros((1, 6)))
+    places, key, label, x, *_ = boosting._view(block, block[2][0] != 1)
+    assert places.tolist() == key.tolist() == [0, 2, 3, 5] and x.tolist() == [[0, 2, 3, 5], [6, 8, 9, 11]] and len(label) == 4
+    assert boosting._view(block, None)[0] is None

@@ -232,3 +232,17 @@ def test_boosted_families_of_a_query_grow_together(spark, monkeypatch):
     alone = training.build("Boosted Trees", q.POINTS["Boosted Trees"]).fit(train)
     a, b = (m.stages[-1].nodes for m in (models["Boosted Trees"], alone))
     assert (a.threshold == b.threshold).all() and abs(a.value - b.value).max() < 1e-9
+
+
+def test_forests_keep_node_numbers_while_they_fit_and_grow_alike(spark, monkeypatch):
+    few = training.build("Random Forest", {"n_estimators": 6, "max_depth": 6}, 400)
+    assert few.getStages()[0].getCacheNodeIds()
+    assert not training.build("Random Forest", {"n_estimators": 100, "max_depth": 6}, 10_000_000).getStages()[0].getCacheNodeIds()
+    rows = spark.range(400).selectExpr(
+        "concat('L', id) AS LoanID", "CAST(id * 7 % 13 > 8 OR id % 11 = 3 AS DOUBLE) AS label", "CAST(id * 7 % 13 AS DOUBLE) AS a",
+        "CAST(id % 11 AS DOUBLE) AS b", "CAST(id * id % 17 AS DOUBLE) AS c")
+    train = training.with_weights(training.assemble(rows, ["a", "b", "c"], ["LoanID", "label"])).persist()
+    monkeypatch.setattr(training, "NODE_BYTES", 0)
+    plain = training.build("Random Forest", {"n_estimators": 6, "max_depth": 6}, 400)
+    a, b = (p.fit(train).stages[0].toDebugString.split("\n")[1:] for p in (few, plain))
+    assert a == b and len(a) > 50
