@@ -128,3 +128,20 @@ def test_empty_tables(spark):
     assert spelling.group_variants(docs_of(spark, [None, "", "few short words"])).count() == 0
     one = spelling.group_variants(docs_of(spark, ["abcdefghi abcdefghi"])).collect()
     assert [tuple(r) for r in one] == [("abcdefghi", None, "abcdefghi", 2, 0, None)]
+
+
+def test_ranks_count_every_place_of_a_block_and_suffixes_are_in_order():
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abcé"), rng.integers(7, 12))) for _ in range(300)})
+    index = spelling.Index(words)
+    for ranks, order, d in zip(index.sides, index.order, (1, -1)):
+        text = np.concatenate([x for k in order for x in (np.zeros(1, np.uint8), index.spelled[k][::d])])
+        assert sorted(spelling.suffix_order(text).tolist()) == list(range(len(text)))
+        column = text[spelling.suffix_order(text) - 1]
+        place = np.arange(len(text) + 1)
+        for symbol in range(index.symbols):
+            below, own = ranks.count(np.full(len(place), symbol), place)
+            assert (below[-1], own[-1]) == ((column < symbol).sum(), (column == symbol).sum())
+            assert (np.diff(below) == (column < symbol)).all() and (np.diff(own) == (column == symbol)).all()
+    full = np.ones((2, spelling.BLOCK), bool)
+    assert spelling._flags(full).tolist() == [32, 32] and spelling._flags(~full).tolist() == [0, 0]
