@@ -246,3 +246,21 @@ def test_forests_keep_node_numbers_while_they_fit_and_grow_alike(spark, monkeypa
     plain = training.build("Random Forest", {"n_estimators": 6, "max_depth": 6}, 400)
     a, b = (p.fit(train).stages[0].toDebugString.split("\n")[1:] for p in (few, plain))
     assert a == b and len(a) > 50
+
+
+def test_training_rows_are_laid_out_without_a_table_between(spark, monkeypatch):
+    from checks import queries as q
+
+    rows = spark.range(400).selectExpr(
+        "concat('L', id) AS LoanID", f"CAST(id % 4 = 0 AS INT) AS {q.TARGET}", *[f"CAST(id % {k + 2} AS DOUBLE) AS `{c}`" for k, c in enumerate(q.FEATURE_COLS)])
+    names, real = [], q.stage
+    monkeypatch.setattr(q, "stage", lambda df, name="stage": names.append(name) or real(df, name))
+    monkeypatch.setattr(q, "_staged", {})
+    monkeypatch.setattr(q, "ml_ready", lambda *_: rows)
+    train, test, _ = q.train_test(spark, "own")
+    assert names == ["test"]
+    given = sampling.train_test(rows)[0].select("LoanID").exceptAll(train.select("LoanID"))
+    assert given.isEmpty() and (train.count(), test.count()) == (320, 80) and train.rdd.getNumPartitions() == 8
+    parts = train.rdd.mapPartitions(lambda part: [[r["LoanID"] for r in part]]).collect()
+    assert all(ids == sorted(ids) for ids in parts)
+    train.unpersist()
