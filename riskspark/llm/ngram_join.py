@@ -2,11 +2,14 @@
 
 1. Every text becomes its set of n-gram hashes. In how many texts each n-gram
    occurs is counted over all of them, in packed blocks of hash values. The
-   result is two maps of fixed size: n-grams of two or more texts, and frequent
-   ones. A text without enough shared n-grams for a link is done.
-2. Equal sets go on as one. Each set gives the keys that any set linked to it
-   must share one of: the first of its n-grams, rare ones first (prefix filter).
-   Every order of the n-grams is right for that, so the maps may be inexact.
+   result is two maps: n-grams of two or more texts, which grows with their
+   number so that about half of it stays empty, and frequent ones, of fixed
+   size. A text without enough shared n-grams for a link is done.
+2. Equal sets go on as one: of the texts that are left only a digest is kept,
+   and the set of one text for each digest is made in a second pass. Each set
+   gives the keys that any set linked to it must share one of: the first of its
+   n-grams, rare ones first (prefix filter). Every order of the n-grams is right
+   for that, so the maps may be inexact.
 3. In a few rounds each group of linked sets is compared with one hub, the one
    that a set of it shares most keys with. That joins many near copies with one
    link each. Rounds end when few comparisons are links.
@@ -30,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.llm import arrow
 from riskspark.llm.components import components
@@ -41,6 +44,8 @@ WORDS = 5
 PERCENT = 80
 #: Values that a task packs together.
 PACK = 1_000_000
+#: Slots of the map of shared n-grams for each of them, at least.
+SLOTS = 1.5
 #: Bits of a signature; sets in a leaf, and children of a node, of a tree.
 SIGNATURE, FANOUT = 2048, 8
 #: Pairs that one numpy pass compares.
@@ -52,13 +57,15 @@ class Limits:
     """Settings that change the work, not the result.
 
     frequent: an n-gram of more texts is ordered last. map_bits: slots of each
-    map, as a power of two, 8 MB each whatever the input. hub_rounds: rounds of
-    comparing with hubs, at most. block, block_values: sets, and values of all
-    sets, in a block; a single larger set makes a block of its own.
+    map, as a power of two, 8 MB each. most_bits: those that the map of shared
+    n-grams may grow to, 128 MB. hub_rounds: rounds of comparing with hubs, at
+    most. block, block_values: sets, and values of all sets, in a block; a
+    single larger set makes a block of its own.
     """
 
     frequent: int = 64
     map_bits: int = 26
+    most_bits: int = 30
     hub_rounds: int = 6
     block: int = 2048
     block_values: int = 1_000_000
@@ -120,11 +127,16 @@ def _counted(packed: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.n
 
 
 def occurrence_maps(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> tuple[bytes, bytes]:
-    """Bit maps over the first bits of a hash: in two or more texts; in more than `limits.frequent`."""
+    """Bit maps over the first bits of a hash: in two or more texts; in more than `limits.frequent`.
+
+    The first has SLOTS slots for each n-gram it marks, from `limits.map_bits` to
+    `limits.most_bits` as a power of two: when it is full, no text is done.
+    """
     spark = docs.sparkSession
     texts = docs.select(text_col)
     parts = 8 * max(8, texts.rdd.getNumPartitions())
     bits, map_bits, frequent_from = min(14, max(6, (parts - 1).bit_length())), limits.map_bits, limits.frequent + 1
+    least_bits, most_bits = map_bits - bits, max(map_bits, limits.most_bits) - bits
 
     def pack(batches):
         held, size = [], 0
@@ -147,11 +159,12 @@ def occurrence_maps(docs: DataFrame, text_col: str = "text", limits: Limits = Li
 
     def count(table: pa.Table) -> pa.Table:
         value, texts_with = _counted(table.column("packed").to_pylist(), table.column("counts").to_pylist())
-        slot = (value >> np.uint64(32 - (map_bits - bits))).astype(np.int64)
         maps = []
-        for least in (2, frequent_from):
-            flags = np.zeros(1 << (map_bits - bits), bool)
-            flags[slot[texts_with >= least]] = True
+        for least, most in ((2, most_bits), (frequent_from, least_bits)):
+            marked = value[texts_with >= least]
+            own_bits = min(max(least_bits, int(np.ceil(SLOTS * len(marked))).bit_length()), most)
+            flags = np.zeros(1 << own_bits, bool)
+            flags[(marked >> np.uint64(32 - own_bits)).astype(np.int64)] = True
             maps.append(np.packbits(flags, bitorder="little").tobytes())
         return pa.table({"part": table.column("part").slice(0, 1), "shared": pa.array([maps[0]], pa.binary()), "frequent": pa.array([maps[1]], pa.binary())})
 
@@ -159,12 +172,23 @@ def occurrence_maps(docs: DataFrame, text_col: str = "text", limits: Limits = Li
         texts.mapInArrow(pack, "part int, packed binary, counts binary").groupBy("part")
         .applyInArrow(count, "part int, shared binary, frequent binary")
     )
-    shared, frequent = bytearray(1 << (map_bits - 3)), bytearray(1 << (map_bits - 3))
-    width = 1 << (map_bits - bits - 3)
-    for r in slices.toLocalIterator():  # slices of the two maps: a fixed size in all
-        shared[r["part"] * width:(r["part"] + 1) * width] = r["shared"]
-        frequent[r["part"] * width:(r["part"] + 1) * width] = r["frequent"]
-    return bytes(shared), bytes(frequent)
+    shared, frequent = {}, {}
+    for r in slices.toLocalIterator():  # slices of the two maps: of bounded size in all
+        shared[r["part"]], frequent[r["part"]] = r["shared"], r["frequent"]
+    return _joined(shared, bits, least_bits), _joined(frequent, bits, least_bits)
+
+
+def _joined(slices: dict, bits: int, least_bits: int) -> bytes:
+    """The slices {part: map} as one map, with the slots of the widest in each of 2 ** bits parts."""
+    width = max([1 << (least_bits - 3), *map(len, slices.values())])
+    out = bytearray(width << bits)
+    while slices:
+        part, own = slices.popitem()
+        if len(own) < width:
+            flags = np.unpackbits(np.frombuffer(own, np.uint8), bitorder="little")
+            own = np.packbits(np.repeat(flags, width // len(own)), bitorder="little").tobytes()
+        out[part * width:(part + 1) * width] = own
+    return bytes(out)
 
 
 def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -194,37 +218,83 @@ def _digest(values: np.ndarray) -> bytes:
     return np.array([arrow.mix(values ^ s).sum(dtype=np.uint64) for s in _SALTS], "<u8").tobytes() + len(values).to_bytes(4, "little")
 
 
+def _met_sets(batch, shared: np.ndarray):
+    """Per slice of a batch, whose last column is the text: its rows (i, j), (values, offsets) of the sets, which values met, and spare.
+
+    A set may have a link if its `spare`, the values met beyond those that any link needs, is not negative.
+    """
+    data, offsets = arrow.utf8(batch.column(batch.num_columns - 1))
+    for i, j in arrow.slices(offsets):
+        values, edge = shingles(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        met, n = _marked(shared, values), np.diff(edge)
+        yield i, j, values, edge, met, np.where(n > 0, arrow.per_row(met, edge) - least_overlap(n), -1)
+
+
 def profiles(docs: DataFrame, sent: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document a hash of its text, its n, and, where a link is possible, its set, the set's digest, keys and signature.
+    """Per document a hash of its text, its n, and, where a link is possible, its set's digest.
 
-    `sent` holds the two occurrence maps: 2 ** (map_bits - 2) bytes.
+    `sent` holds the two occurrence maps.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def scan(batches):
-        shared, frequent = (np.frombuffer(m, np.uint8) for m in sent.value)
+        shared = np.frombuffer(sent.value[0], np.uint8)
         for batch in batches:
-            data, offsets = arrow.utf8(batch.column(1))
-            for i, j in arrow.slices(offsets):
-                values, edge = shingles(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                met = _marked(shared, values)
-                n, n_met = np.diff(edge), arrow.per_row(met, edge)
-                spare = n_met - least_overlap(n)
-                rows, sets = [(None,) * 3] * (j - i), [None] * (j - i)
-                for k in np.flatnonzero((n > 0) & (spare >= 0)):
+            for i, j, values, edge, _, spare in _met_sets(batch, shared):
+                digests = [None] * (j - i)
+                for k in np.flatnonzero(spare >= 0):
+                    digests[k] = _digest(values[edge[k]:edge[k + 1]])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(edge), pa.int64()), pa.array(digests, pa.binary())],
+                    names=["doc_id", "text_hash", "n", "digest"],
+                )
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(scan, f"doc_id {kind}, text_hash long, n long, digest binary")
+
+
+def _mark(doc_id: str, text_hash) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(doc_id, text_hash)
+
+
+def marks_map(rows: DataFrame, limits: Limits) -> bytes:
+    """A bit map over the first bits of the column `mark`."""
+    bits, map_bits = 6, limits.map_bits
+
+    def flagged(table: pa.Table) -> pa.Table:
+        mark = table.column("mark").to_numpy().view(np.uint64)
+        flags = np.zeros(1 << (map_bits - bits), bool)
+        flags[((mark << np.uint64(bits)) >> np.uint64(64 - map_bits + bits)).astype(np.int64)] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    part = F.shiftrightunsigned("mark", 64 - bits).cast("int").alias("part")
+    slices = rows.select(part, "mark").groupBy("part").applyInArrow(flagged, "part int, flags binary")
+    return _joined({r["part"]: r["flags"] for r in slices.toLocalIterator()}, bits, map_bits - bits)
+
+
+def whole_sets(docs: DataFrame, sent: Broadcast, wanted: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digest, n, keys, signature and values of the sets of documents whose mark is `wanted`, where a link is possible."""
+    source = docs.select(_mark(id_col, F.xxhash64(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    names = ["digest", "n", "keys", "signature", "values"]
+
+    def scan(batches):
+        shared, frequent, marks = (np.frombuffer(m, np.uint8) for m in (*sent.value, wanted.value))
+        for batch in batches:
+            batch = batch.filter(pa.array(_marked(marks, batch.column(0).to_numpy().view(np.uint64))))
+            for _, _, values, edge, met, spare in _met_sets(batch, shared):
+                rows = []
+                for k in np.flatnonzero(spare >= 0):
                     own = values[edge[k]:edge[k + 1]]
                     known = own[met[edge[k]:edge[k + 1]]]
                     often = _marked(frequent, known)
                     keys = np.concatenate((known[~often], known[often]))[:spare[k] + 1]
-                    rows[k], sets[k] = (_digest(own), keys.astype("<u8").tobytes(), signature(own)), own.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()),
-                     *(pa.array(c, pa.binary()) for c in zip(*rows)), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_hash", "n", "digest", "keys", "signature", "values"],
-                )
+                    rows.append((_digest(own), len(own), keys.astype("<u8").tobytes(), signature(own), own.view(np.int64)))
+                if rows:
+                    kinds = pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(scan, f"doc_id {kind}, text_hash long, n long, digest binary, keys binary, signature binary, values array<long>")
+    return source.mapInArrow(scan, "digest binary, n long, keys binary, signature binary, values array<long>")
 
 
 def _keys(sets: DataFrame) -> DataFrame:
@@ -510,20 +580,21 @@ def extended(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     return old.unionByName(joined.join(parts.select("node"), "node", "left_anti"))
 
 
-def _profiled(docs, id_col, text_col, limits) -> DataFrame:
-    """The staged profiles with a number for each row."""
+def _profiled(docs, id_col, text_col, limits) -> tuple[DataFrame, Broadcast]:
+    """The staged profiles with a number for each row, and the occurrence maps."""
     sent = docs.sparkSession.sparkContext.broadcast(occurrence_maps(docs, text_col, limits))
-    found = stage(profiles(docs, sent, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    sent.destroy()  # the profiles are written
-    return found
-
-
-def _set_parts(possible, first, limits) -> DataFrame:
-    """(node, component) of the distinct sets; `first` has the row, as `_row`, that stands for each."""
-    sets = stage(
-        possible.join(first.select("_row"), F.col("row") == F.col("_row"))
-        .select(F.col("row").alias("node"), "n", "keys", "signature", "values"), "sets",
-    )
+    return stage(profiles(docs, sent, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "profiles"), sent
+
+
+def _set_parts(docs, sent, first, id_col, text_col, limits) -> DataFrame:
+    """(node, component) of the distinct sets; `first` has digest and, as `_row` and `mark`, the row that stands for each."""
+    wanted = docs.sparkSession.sparkContext.broadcast(marks_map(first, limits))
+    # Rows that repeat, or whose mark is another's, come along, so each set is taken once.
+    once = whole_sets(docs, sent, wanted, id_col, text_col).dropDuplicates(["digest"])
+    number = first.select(F.col("digest").alias("_digest"), F.col("_row").alias("node"))
+    sets = stage(once.join(number, F.col("digest") == F.col("_digest")).select("node", "n", "keys", "signature", "values"), "sets")
+    for held in (sent, wanted):
+        held.destroy()  # the sets are written
     return set_links(sets, limits)
 
 
@@ -539,13 +610,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document to the links. Other columns are ignored. An empty table gives no
     rows. A very long text is one set, held whole by a task.
     """
-    found = _profiled(docs, id_col, text_col, limits)
+    found, sent = _profiled(docs, id_col, text_col, limits)
     possible = found.where("digest is not null and doc_id is not null")
     first = stage(
-        possible.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-        .select("digest", F.col("first.doc_id").cast("long").alias("first_id"), F.col("first.row").alias("_row")), "first",
+        possible.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "text_hash")).alias("first"))
+        .select("digest", F.col("first.doc_id").cast("long").alias("first_id"), F.col("first.row").alias("_row"), _mark("first.doc_id", "first.text_hash").alias("mark")),
+        "first",
     )
-    parts = _set_parts(possible, first, limits)
+    parts = _set_parts(docs, sent, first, id_col, text_col, limits)
     # From sets to documents: links between the first documents, and of a doc_id with several sets.
     to = first.select("_row", "first_id")
     ends = parts.join(to, F.col("node") == F.col("_row")).select("first_id", "component")
@@ -578,10 +650,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without words, and rows that share an id but not their texts. An empty table
     gives no rows.
     """
-    found = _profiled(docs, id_col, text_col, limits)
+    found, sent = _profiled(docs, id_col, text_col, limits)
     possible = found.where("digest is not null")
-    first = stage(possible.groupBy("digest").agg(F.min("row").alias("_row")), "first")
-    parts = stage(_set_parts(possible, first, limits), "parts")
+    first = stage(
+        possible.groupBy("digest").agg(F.min(F.struct("row", "doc_id", "text_hash")).alias("first"))
+        .select("digest", F.col("first.row").alias("_row"), _mark("first.doc_id", "first.text_hash").alias("mark")), "first",
+    )
+    parts = stage(_set_parts(docs, sent, first, id_col, text_col, limits), "parts")
     of = first.join(parts, F.col("_row") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "_row").alias("component"))
     key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
     chosen = possible.join(of, F.col("digest") == F.col("_digest")).groupBy("component").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")

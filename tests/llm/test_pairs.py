@@ -159,6 +159,34 @@ def test_links_grow_with_the_sets_not_their_square(spark, monkeypatch):
     assert sizes[0] < len(texts) and sizes[1] < 8 * len(texts), sizes  # 350 of them link pairwise
 
 
+def test_the_map_of_shared_ngrams_is_never_full(spark):
+    texts = [(k, prose(400 + k // 2, 60) + " " + prose(600 + k, 40)) for k in range(200)]  # halves of them are shared, none is a near copy
+    docs, limits = docs_of(spark, texts), ngram_join.Limits(map_bits=10)
+    maps = ngram_join.occurrence_maps(docs, limits=limits)
+    assert np.unpackbits(np.frombuffer(maps[0], np.uint8)).mean() < 0.55
+    found = ngram_join.profiles(docs, spark.sparkContext.broadcast(maps)).where("digest is not null").count()
+    assert found < len(texts) / 20  # a full map leaves all of them
+    bounded = ngram_join.occurrence_maps(docs, limits=ngram_join.Limits(map_bits=10, most_bits=11))
+    assert len(bounded[0]) == 2 ** 8
+
+
+def test_sets_of_equal_texts_are_written_once(spark, monkeypatch):
+    base = [prose(50 + k, 80) for k in range(4)]
+    texts = [(k, base[k % 4] + (" x" if k % 8 > 3 else "")) for k in range(160)] + [(None, base[0]), (7, base[1]), (7, base[1])]
+    written, stage = {}, ngram_join.stage
+
+    def kept(df, name="stage"):
+        written[name] = stage(df, name)
+        return written[name]
+
+    monkeypatch.setattr(ngram_join, "stage", kept)
+    for bits in (26, 10):  # with few bits marks meet
+        got = ngram_join.near_duplicates(docs_of(spark, texts), limits=ngram_join.Limits(map_bits=bits)).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(texts)
+        assert "values" not in written["profiles"].columns
+        assert written["sets"].count() == 8
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, links long, node long, copies int, cell int, v string"
 
 
