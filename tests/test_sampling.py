@@ -65,6 +65,23 @@ def test_sample_is_all_rows_when_few(rows):
     assert sampling.sample_rows(rows, 10).count() == 10
 
 
+def test_sample_of_a_split_is_cut_before_the_sort(rows, monkeypatch):
+    train = sampling.train_test(rows)[0]  # the same hash order without its beginning
+    first = sorted((r["h"], r["LoanID"]) for r in train.select(sampling.hash_key(42).alias("h"), "LoanID").collect())
+    sorted_rows, order = [], type(train).orderBy
+
+    def counted(df, *by):
+        sorted_rows.append(df.count())
+        return order(df, *by)
+
+    monkeypatch.setattr(type(train), "orderBy", counted)
+    for n in (40, 5, 1):
+        assert [r["LoanID"] for r in sampling.sample_rows(train, n).collect()] == [i for _, i in first[:n]]
+        assert n <= sorted_rows[-1] <= 2 * n
+    same = train.withColumn("LoanID", F.lit("L1"))
+    assert sampling.sample_rows(same, 7).count() == 7
+
+
 def test_ranks_through_several_rounds(rows, monkeypatch):
     ids = {c: sorted(r["h"] for r in rows.where(F.col("DefaultFlag") == c).select(sampling.hash_key(42).alias("h")).collect()) for c in (0, 1)}
     ranks = {0: [1, 300, 891], 1: [112]}
