@@ -118,3 +118,18 @@ def test_folds_and_search_of_boosted_trees(train):
     assert both.where("abs(x - y) > 1e-9").isEmpty() and found["Decision Tree"].members is None
     alone = training.cross_validated(training.build("Boosted Trees", found["Boosted Trees"].params, 400), train, folds=3)
     assert alone == pytest.approx(found["Boosted Trees"].folds)
+
+
+def test_kept_rows_are_not_copied_for_calibration(spark, train, monkeypatch):
+    from riskspark.session import kept
+
+    rows = kept(train.select("*", F.lit(1).alias("one")).drop("one").where("LoanID IS NOT NULL"))
+    assert rows.storageLevel.useDisk and not rows.storageLevel.useMemory
+    pipeline = training.build("Decision Tree", POINTS["Decision Tree"], rows.count())
+    copies, persist = [], type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda df, *level: copies.append(df) or persist(df, *level))
+    try:
+        model = calibration.calibrate("Decision Tree", pipeline, pipeline.fit(rows), rows, NAMES, folds=2)
+    finally:
+        rows.unpersist()
+    assert len(model.members) == 2 and not copies
